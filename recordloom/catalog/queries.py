@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from recordloom.catalog import tables as B
 from recordloom.functions import text as X
+from recordloom.functions.frames import keep_where
+from recordloom.functions.sizing import stable
 from recordloom.operators import histories as H
 from recordloom.operators import information as I
 from recordloom.operators import lifecycle as L
@@ -392,7 +394,9 @@ def early_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def reopened_actions(spark: SparkSession, sf: str) -> DataFrame:
-    return H.reopened_actions(_log(spark, sf)[2])
+    return H.reopened_actions(
+        L.replay_commands(B.threads(spark, sf), B.thread_actions(spark, sf), B.commands(spark, sf))
+    )
 
 
 # --- information -------------------------------------------------------------
@@ -433,7 +437,7 @@ def information_front_matter(spark: SparkSession, sf: str) -> DataFrame:
         F.col("context.project").alias("project"),
         F.col("provenance.source_type").alias("source_type"),
         F.col("time.created_at").alias("created_at"),
-        F.element_at(F.col("relations.type"), 1).alias("relation_type"),
+        F.try_element_at(F.col("relations.type"), F.lit(1)).alias("relation_type"),
         "retention",
         X.sha256(F.col("content")).alias("content_sha"),
     )
@@ -544,7 +548,7 @@ def _checked(spark: SparkSession, sf: str) -> DataFrame:
 
 def _related(spark: SparkSession, sf: str):
     return R.apply_relations(
-        _checked(spark, sf),
+        B.relation_proposals(spark, sf),
         B.information(spark, sf),
         B.information_relations(spark, sf),
         NOW,
@@ -745,12 +749,12 @@ def contradictory_plans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def operation_ids(spark: SparkSession, sf: str) -> DataFrame:
-    plans = P.route(B.information_texts(spark, sf)).filter(F.col("error").isNull())
+    plans = keep_where(P.route(B.information_texts(spark, sf)), F.col("error").isNull())
     return E.with_operation_id(plans).select("information_id", "operation_id")
 
 
 def _executions(spark: SparkSession, sf: str) -> DataFrame:
-    plans = P.route(B.information_texts(spark, sf)).filter(F.col("error").isNull())
+    plans = keep_where(P.route(B.information_texts(spark, sf)), F.col("error").isNull())
     return E.execution_plans(plans)
 
 
@@ -762,9 +766,12 @@ def execution_plans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _short_plans(spark: SparkSession, sf: str) -> DataFrame:
-    """Execution plans with a batch order, as a log of plans would hold them."""
+    """Execution plans with a batch order, kept as the log of plans they would be:
+    the ledger and the decisions both read it."""
     plans = _executions(spark, sf)
-    return plans.withColumn("seq", F.regexp_extract("information_id", r"(\d+)", 1).cast("long"))
+    return stable(
+        plans.withColumn("seq", F.regexp_extract("information_id", r"(\d+)", 1).cast("long"))
+    )
 
 
 def _ledger(plans: DataFrame, spark: SparkSession, sf: str) -> DataFrame:

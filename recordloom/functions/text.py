@@ -69,7 +69,8 @@ def _fold_rules() -> dict[str, str]:
 def casefold(column: Column) -> Column:
     """Unicode case folding: lower-case, then the letters lower() leaves apart."""
     rules = _fold_rules()
-    table = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
+    # Parsed once by constant folding; as JSON it stays a single literal.
+    table = F.from_json(F.lit(canonical(rules)), "map<string,string>")
     rare = "[" + "".join(c for c in rules if c != "ß") + "]"
 
     def spell(text: Column) -> Column:

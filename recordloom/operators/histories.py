@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
-from recordloom.functions.ordered import MAX_GROUP_ROWS, chunk, running
+from recordloom.functions.ordered import MAX_GROUP_ROWS, Chunked, chunk, running
 
 
 def valid_at(information: DataFrame, moment: str) -> DataFrame:
@@ -121,18 +121,18 @@ def epistemic_gaps(events: DataFrame) -> DataFrame:
     ).select("event_id", "information_id", "before", "after")
 
 
-def reopened_actions(outcomes: DataFrame) -> DataFrame:
+def reopened_actions(replayed: Chunked) -> DataFrame:
     """Accepted commands that put a completed action back to PLANNED.
 
-    ``outcomes`` come from the command log.  The previous state of an action is
-    the status of the last accepted command on it.
+    ``replayed`` is a replayed command log.  The previous state of an action is
+    the status of the last accepted command on it; the chunks of a thread order
+    the commands of each of its actions as well.
     """
-    steps = outcomes.filter(
+    steps = replayed.rows.filter(
         (F.col("outcome") == "OK") & F.col("kind").isin("ADD_ACTION", "SET_ACTION_STATUS")
     ).withColumn("_action", F.concat_ws("|", "thread_id", "action_id"))
-    seen = running(
-        chunk(steps, "_action", "seq"), lasts={"previous": F.col("status")}, before=True
-    ).rows
+    by_action = Chunked(steps, "_action", replayed.order, replayed.split)
+    seen = running(by_action, lasts={"previous": F.col("status")}, before=True).rows
     return seen.filter((F.col("previous") == "COMPLETED") & (F.col("status") == "PLANNED")).select(
         "seq", "thread_id", "action_id"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.frames import keep_where
 from recordloom.functions.ordered import MAX_GROUP_ROWS, chunk, running
 
 # --- structural checks -------------------------------------------------------
@@ -122,7 +123,7 @@ def text_states(texts: DataFrame) -> DataFrame:
 
 def invalid_information(texts: DataFrame) -> DataFrame:
     """Record texts that fail the structural checks."""
-    return text_states(texts).filter(F.size("errors") > 0).select("path", "id", "errors")
+    return keep_where(text_states(texts), F.size("errors") > 0).select("path", "id", "errors")
 
 
 def missing_field_counts(texts: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import types as P
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.frames import keep_where
 from recordloom.functions.ordered import MAX_GROUP_ROWS, Chunked, chunk, running
 
 # --- checks ------------------------------------------------------------------
@@ -90,7 +91,7 @@ def thread_errors(threads: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def invalid_threads(threads: DataFrame, actions: DataFrame) -> DataFrame:
-    return thread_errors(threads, actions).filter(F.col("error").isNotNull())
+    return keep_where(thread_errors(threads, actions), F.col("error").isNotNull())
 
 
 def thread_invariants(threads: DataFrame) -> DataFrame:
@@ -288,22 +289,22 @@ def apply_commands(
     Returns the new threads, the new actions, one outcome per command, and a
     history row per accepted status change.
     """
-    outcomes = command_outcomes(threads, actions, commands, max_rows)
-    accepted = outcomes.filter(F.col("outcome") == "OK")
+    replayed = replay_commands(threads, actions, commands, max_rows)
+    accepted = replayed.with_rows(replayed.rows.filter(F.col("outcome") == "OK"))
     return (
-        _threads_after(threads, accepted),
-        _actions_after(actions, accepted, max_rows),
-        outcomes,
-        _history(accepted),
+        _threads_after(threads, accepted.rows),
+        _actions_after(actions, accepted),
+        replayed.rows.drop("chunk"),
+        _history(accepted.rows),
     )
 
 
-def command_outcomes(
+def replay_commands(
     threads: DataFrame,
     actions: DataFrame,
     commands: DataFrame,
     max_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+) -> Chunked:
     """Outcome of every command and the revision of its thread afterwards."""
     chunked = chunk(commands, "thread_id", "seq", max_rows)
     known = thread_errors(threads, actions).select(
@@ -383,12 +384,15 @@ def command_outcomes(
     # 4. revisions count the accepted commands
     numbered = running(
         chunked.with_rows(united), counts={"accepted_so_far": F.col("outcome") == "OK"}
-    ).rows
-    return numbered.select(
-        *commands.columns,
-        "before_status",
-        "outcome",
-        (F.col("stored_revision") + F.col("accepted_so_far")).cast("int").alias("revision"),
+    )
+    return numbered.with_rows(
+        numbered.rows.select(
+            *commands.columns,
+            "chunk",
+            "before_status",
+            "outcome",
+            (F.col("stored_revision") + F.col("accepted_so_far")).cast("int").alias("revision"),
+        )
     )
 
 
@@ -413,12 +417,10 @@ def _threads_after(threads: DataFrame, accepted: DataFrame) -> DataFrame:
     )
 
 
-def _actions_after(actions: DataFrame, accepted: DataFrame, max_rows: int) -> DataFrame:
-    added = accepted.filter(F.col("kind") == "ADD_ACTION")
+def _actions_after(actions: DataFrame, accepted: Chunked) -> DataFrame:
+    added = accepted.with_rows(accepted.rows.filter(F.col("kind") == "ADD_ACTION"))
     taken = actions.groupBy("thread_id").agg(F.max("pos").alias("last_pos"))
-    placed = running(
-        chunk(added, "thread_id", "seq", max_rows), counts={"n": F.lit(True)}
-    ).rows.join(taken, "thread_id", "left")
+    placed = running(added, counts={"n": F.lit(True)}).rows.join(taken, "thread_id", "left")
     new = placed.select(
         "thread_id",
         (F.coalesce("last_pos", F.lit(0)) + F.col("n")).cast("int").alias("pos"),
@@ -428,7 +430,7 @@ def _actions_after(actions: DataFrame, accepted: DataFrame, max_rows: int) -> Da
         F.lit("{}").alias("metadata"),
     )
     latest = (
-        accepted.filter(F.col("kind") == "SET_ACTION_STATUS")
+        accepted.rows.filter(F.col("kind") == "SET_ACTION_STATUS")
         .groupBy("thread_id", "action_id")
         .agg(F.max_by("status", "seq").alias("new_status"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.frames import keep_where
 from recordloom.functions.ordered import MAX_GROUP_ROWS, chunk, running
 
 LINK = ("source_id", "type", "target_id")
@@ -88,18 +89,20 @@ def relation_checks(proposals: DataFrame, information: DataFrame) -> DataFrame:
 
 
 def apply_relations(
-    checked: DataFrame,
+    proposals: DataFrame,
     information: DataFrame,
     relations: DataFrame,
     now: str,
     max_rows: int = MAX_GROUP_ROWS,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Add the proposals that pass, in order of ``seq``.
+    """Add the proposals that pass the checks, in order of ``seq``.
 
     Each accepted one raises the revision of its source by one.  Returns
     information, relations, events, reviews and outcomes.
     """
     link = list(LINK)
+    chunked = chunk(proposals, "source_id", "seq", max_rows)
+    checked = relation_checks(chunked.rows, information)
     stored = relations.select(*link).distinct().withColumn("stored", F.lit(True))
     able = (F.size("errors") == 0) & ~F.col("source_structured")
     first = checked.filter(able).groupBy(*link).agg(F.min("seq").alias("first_seq"))
@@ -110,10 +113,8 @@ def apply_relations(
         (F.col("stored").isNotNull() | (F.col("seq") > F.col("first_seq")), "ALREADY_PRESENT"),
     )
     outcomes = rows.withColumn("outcome", F.coalesce(error, F.lit("ADDED")))
-    added = running(
-        chunk(outcomes.filter(F.col("outcome") == "ADDED"), "source_id", "seq", max_rows),
-        counts={"n": F.lit(True)},
-    ).rows.withColumn("revision", (F.col("source_revision") + F.col("n")).cast("int"))
+    passed = chunked.with_rows(keep_where(outcomes, F.col("outcome") == "ADDED"))
+    added = running(passed, counts={"n": F.lit(True)}).rows.withColumn("revision", (F.col("source_revision") + F.col("n")).cast("int"))
 
     reviewed = F.col("review") & F.col("type").isin(*K.REVIEWED_RELATION_TYPES)
     added = added.withColumn(

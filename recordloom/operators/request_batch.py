@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.frames import keep_where
 from recordloom.functions.ranking import best_rows
-from recordloom.functions.sizing import BROADCAST_ROWS, fits
+from recordloom.functions.sizing import BROADCAST_ROWS, fits, stable
 from recordloom.operators import threads as T
 from recordloom.sources.requests import parse_requests
 
@@ -53,15 +54,17 @@ ACTION_INTENTS = ("LIST_OPEN_ACTIONS", "LIST_THREAD_ACTIONS")
 
 def distinct_queries(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid requests as (request, query) pairs and the distinct queries."""
-    valid = parse_requests(requests).filter(F.col("error").isNull())
+    valid = keep_where(parse_requests(requests), F.col("error").isNull())
     # A map cannot be a grouping key: its sorted entries stand for it.
     texts = [
         F.to_json(F.struct(F.array_sort(F.map_entries(c)))) if c == "provenance" else F.to_json(F.struct(c))
         for c in _FILTERS
     ]
     keyed = valid.withColumn("query_id", X.sha256(F.concat_ws("|", *texts)))
+    # Parsing is done once: both uses below read the kept rows.
+    keyed = stable(keyed.select("request_id", "query_id", *_FILTERS))
     queries = keyed.groupBy("query_id").agg(*[F.first(c).alias(c) for c in _FILTERS])
-    return keyed.select("request_id", "query_id"), queries
+    return keyed.select("request_id", "query_id"), stable(queries)
 
 
 def evaluate_requests(
@@ -88,7 +91,7 @@ def evaluate_requests(
         F.when(by == "created_at", F.col("created_at"))
         .when(by == "updated_at", F.col("updated_at"))
         .when(by == "started_at", F.coalesce("started_at", F.lit("")))
-        .when(by == "title", X.casefold(F.col("title")))
+        .when(by == "title", F.col("_title"))
         .when(by == "status", F.col("status"))
     )
     number_key = F.when(by == "revision", F.col("revision"))
@@ -183,42 +186,36 @@ def match_threads(
     q: DataFrame, threads: DataFrame, relations: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Threads that pass the filters of each query, by the most selective key."""
-    get = F.col("q_intent") == "GET_THREAD"
     route = (
-        F.when(get, "id")
-        .when(F.col("q_title").isNotNull(), "title")
+        F.when(F.col("q_intent") == "GET_THREAD", "id")
         .when(F.col("q_related_to").isNotNull(), "related")
         .when(F.col("q_relation_type").isNotNull(), "type")
+        .when(F.col("q_title").isNotNull(), "title")
         .otherwise("status")
     )
-    q = q.withColumn("_route", route)
-
-    by_id = threads.join(
-        q.filter(F.col("_route") == "id"), F.col("thread_id") == F.col("q_thread_id")
-    )
-
-    by_title = threads.join(
-        q.filter(F.col("_route") == "title"), F.col("title") == F.col("q_title")
-    )
+    q = q.withColumn("_route", route).withColumn("q_needle", X.casefold(F.col("q_title_contains")))
+    rows = threads.withColumn("_title", X.casefold(F.col("title")))
 
+    by_id = q.filter(F.col("_route") == "id").withColumn("thread_id", F.col("q_thread_id"))
     ends = relations.select(
         "thread_id",
-        F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("_end"),
-    ).filter(F.col("_end").isNotNull())
-    related = q.filter(F.col("_route") == "related").join(
-        ends, F.col("q_related_to") == F.col("_end")
+        F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("q_related_to"),
     )
-    by_related = threads.join(
-        related.drop("_end").dropDuplicates(["query_id", "thread_id"]), "thread_id"
+    related = q.filter(F.col("_route") == "related").join(ends, "q_related_to")
+    links = relations.select("thread_id", F.col("type").alias("q_relation_type"))
+    # A query with both relation filters: they may be met by different relations.
+    one = related.filter(F.col("q_relation_type").isNull())
+    both = related.filter(F.col("q_relation_type").isNotNull()).join(
+        links, ["thread_id", "q_relation_type"], "left_semi"
     )
-
-    typed = q.filter(F.col("_route") == "type").join(
-        relations.select("thread_id", F.col("type").alias("_type")),
-        F.col("q_relation_type") == F.col("_type"),
+    typed = q.filter(F.col("_route") == "type").join(links, "q_relation_type")
+    titled = q.filter(F.col("_route") == "title").join(
+        threads.select("thread_id", F.col("title").alias("q_title")), "q_title"
     )
-    by_type = threads.join(
-        typed.drop("_type").dropDuplicates(["query_id", "thread_id"]), "thread_id"
+    candidates = reduce(DataFrame.unionByName, (by_id, one, both, typed, titled)).dropDuplicates(
+        ["query_id", "thread_id"]
     )
+    keyed = rows.join(candidates, "thread_id").filter(_residual())
 
     all_states = F.array(*[F.lit(s) for s in K.THREAD_STATUSES])
     open_states = F.array(*[F.lit(s) for s in K.THREAD_STATUSES if s not in K.CLOSED_STATUSES])
@@ -230,41 +227,16 @@ def match_threads(
     broad = q.filter(F.col("_route") == "status").withColumn("_state", F.explode(states))
     on_state = F.col("status") == F.col("_state")
     if fits(broad, broadcast_rows):
-        by_state = threads.join(F.broadcast(broad), on_state & _residual())
+        by_state = rows.join(F.broadcast(broad), on_state & _residual())
     else:
-        salted = threads.withColumn(
+        salted = rows.withColumn(
             "_salt", F.pmod(F.xxhash64("thread_id"), F.lit(SALTS)).cast("int")
         )
         spread = broad.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         by_state = salted.join(
             spread, on_state & (F.col("_salt") == F.col("_slot")) & _residual()
         ).drop("_salt", "_slot")
-    by_state = by_state.drop("_state")
-
-    routed = [by_id] + [d.filter(_residual()) for d in (by_title, by_related, by_type)]
-    united = reduce(DataFrame.unionByName, routed + [by_state]).drop("_route")
-
-    # Where both relation filters are given the first chose the route and the
-    # second is checked here.
-    second = F.col("q_relation_type").isNotNull() & (~get)
-    needs = united.filter(second & F.col("q_related_to").isNotNull() | second & F.col("q_title").isNotNull())
-    rest = united.filter(
-        F.coalesce(
-            ~(second & F.col("q_related_to").isNotNull() | second & F.col("q_title").isNotNull()),
-            F.lit(True),
-        )
-    )
-    needs = needs.join(
-        relations.select("thread_id", F.col("type").alias("q_relation_type")),
-        ["thread_id", "q_relation_type"],
-        "left_semi",
-    )
-    united = rest.unionByName(needs)
-    titled = F.col("q_title").isNotNull() & F.col("q_related_to").isNotNull() & ~get
-    both = united.filter(titled).join(
-        ends.withColumnRenamed("_end", "q_related_to"), ["thread_id", "q_related_to"], "left_semi"
-    )
-    return united.filter(F.coalesce(~titled, F.lit(True))).unionByName(both)
+    return keyed.unionByName(by_state.drop("_state"))
 
 
 def _wanted_states() -> Column:
@@ -277,33 +249,34 @@ def _residual() -> Column:
     def given(name: str, condition: Column) -> Column:
         return F.col("q_" + name).isNull() | F.coalesce(condition, F.lit(False))
 
+    intent = F.col("q_intent")
     status = (
         F.when(
-            F.col("q_intent") == "LIST_THREADS_BY_STATUS",
+            intent == "LIST_THREADS_BY_STATUS",
             F.array_contains(_wanted_states(), F.col("status")),
         )
-        .when(F.col("q_intent") == "LIST_OPEN_THREADS", ~F.col("status").isin(*K.CLOSED_STATUSES))
+        .when(intent == "LIST_OPEN_THREADS", ~F.col("status").isin(*K.CLOSED_STATUSES))
         .otherwise(F.lit(True))
     )
-    wanted = F.transform(
+    equal = F.forall(
         F.map_entries("q_provenance"),
-        lambda e: X.comparable(F.coalesce(F.try_element_at("provenance", e["key"]), F.lit("null")))
+        lambda e: X.comparable(
+            F.coalesce(F.try_element_at("provenance", e["key"]), F.lit("null"))
+        )
         == X.comparable(e["value"]),
     )
     checks = [
         status,
         given("title", F.col("title") == F.col("q_title")),
-        given(
-            "title_contains",
-            F.contains(X.casefold(F.col("title")), X.casefold(F.col("q_title_contains"))),
-        ),
-        F.col("q_provenance").isNull() | F.forall(wanted, lambda w: w),
+        given("title_contains", F.contains("_title", F.col("q_needle"))),
+        F.col("q_provenance").isNull() | equal,
     ]
     for field in ("created", "updated", "started"):
         stored = F.col(field + "_at")
         checks.append(given(field + "_after", stored > F.col(f"q_{field}_after")))
         checks.append(given(field + "_before", stored < F.col(f"q_{field}_before")))
-    return reduce(Column.__and__, checks)
+    # GET_THREAD looks at nothing but the id.
+    return (intent == "GET_THREAD") | reduce(Column.__and__, checks)
 
 
 def responses(requests: DataFrame, rows: DataFrame) -> DataFrame:
@@ -312,7 +285,7 @@ def responses(requests: DataFrame, rows: DataFrame) -> DataFrame:
     ``rows`` hold request_id, rank and data (a JSON object each).  A page has at
     most 1000 rows, so the list gathered per request is bounded.
     """
-    valid = parse_requests(requests).filter(F.col("error").isNull())
+    valid = keep_where(parse_requests(requests), F.col("error").isNull())
     lists = rows.groupBy("request_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "data"))), lambda r: r["data"]

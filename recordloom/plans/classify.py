@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.frames import keep_where
 
 
 def classify(texts: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def mechanism_rows(classified: DataFrame) -> DataFrame:
             for m in K.MECHANISMS
         ]
     )
-    return classified.filter(F.col("error").isNull()).select("id", F.inline(listed))
+    return keep_where(classified, F.col("error").isNull()).select("id", F.inline(listed))
 
 
 def by_status(status: str, include_working: bool = True) -> Column:

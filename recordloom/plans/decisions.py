@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.frames import keep_where
 from recordloom.operators.information import state_text, text_states
 
 _STATE = ("exists", "valid", "same_id", "revision", "structured", "epistemic", "operational")
@@ -123,6 +124,10 @@ def decide(plans: DataFrame, operations: DataFrame, persistent: DataFrame) -> Da
 
 
 def _execution(rule: Column, p: str) -> Column:
+    return X.let(rule, lambda known: _execution_of(known, p))
+
+
+def _execution_of(rule: Column, p: str) -> Column:
     """What carrying out an allowed plan leads to, given a persistent state.
 
     A code: STORE, UPDATE, INDEX, INDEX_REFUSED, the reason of a refusal, or
@@ -185,7 +190,7 @@ def apply_plans(
     is_write = F.col("code").isin("STORE") | (
         F.col("code").isin("UPDATE", "INDEX", "INDEX_REFUSED") & (F.col("rule") != "PARTIAL")
     )
-    first = rows.filter(is_write).groupBy("information_id").agg(F.min("seq").alias("write_seq"))
+    first = keep_where(rows, is_write).groupBy("information_id").agg(F.min("seq").alias("write_seq"))
     rows = rows.join(first, "information_id", "left")
 
     # Plans after the first write of their id meet the working state.
@@ -199,7 +204,7 @@ def apply_plans(
 
     # An operation executed earlier in the batch is in the ledger for the rest.
     done = (
-        rows.filter(F.col("code").isin(*EXECUTED))
+        keep_where(rows, F.col("code").isin(*EXECUTED))
         .groupBy("operation_id")
         .agg(F.min("seq").alias("done_seq"), F.min_by("execution_plan_hash", "seq").alias("done_hash"))
     )
@@ -217,7 +222,7 @@ def apply_plans(
     )
     rows = rows.withColumn("result", result)
 
-    written = rows.filter(executed & (F.col("seq") == F.col("write_seq"))).select("information_id")
+    written = keep_where(rows, executed & (F.col("seq") == F.col("write_seq"))).select("information_id")
     named = F.regexp_extract("path", r"([^/]*)\.md\z", 1)
     new_texts = (
         working.withColumn("information_id", named)
@@ -230,7 +235,7 @@ def apply_plans(
         .select("path", "text")
     )
 
-    finished = rows.filter(executed)
+    finished = keep_where(rows, executed)
     stored = F.col("code") == "STORE"
     fresh = F.col("rule") != "PARTIAL"
     number = F.col("number_json").try_cast("int")

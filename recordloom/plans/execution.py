@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.frames import keep_where
 
 # --- checks of plan documents ------------------------------------------------
 
@@ -158,20 +159,17 @@ def _safe(checks: list[tuple[Column, Column | str]]) -> list[tuple[Column, Colum
 
 
 def plan_rejects(documents: DataFrame) -> DataFrame:
-    return plan_errors(documents).filter(F.col("error").isNotNull()).select("plan_id", "error")
+    return keep_where(plan_errors(documents), F.col("error").isNotNull()).select("plan_id", "error")
 
 
 def execution_plan_rejects(documents: DataFrame) -> DataFrame:
-    return (
-        execution_plan_errors(documents)
-        .filter(F.col("error").isNotNull())
-        .select("plan_id", "error")
-    )
+    checked = execution_plan_errors(documents)
+    return keep_where(checked, F.col("error").isNotNull()).select("plan_id", "error")
 
 
 def read_plans(documents: DataFrame) -> DataFrame:
     """Plan columns of valid memory plan documents, as ``route`` produces them."""
-    valid = plan_errors(documents).filter(F.col("error").isNull())
+    valid = keep_where(plan_errors(documents), F.col("error").isNull())
     rows = valid.withColumn("_v", F.try_parse_json("document"))
     info = "memory_plan.information"
     rev = info + ".identity.revision"
@@ -248,7 +246,7 @@ def is_contradictory() -> Column:
 
 def contradictory_plans(plans: DataFrame) -> DataFrame:
     """Plans that ask to ignore a record and to do something with it."""
-    return plans.filter(is_contradictory())
+    return keep_where(plans, is_contradictory())
 
 
 def with_operation_id(plans: DataFrame) -> DataFrame:
@@ -258,7 +256,7 @@ def with_operation_id(plans: DataFrame) -> DataFrame:
 
 def execution_plans(plans: DataFrame) -> DataFrame:
     """Execution plans of consistent memory plans, with canonical JSON and its hash."""
-    ready = with_operation_id(prepare_operations(plans.filter(~is_contradictory())))
+    ready = with_operation_id(prepare_operations(keep_where(plans, ~is_contradictory())))
     operations = {
         o: X.sorted_struct({p: F.col(f"{o.lower()}_{p}") for p in ("required", "status", "reason")})
         for o in K.PLAN_OPERATIONS

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.frames import keep_where
 from recordloom.plans.classify import by_status, classify
 from recordloom.sources.corpora import front_matter_json, revision_parts
 
@@ -20,7 +21,7 @@ def normalised_revisions(texts: DataFrame) -> DataFrame:
     front, _ = X.split_front(F.col("text"))
     rows = texts.select("path", front_matter_json(front)["json"].alias("metadata"))
     number, flag, previous = revision_parts(F.try_parse_json("metadata"))
-    return rows.filter(F.col("metadata").isNotNull()).select(
+    return keep_where(rows, F.col("metadata").isNotNull()).select(
         "path",
         number.try_cast("int").alias("number"),
         flag.alias("is_revision"),

@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.frames import keep_where
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -196,8 +197,8 @@ def read_threads(spark: SparkSession, path: str, fail_fast: bool = True) -> tupl
             ),
         )
     else:
-        threads = parsed.filter(F.col("parse_error").isNull())
-    rejects = parsed.filter(F.col("parse_error").isNotNull()).select("path", "parse_error")
+        threads = keep_where(parsed, F.col("parse_error").isNull())
+    rejects = keep_where(parsed, F.col("parse_error").isNotNull()).select("path", "parse_error")
     return threads.drop("path", "parse_error"), rejects
 
 
@@ -252,8 +253,8 @@ def read_memories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """Memories of a folder and the files that were skipped."""
     parsed = parse_memories(read_texts(spark, path))
     return (
-        parsed.filter(F.col("parse_error").isNull()).drop("path", "parse_error"),
-        parsed.filter(F.col("parse_error").isNotNull()).select("path", "parse_error"),
+        keep_where(parsed, F.col("parse_error").isNull()).drop("path", "parse_error"),
+        keep_where(parsed, F.col("parse_error").isNotNull()).select("path", "parse_error"),
     )
 
 
@@ -323,8 +324,8 @@ def parse_information(texts: DataFrame) -> DataFrame:
 def read_information(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     parsed = parse_information(read_texts(spark, path))
     return (
-        information_rows(parsed.filter(F.col("parse_error").isNull())),
-        parsed.filter(F.col("parse_error").isNotNull()).select("path", "parse_error"),
+        information_rows(keep_where(parsed, F.col("parse_error").isNull())),
+        keep_where(parsed, F.col("parse_error").isNotNull()).select("path", "parse_error"),
     )
 
 
@@ -443,6 +444,6 @@ def read_operations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     )
     rows = rows.withColumn("error", error)
     return (
-        rows.filter(F.col("error").isNull()).select(*fields),
-        rows.filter(F.col("error").isNotNull()).select("file", "error"),
+        keep_where(rows, F.col("error").isNull()).select(*fields),
+        keep_where(rows, F.col("error").isNotNull()).select("file", "error"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.frames import keep_where
 
 
 def read_requests(spark, path: str) -> DataFrame:
@@ -132,4 +133,5 @@ def query_error() -> Column:
 
 def request_rejects(requests: DataFrame) -> DataFrame:
     """Requests that cannot be answered, with the reason."""
-    return parse_requests(requests).filter(F.col("error").isNotNull()).select("request_id", "error")
+    rejected = keep_where(parse_requests(requests), F.col("error").isNotNull())
+    return rejected.select("request_id", "error")
