@@ -204,9 +204,7 @@ def request_responses(spark: SparkSession, sf: str) -> DataFrame:
     results = RB.evaluate_requests(
         requests, threads, B.thread_relations(spark, sf), B.thread_actions(spark, sf)
     )
-    listed = results.filter(F.col("action_id").isNull())
-    rows = listed.join(T.thread_rows(threads), "thread_id").select("request_id", "rank", "data")
-    return RB.responses(requests, rows)
+    return RB.responses(requests, RB.result_rows(results, threads))
 
 
 # --- memories ----------------------------------------------------------------

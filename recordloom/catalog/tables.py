@@ -294,7 +294,7 @@ def information_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("info-"), k).alias("id"),
         (k % 4 + 1).cast("int").alias("number"),
         (k % 3 == 0).alias("structured"),
-        ((k % 3 == 0) & (k % 2 == 0)).alias("is_revision"),
+        ((k % 3 == 0) & (k % 5 != 0)).alias("is_revision"),
         F.when((k % 3 == 0) & (k % 12 != 0), (k % 4).cast("int")).alias("previous"),
         F.when(k % 23 == 0, F.lit("MEASUREMENT")).otherwise(pick(K.INFORMATION_TYPES, k % 12)).alias("type"),
         F.when(F.col("quality").isNull(), F.lit("UNVERIFIED"))

@@ -76,8 +76,8 @@ def evaluate_requests(
 ) -> DataFrame:
     """Result rows of every valid request.
 
-    Columns: request_id, rank (1 is the first row of the page), thread_id, pos
-    and action_id (null for thread lists).
+    Columns: request_id, rank (1 is the first row of the page), thread_id and,
+    for action lists, pos, action_id, description, action_status and metadata.
     """
     pairs, queries = distinct_queries(requests)
     q = _prefixed(queries)
@@ -108,6 +108,7 @@ def evaluate_requests(
         F.when(~down, text_key).alias("text_up"),
         F.when(down, -number_key).otherwise(number_key).alias("number"),
         none.alias("description"),
+        none.alias("action_status"),
         none.alias("metadata"),
     )
 
@@ -120,9 +121,9 @@ def evaluate_requests(
     steps = (
         matches.filter(F.col("q_intent").isin(*ACTION_INTENTS))
         .select("query_id", "q_limit", "q_offset", "q_intent", "q_action_id", states.alias("states"), "thread_id")
-        .join(actions.withColumnRenamed("status", "action_state"), "thread_id")
+        .join(actions.withColumnRenamed("status", "action_status"), "thread_id")
         .filter(
-            ((F.size("states") == 0) | F.array_contains("states", F.col("action_state")))
+            ((F.size("states") == 0) | F.array_contains("states", F.col("action_status")))
             & (is_open | F.col("q_action_id").isNull() | (F.col("q_action_id") == F.col("action_id")))
         )
     )
@@ -137,6 +138,7 @@ def evaluate_requests(
         none.alias("text_up"),
         F.lit(None).cast("int").alias("number"),
         "description",
+        "action_status",
         "metadata",
     )
 
@@ -165,6 +167,9 @@ def evaluate_requests(
             "thread_id",
             "pos",
             "action_id",
+            "description",
+            "action_status",
+            "metadata",
         )
     )
     # GET_THREAD knows neither order nor page.
@@ -173,7 +178,7 @@ def evaluate_requests(
         F.lit(1).alias("rank"),
         "thread_id",
         F.lit(None).cast("int").alias("pos"),
-        none.alias("action_id"),
+        *[none.alias(n) for n in ("action_id", "description", "action_status", "metadata")],
     )
     return pairs.join(kept.unionByName(single), "query_id").drop("query_id")
 
@@ -279,6 +284,32 @@ def _residual() -> Column:
     return (intent == "GET_THREAD") | reduce(Column.__and__, checks)
 
 
+def result_rows(results: DataFrame, threads: DataFrame) -> DataFrame:
+    """Results as JSON: a thread, or a thread with one of its actions."""
+    rows = results.withColumnsRenamed(
+        {"description": "action_description", "metadata": "action_metadata"}
+    ).join(threads, "thread_id")
+    thread = T.thread_json(threads.columns)
+    pair = X.json_object(
+        {
+            "action": T.action_json(
+                F.struct(
+                    "action_id",
+                    F.col("action_description").alias("description"),
+                    F.col("action_status").alias("status"),
+                    F.col("action_metadata").alias("metadata"),
+                )
+            ),
+            "thread": thread,
+        }
+    )
+    return rows.select(
+        "request_id",
+        "rank",
+        F.when(F.col("action_id").isNull(), thread).otherwise(pair).alias("data"),
+    )
+
+
 def responses(requests: DataFrame, rows: DataFrame) -> DataFrame:
     """One response line per valid request.
 
