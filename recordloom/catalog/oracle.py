@@ -643,6 +643,24 @@ BODY = {
           THEN replace(body, 'revision:' || chr(10) || '  number: ' || number || chr(10), 'revision:' || chr(10) || '  number: ' || p_number || chr(10)) ELSE body END) AS text_sha
         FROM app WHERE there OR code = 'STORE'""",
     "index_outcomes": """SELECT k AS seq, id AS information_id, CASE code WHEN 'INDEX' THEN 'READY' ELSE 'REFUSED' END AS index_status FROM app WHERE code IN ('INDEX', 'INDEX_REFUSED')""",
+    "corpus_threads": f"""SELECT 'threads/' || thread_id || '.md' AS path,
+          CASE kind WHEN 5 THEN 'missing Thread identity information' WHEN 6 THEN 'invalid Thread status: ASLEEP' WHEN 4 THEN 'invalid JSON in section ''Actions'''
+               WHEN 1 THEN 'Actions must contain a JSON array' WHEN 2 THEN 'invalid action entry' WHEN 3 THEN 'invalid Thread action' END AS parse_error,
+          thread_id, CASE WHEN trim(title) = '' THEN 'status: ' || CASE kind WHEN 6 THEN 'ASLEEP' ELSE status END ELSE title END AS title, objective,
+          CASE kind WHEN 6 THEN 'ASLEEP' ELSE status END AS status, CASE WHEN kind <> 5 THEN revision END AS revision,
+          CASE kind WHEN 7 THEN '{{}}' ELSE context END AS context,
+          CASE kind WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE {_list(K.ACTION_STATUSES)}[k % 5 + 1] || ',PLANNED' END AS action_statuses,
+          'thread-' || o_custkey AS targets, CASE kind WHEN 8 THEN 'None' ELSE created_at END AS created_at, started_at, '"import"' AS source
+        FROM (SELECT t.*, o_orderkey AS k, o_orderkey % 17 AS kind, o_custkey FROM thr t JOIN orders ON thread_id = 'thread-' || o_orderkey)""",
+    "corpus_memories": """SELECT 'memories/info-' || doc_id || '.md' AS path,
+          CASE doc_id % 13 WHEN 5 THEN 'missing identity information' WHEN 6 THEN 'invalid JSON in section ''Provenance''' END AS parse_error,
+          'info-' || doc_id AS information_id, CASE WHEN doc_id % 13 <> 5 THEN CAST(doc_id % 4 + 1 AS INTEGER) END AS revision,
+          sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS content_sha, '{"lang":"' || lang || '","source":"' || source || '"}' AS metadata,
+          '[]' AS relations, '{}' AS verification FROM documents""",
+    "stream_idempotency": """SELECT operation_id, execution_plan_hash, CASE WHEN known THEN CASE WHEN execution_plan_hash = sha256('click') THEN 'ALREADY_EXECUTED' ELSE 'CONFLICT' END
+          WHEN row_number() OVER (PARTITION BY operation_id ORDER BY seq) = 1 THEN 'NEW' ELSE 'CONFLICT' END AS idempotency
+        FROM (SELECT 'op-' || (event_id % 700) AS operation_id, sha256(event_type) AS execution_plan_hash, min(event_id) AS seq,
+            event_id % 700 % 7 = 0 AND event_id % 700 // 7 IN (SELECT c_custkey FROM customer) AS known FROM events GROUP BY ALL)""",
     "valid_at": """SELECT id, type FROM fact WHERE (k % 5 = 0 OR strptime(created_at, '%Y-%m-%dT%H:%M:%SZ') <= TIMESTAMP '2025-03-01 12:00:00')
         AND (k % 7 = 0 OR strptime(created_at, '%Y-%m-%dT%H:%M:%SZ') + to_days(CAST(k % 900 - 100 AS INTEGER)) >= TIMESTAMP '2025-03-01 12:00:00')""",
     "stale": f"""SELECT id, valid_until FROM (SELECT id, k, strptime(created_at, '%Y-%m-%dT%H:%M:%SZ') + to_days(CAST(k % 900 - 100 AS INTEGER)) AS until,
@@ -665,6 +683,10 @@ BODY = {
 }
 
 
+# The stream applies the same log in micro-batches.
+BODY["stream_command_outcomes"] = BODY["command_outcomes"]
+
+
 def _needs(text: str) -> set[str]:
     return {n for n in BASE if re.search(rf"\b(FROM|JOIN|,)\s+{n}\b", text)}
 

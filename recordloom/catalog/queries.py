@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from recordloom.catalog import tables as B
 from recordloom.functions import text as X
 from recordloom.functions.frames import keep_where
-from recordloom.functions.sizing import stable
+from recordloom.functions.sizing import ensure_checkpoint_dir, stable
 from recordloom.operators import histories as H
 from recordloom.operators import information as I
 from recordloom.operators import lifecycle as L
@@ -26,6 +27,8 @@ from recordloom.plans import execution as E
 from recordloom.plans import routing as P
 from recordloom.sources import corpora
 from recordloom.sources import requests as RQ
+from recordloom.streaming.dedupe import dedupe_stream
+from recordloom.streaming.fold import CommandFold
 
 NOW = "2025-01-01T00:00:00Z"
 
@@ -854,6 +857,83 @@ def index_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return D.index_outcomes(_applied(spark, sf)[3])
 
 
+# --- corpora and streams ------------------------------------------------------
+
+
+@query
+def corpus_threads(spark: SparkSession, sf: str) -> DataFrame:
+    return corpora.parse_threads(B.thread_texts(spark, sf)).select(
+        "path",
+        "parse_error",
+        "thread_id",
+        "title",
+        "objective",
+        "status",
+        "revision",
+        "context",
+        F.array_join(F.col("actions.status"), ",").alias("action_statuses"),
+        F.array_join(F.col("relations.target_id"), ",").alias("targets"),
+        "created_at",
+        "started_at",
+        F.element_at("provenance", "source").alias("source"),
+    )
+
+
+@query
+def corpus_memories(spark: SparkSession, sf: str) -> DataFrame:
+    return corpora.parse_memories(B.memory_texts(spark, sf)).select(
+        "path",
+        "parse_error",
+        "information_id",
+        "revision",
+        X.sha256(F.col("content")).alias("content_sha"),
+        T.json_map(F.col("metadata")).alias("metadata"),
+        "relations",
+        "verification",
+    )
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder next to the checkpoints, which all executors reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = B.read(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query
+def stream_command_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    root = _scratch(spark)
+    fold = CommandFold(spark, f"{root}/state")
+    fold.start_from(B.threads(spark, sf), B.thread_actions(spark, sf))
+    fold.start(B.commands_of(_event_stream(spark, sf)), f"{root}/checkpoint").awaitTermination()
+    return fold.outcomes().select("seq", "thread_id", "kind", "before_status", "outcome", "revision")
+
+
+@query
+def stream_idempotency(spark: SparkSession, sf: str) -> DataFrame:
+    root = _scratch(spark)
+    plans = _event_stream(spark, sf).select(
+        F.col("event_id").alias("seq"),
+        "ts",
+        F.concat(F.lit("op-"), F.col("event_id") % 700).alias("operation_id"),
+        X.sha256(F.col("event_type")).alias("execution_plan_hash"),
+    )
+    ledger = B.read(spark, sf, "customer").select(
+        F.concat(F.lit("op-"), F.col("c_custkey") * 7).alias("operation_id"),
+        X.sha256(F.lit("click")).alias("execution_plan_hash"),
+    )
+    dedupe_stream(
+        spark, plans, ledger, f"{root}/judged", f"{root}/checkpoint", "60 days"
+    ).awaitTermination()
+    return spark.read.parquet(f"{root}/judged").select(
+        "operation_id", "execution_plan_hash", "idempotency"
+    )
+
+
 # --- reports from the written specification ----------------------------------
 
 

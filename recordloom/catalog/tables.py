@@ -107,7 +107,10 @@ def thread_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered thread commands, one per event."""
-    e = read(spark, sf_dir, "events")
+    return commands_of(read(spark, sf_dir, "events"))
+
+
+def commands_of(e: DataFrame) -> DataFrame:
     n = F.col("event_id")
     kind = (
         F.when(F.col("event_type") == "purchase", F.lit("ADD_ACTION"))
@@ -280,6 +283,71 @@ def delete_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def thread_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads as record files: two actions, a relation, some defects."""
+    keys = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("thread-"), "o_orderkey").alias("thread_id"),
+        F.col("o_orderkey").alias("k"),
+        "o_custkey",
+    )
+    t = threads(spark, sf_dir).join(keys, "thread_id")
+    k = F.col("k")
+    kind = k % 17
+    action = lambda i, status: F.concat(
+        F.lit(f'{{"action_id": "a{i}", "description": "step {i}", "status": "'), status, F.lit('"}')
+    )
+    actions = (
+        F.when(kind == 1, F.lit("{}"))
+        .when(kind == 2, F.lit("[1]"))
+        .when(kind == 3, F.lit('[{"action_id": "a1"}]'))
+        .when(kind == 4, F.lit("[oops"))
+        .otherwise(
+            F.concat(
+                F.lit("["), action(1, pick(K.ACTION_STATUSES, k % 5)),
+                F.lit(", "), action(2, F.lit("PLANNED")), F.lit("]"),
+            )
+        )
+    )
+    temporal = F.concat(
+        F.lit('{"created_at": '), F.when(kind == 8, F.lit("null")).otherwise(X.json_string(F.col("created_at"))),
+        F.lit(', "updated_at": '), X.json_string(F.col("updated_at")),
+        F.lit(', "started_at": '), X.json_string(F.col("started_at")), F.lit("}"),
+    )
+    text = F.concat(
+        F.lit("# Thread Object\n\nVersion: 0.1\n\n---\n\n## Identity\n\nthread_id: "), "thread_id",
+        F.lit("\nrevision: "), F.when(kind == 5, F.lit("x")).otherwise(F.col("revision").cast("string")),
+        F.lit("\ntitle: "), "title",
+        F.lit("\nstatus: "), F.when(kind == 6, F.lit("ASLEEP")).otherwise(F.col("status")),
+        F.lit("\n\n---\n\n## Objective\n\n"), "objective", F.lit("\n\n"),
+        F.when(kind == 7, F.lit("")).otherwise(_block("Context", F.col("context"))),
+        _block("Actions", actions),
+        _block("Relations", F.concat(F.lit('[{"type": "PART_OF", "target_id": "thread-'), "o_custkey", F.lit('"}]'))),
+        _block("Temporal", temporal),
+        _block("Provenance", F.lit('{"source": "import", "rank": 1}')),
+    )
+    return t.select(F.concat(F.lit("threads/"), "thread_id", F.lit(".md")).alias("path"), text.alias("text"))
+
+
+def _block(name: str, body: Column) -> Column:
+    return F.concat(F.lit(f"---\n\n## {name}\n\n```json\n"), body, F.lit("\n```\n\n"))
+
+
+def memory_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories as record files; some have no revision or a broken section."""
+    d = read(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    metadata = F.concat(F.lit('{"source": "'), "source", F.lit('", "lang": "'), "lang", F.lit('"}'))
+    text = F.concat(
+        F.lit("# Information Object\n\nVersion: 0.1\n\n---\n\n## Identity\n\nid: info-"), k,
+        F.when(k % 13 == 5, F.lit("")).otherwise(F.concat(F.lit("\nrevision: "), k % 4 + 1)),
+        F.lit("\n\n---\n\n## Content\n\n"), "text", F.lit("\n\n"),
+        _block("Metadata", metadata),
+        F.when(k % 13 == 6, _block("Provenance", F.lit("{broken"))).otherwise(F.lit("")),
+        _block("Relations", F.lit("[]")),
+    )
+    return d.select(F.concat(F.lit("memories/info-"), k, F.lit(".md")).alias("path"), text.alias("text"))
+
+
 # --- information -------------------------------------------------------------
 
 _TEXT_RELATIONS = K.RELATION_TYPES + ("REQUIRES", "CONCERNS")

@@ -290,15 +290,18 @@ def apply_commands(
     history row per accepted status change.
     """
     replayed = replay_commands(threads, actions, commands, max_rows)
-    accepted = replayed.with_rows(replayed.rows.filter(F.col("outcome") == "OK"))
     return (
-        _threads_after(threads, accepted.rows),
-        _actions_after(actions, accepted),
+        threads_after(threads, replayed),
+        actions_after(actions, replayed),
         replayed.rows.drop("chunk"),
-        _history(accepted.rows),
+        status_events(replayed),
     )
 
 
+def _accepted(replayed: Chunked) -> Chunked:
+    return replayed.with_rows(replayed.rows.filter(F.col("outcome") == "OK"))
+
+
 def replay_commands(
     threads: DataFrame,
     actions: DataFrame,
@@ -396,7 +399,9 @@ def replay_commands(
     )
 
 
-def _threads_after(threads: DataFrame, accepted: DataFrame) -> DataFrame:
+def threads_after(threads: DataFrame, replayed: Chunked) -> DataFrame:
+    """Threads with the accepted commands applied."""
+    accepted = _accepted(replayed).rows
     moved = F.col("kind") == "SET_STATUS"
     change = accepted.groupBy("thread_id").agg(
         F.count(F.lit(1)).cast("int").alias("steps"),
@@ -417,7 +422,9 @@ def _threads_after(threads: DataFrame, accepted: DataFrame) -> DataFrame:
     )
 
 
-def _actions_after(actions: DataFrame, accepted: Chunked) -> DataFrame:
+def actions_after(actions: DataFrame, replayed: Chunked) -> DataFrame:
+    """Actions with the accepted commands applied; new ones come last."""
+    accepted = _accepted(replayed)
     added = accepted.with_rows(accepted.rows.filter(F.col("kind") == "ADD_ACTION"))
     taken = actions.groupBy("thread_id").agg(F.max("pos").alias("last_pos"))
     placed = running(added, counts={"n": F.lit(True)}).rows.join(taken, "thread_id", "left")
@@ -443,8 +450,9 @@ def _actions_after(actions: DataFrame, accepted: Chunked) -> DataFrame:
     )
 
 
-def _history(accepted: DataFrame) -> DataFrame:
-    return accepted.filter(F.col("kind") == "SET_STATUS").select(
+def status_events(replayed: Chunked) -> DataFrame:
+    """One history row per accepted status change."""
+    return _accepted(replayed).rows.filter(F.col("kind") == "SET_STATUS").select(
         X.derived_id("event", F.col("thread_id"), F.col("seq")).alias("event_id"),
         "thread_id",
         "revision",

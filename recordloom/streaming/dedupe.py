@@ -14,7 +14,9 @@ def distinct_operations(plans: DataFrame, delay: str = "1 hour") -> DataFrame:
 
     The same id with another hash is a conflict and has to stay.
     """
-    return plans.withWatermark("ts", delay).dropDuplicatesWithinWatermark(
+    # event time needs a time zone; plain timestamps are in the session's
+    timed = plans.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(
         ["operation_id", "execution_plan_hash"]
     )
 
@@ -45,7 +47,12 @@ def judge_batch(plans: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def dedupe_stream(
-    spark: SparkSession, plans: DataFrame, ledger: DataFrame, root: str, checkpoint: str
+    spark: SparkSession,
+    plans: DataFrame,
+    ledger: DataFrame,
+    root: str,
+    checkpoint: str,
+    delay: str = "1 hour",
 ) -> StreamingQuery:
     """Judge a stream of plans (seq, ts, operation_id, execution_plan_hash).
 
@@ -69,7 +76,7 @@ def dedupe_stream(
         )
 
     return (
-        distinct_operations(plans)
+        distinct_operations(plans, delay)
         .writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -16,7 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recordloom.operators.lifecycle import apply_commands
+from recordloom.operators.lifecycle import (
+    actions_after,
+    replay_commands,
+    status_events,
+    threads_after,
+)
 
 
 @dataclass(frozen=True)
@@ -29,7 +34,7 @@ class CommandFold:
     def start_from(self, threads: DataFrame, actions: DataFrame) -> None:
         """Write the base snapshot."""
         self._write(threads, "threads", -1)
-        self._write(actions.withColumn("n", F.lit(0)), "actions", -1)
+        self._write(actions, "actions", -1)
 
     def _write(self, df: DataFrame, name: str, epoch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/epoch={epoch}")
@@ -59,23 +64,27 @@ class CommandFold:
         if only is not None:
             rows = rows.join(only, "thread_id", "left_semi")
         newest = rows.groupBy("thread_id").agg(F.max("epoch").alias("epoch"))
-        return rows.join(newest, ["thread_id", "epoch"]).drop("epoch", "n")
+        return rows.join(newest, ["thread_id", "epoch"]).drop("epoch")
 
     def step(self, commands: DataFrame, epoch: int) -> None:
         commands = commands.persist()
         touched = commands.select("thread_id").distinct()
         threads = self.threads(epoch, touched).persist()
         actions = self.actions(epoch, touched).persist()
-        after, steps, outcomes, history = apply_commands(threads, actions, commands)
-        self._write(after, "threads", epoch)
-        self._write(steps.withColumn("n", F.lit(0)), "actions", epoch)
-        self._write(outcomes, "outcomes", epoch)
-        self._write(history, "history", epoch)
+        replayed = replay_commands(threads, actions, commands)
+        # The outcomes are written first; the rest follows from the written rows.
+        self._write(replayed.rows, "outcomes", epoch)
+        written = replayed.with_rows(
+            self.spark.read.parquet(f"{self.root}/outcomes/epoch={epoch}")
+        )
+        self._write(threads_after(threads, written), "threads", epoch)
+        self._write(actions_after(actions, written), "actions", epoch)
+        self._write(status_events(written), "history", epoch)
         for df in (actions, threads, commands):
             df.unpersist()
 
     def outcomes(self) -> DataFrame:
-        return self._read("outcomes", 2**31 - 1).drop("epoch")
+        return self._read("outcomes", 2**31 - 1).drop("epoch", "chunk")
 
     def start(self, commands: DataFrame, checkpoint: str) -> StreamingQuery:
         """Run over a command stream until its current end.
