@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.sizing import spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on their whole text."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def pick(values: tuple[str, ...] | list[str], index: Column) -> Column:
     """The value at a zero-based position."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -202,7 +208,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select(
         F.concat(F.lit("info-"), "doc_id").alias("information_id"),
         (F.col("doc_id") % 4 + 1).cast("int").alias("revision"),
@@ -334,7 +340,7 @@ def _block(name: str, body: Column) -> Column:
 
 def memory_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories as record files; some have no revision or a broken section."""
-    d = read(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     k = F.col("doc_id")
     metadata = F.concat(F.lit('{"source": "'), "source", F.lit('", "lang": "'), "lang", F.lit('"}'))
     text = F.concat(
@@ -355,7 +361,7 @@ _TEXT_RELATIONS = K.RELATION_TYPES + ("REQUIRES", "CONCERNS")
 
 def information_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribute values shared by the record table and the record texts."""
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    d = documents(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id", "left")
     k = F.col("doc_id")
     return d.select(
         "doc_id",

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 
@@ -15,9 +14,14 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; otherwise leave a shuffle join."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that arrives in fewer pieces than there are.
+
+    Meant for work that is heavy per row on a small file; a large input has more
+    pieces than the cluster has cores and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def stable(df: DataFrame) -> DataFrame:

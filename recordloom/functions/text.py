@@ -71,7 +71,7 @@ def casefold(column: Column) -> Column:
     rules = _fold_rules()
     # Parsed once by constant folding; as JSON it stays a single literal.
     table = F.from_json(F.lit(canonical(rules)), "map<string,string>")
-    rare = "[" + "".join(c for c in rules if c != "ß") + "]"
+    rare = "".join(c for c in rules if c != "ß")
 
     def spell(text: Column) -> Column:
         letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c))
@@ -79,8 +79,10 @@ def casefold(column: Column) -> Column:
 
     def fold(text: Column) -> Column:
         # ß is by far the most frequent; the others are looked up letter by letter.
-        return F.when(text.rlike(rare), spell(text)).otherwise(
-            F.replace(text, F.lit("ß"), F.lit("ss"))
+        return (
+            F.when(F.octet_length(text) == F.length(text), text)
+            .when(F.translate(text, rare, "") != text, spell(text))
+            .otherwise(F.replace(text, F.lit("ß"), F.lit("ss")))
         )
 
     return let(F.lower(column), fold)

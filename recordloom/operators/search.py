@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from recordloom import constants as K
 from recordloom.functions import text as X
 from recordloom.functions.ranking import best_rows
+from recordloom.functions.sizing import stable
 from recordloom.operators.memories import ID
 from recordloom.operators.threads import json_map
 
@@ -96,16 +97,18 @@ def term_search_batch(
     asked = queries.select("query_id", F.explode(X.words(F.col("query"))).alias("term"))
     weights = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
     sizes = weights.groupBy("query_id").agg(F.sum("weight").alias("n_terms"))
-    terms = weights.select("term").distinct()
-
+    # Numbered once, so that memories are matched by number from here on.
+    terms = stable(
+        weights.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id())
+    )
     few = terms.take(literal_terms + 1)
     if len(few) <= literal_terms:
-        hits = _scan_hits(memories, sorted(row.term for row in few))
+        hits = _scan_hits(memories, sorted(tuple(row) for row in few))
     else:
         hits = _run_hits(memories, terms)
 
     scored = (
-        hits.join(weights, "term")
+        hits.join(weights.join(terms, "term"), "term_id")
         .groupBy("query_id", ID)
         .agg(F.sum("weight").alias("matches"))
         .join(sizes, "query_id")
@@ -117,13 +120,13 @@ def term_search_batch(
     )
 
 
-def _scan_hits(memories: DataFrame, terms: list[str]) -> DataFrame:
+def _scan_hits(memories: DataFrame, terms: list[tuple[str, int]]) -> DataFrame:
     """(memory, term) pairs from one scan with the terms as literals."""
-    listed = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    found = F.filter(listed, lambda t: F.contains(F.col("_hay"), t))
-    return (
-        memories.select(ID, haystack().alias("_hay"))
-        .select(ID, F.explode(found).alias("term"))
+    hay = F.col("_hay")
+    found = [F.when(F.contains(hay, F.lit(t)), F.lit(i).cast("long")) for t, i in terms]
+    listed = F.array_compact(F.array(*found)) if found else F.array().cast("array<bigint>")
+    return memories.select(ID, haystack().alias("_hay")).select(
+        ID, F.explode(listed).alias("term_id")
     )
 
 
@@ -133,14 +136,25 @@ def _run_hits(memories: DataFrame, terms: DataFrame) -> DataFrame:
         F.regexp_extract_all(haystack(), F.lit(f"({_RUN})"), F.lit(1))
     )
     runs = memories.select(ID, F.explode(listed).alias("run"))
-    matched = runs_with_terms(runs.select("run").distinct(), terms)
-    return runs.join(matched, "run").select(ID, "term").distinct()
+    # A run holds no more terms than it has parts, a memory no more runs than
+    # it has words, so both lists are bounded by a single record.
+    matched = (
+        runs_with_terms(runs.select("run").distinct(), terms)
+        .groupBy("run")
+        .agg(F.collect_list("term_id").alias("ids"))
+    )
+    return (
+        runs.join(matched, "run")
+        .groupBy(ID)
+        .agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+        .select(ID, F.explode("ids").alias("term_id"))
+    )
 
 
 def runs_with_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """(run, term) for every distinct run that contains the term."""
+    """(run, term_id) for every distinct run that contains the term."""
     sized = terms.withColumn("size", F.least(F.length("term"), F.lit(GRAM)))
-    keyed = sized.select("term", F.substring("term", F.lit(1), F.col("size")).alias("gram"))
+    keyed = sized.select("term", "term_id", F.substring("term", F.lit(1), F.col("size")).alias("gram"))
 
     def grams(size: int) -> Column:
         last = F.length("run") - size + 1
@@ -156,5 +170,5 @@ def runs_with_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
         vocabulary.select("run", F.explode(pieces).alias("gram"))
         .join(keyed, "gram")
         .filter(F.contains("run", F.col("term")))
-        .select("run", "term")
+        .select("run", "term_id")
     )
