@@ -86,8 +86,13 @@ def running(
         .rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     )
     zero = F.lit(0).cast("long")
+    source = chunked.rows
+    if chunked.split:
+        # Rows already grouped by the key alone would satisfy the window below,
+        # with the hot key still in one task: spread the chunks explicitly.
+        source = source.repartition(key, "chunk")
     flag = {n: F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("long") for n, c in counts.items()}
-    rows = chunked.rows.select(
+    rows = source.select(
         "*",
         *[F.coalesce(F.sum(c).over(inside), zero).alias(n) for n, c in flag.items()],
         *[F.last(c, ignorenulls=True).over(inside).alias(n) for n, c in lasts.items()],

@@ -97,6 +97,7 @@ def term_search_batch(
     asked = queries.select("query_id", F.explode(X.words(F.col("query"))).alias("term"))
     weights = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
     sizes = weights.groupBy("query_id").agg(F.sum("weight").alias("n_terms"))
+    weights = weights.join(sizes, "query_id")
     # Numbered once, so that memories are matched by number from here on.
     terms = stable(
         weights.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id())
@@ -110,8 +111,7 @@ def term_search_batch(
     scored = (
         hits.join(weights.join(terms, "term"), "term_id")
         .groupBy("query_id", ID)
-        .agg(F.sum("weight").alias("matches"))
-        .join(sizes, "query_id")
+        .agg(F.sum("weight").alias("matches"), F.first("n_terms").alias("n_terms"))
         .select("query_id", ID, (F.col("matches") / F.col("n_terms")).alias("score"))
     )
     order = [F.col("score").desc(), X.file_order(F.col(ID))]

@@ -21,9 +21,8 @@ from recordloom.functions.frames import keep_where
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files below ``path`` as (path, text); only the folder itself."""
     return (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", "*.md")
-        .text(path)
+        spark.read.option("pathGlobFilter", "*.md")
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 
@@ -424,9 +423,8 @@ def revision_parts(v: Column) -> tuple[Column, Column, Column]:
 def read_operations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Operation records, one JSON file each, and those that contradict their name."""
     raw = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", "*.json")
-        .text(path)
+        spark.read.option("pathGlobFilter", "*.json")
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), "value")
     )
     v = F.try_parse_json("value")

@@ -20,10 +20,9 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 def text_stream(spark: SparkSession, path: str, files_per_trigger: int = 10_000) -> DataFrame:
     """Record files of a folder as they arrive."""
     return (
-        spark.readStream.option("wholetext", "true")
-        .option("pathGlobFilter", "*.md")
+        spark.readStream.option("pathGlobFilter", "*.md")
         .option("maxFilesPerTrigger", files_per_trigger)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 
