@@ -88,10 +88,20 @@ def route(texts: DataFrame) -> DataFrame:
         "mechanisms_json",
         *[f"{o}_{p}" for o in ("store", "update", "index", "ignore") for p in ("required", "reason")],
         F.when(error.isNull(), _plan_json()).alias("plan"),
+        _has_exponent(F.col("_v")).alias("hash_caution"),
         error.alias("error"),
     )
 
 
+def _has_exponent(v: Column) -> Column:
+    """Whether a number is written with an exponent.
+
+    Such numbers have more than one spelling in use, so a digest of the plan may
+    differ from one made elsewhere; text that looks like one only adds caution.
+    """
+    return F.coalesce(F.to_json(v).rlike(r"[\[:,]-?\d+(\.\d+)?E-?\d+"), F.lit(False))
+
+
 def _plan_json() -> Column:
     v = F.col("_v")
 
