@@ -64,7 +64,7 @@ BASE = {
         FROM orders""",
     "act": f"""
         SELECT 'thread-' || l_orderkey AS thread_id, l_linenumber AS pos,
-          'action-' || l_linenumber AS action_id,
+          CASE WHEN l_partkey % 307 = 0 THEN '' WHEN l_partkey % 101 = 0 THEN 'action-1' ELSE 'action-' || l_linenumber END AS action_id,
           CASE WHEN l_partkey % 211 = 0 THEN ' ' ELSE 'part ' || l_partkey || ' from ' || l_suppkey END AS description,
           {_list(K.ACTION_STATUSES)}[l_partkey % 5 + 1] AS status,
           '{{"quantity":' || CAST(l_quantity AS INTEGER) || '}}' AS metadata
@@ -214,7 +214,8 @@ BASE = {
           CASE WHEN d.decision = 'MAYBE' THEN 'INVALID_DECISION' WHEN r.review_id IS NULL THEN 'REVIEW_NOT_FOUND'
                WHEN r.status <> 'PENDING_REVIEW' THEN 'REVIEW_NOT_PENDING' WHEN r.information_id = '' THEN 'INFORMATION_ID_MISSING'
                WHEN f.id IS NULL THEN 'INFORMATION_NOT_FOUND' WHEN f.errors <> '' THEN 'INFORMATION_INVALID'
-               WHEN f.epistemic_status <> 'UNVERIFIED' THEN 'NOT_UNVERIFIED' WHEN f.structured THEN 'INVALID_REVISION' END AS problem
+               WHEN f.epistemic_status <> 'UNVERIFIED' THEN 'NOT_UNVERIFIED' WHEN f.structured THEN 'INVALID_REVISION'
+               WHEN f.k % 13 = 0 THEN 'INVALID_OPERATIONAL_STATE' END AS problem
         FROM dec d LEFT JOIN rev r USING (review_id) LEFT JOIN err f ON f.id = r.information_id""",
     "deco": """
         SELECT *, CASE WHEN problem IS NOT NULL THEN problem
@@ -227,7 +228,7 @@ BASE = {
         SELECT doc_id * 4 + i AS seq, 'info-' || doc_id AS source_id,
           CASE WHEN i = 3 AND doc_id % 8 = 0 THEN 'LIKES' WHEN i = 0 THEN {_list(K.RELATION_TYPES)}[least(doc_id % 14, 9) + 1]
                WHEN i = 1 THEN ['SUPERSEDES', 'CONTRADICTS'][doc_id % 2 + 1] ELSE {_list(K.RELATION_TYPES)}[doc_id % 10 + 1] END AS type,
-          CASE WHEN i = 1 AND doc_id % 31 = 0 THEN '' ELSE 'info-' || CASE WHEN i = 0 THEN doc_id + 1
+          CASE WHEN i = 1 AND doc_id % 31 = 0 THEN '' WHEN i = 2 AND doc_id % 16 = 3 THEN 'memo-' || (doc_id // 38 * 19) ELSE 'info-' || CASE WHEN i = 0 THEN doc_id + 1
                WHEN i = 1 THEN CASE WHEN doc_id % 6 = 0 THEN doc_id ELSE doc_id + 2 END
                WHEN i = 2 THEN doc_id // 2 ELSE CASE WHEN doc_id % 9 = 0 THEN doc_id + 1000000 ELSE doc_id // 2 END END END AS target_id,
           i % 2 = 1 AS review
@@ -243,7 +244,8 @@ BASE = {
           CASE WHEN t.id IS NULL OR p.type <> 'SUPERSEDES' THEN '' ELSE concat_ws('; ',
               CASE WHEN s.epistemic_status = 'REFUTED' THEN 'source REFUTED : vérifier la pertinence de la supersession' END,
               CASE WHEN t.epistemic_status = 'CONFIRMED' THEN {_q(K.RELATION_WARNINGS["SUPERSEDES_TO_CONFIRMED"])} END) END AS warnings
-        FROM prop p JOIN fact s ON s.id = p.source_id LEFT JOIN fact t ON t.id = p.target_id""",
+        FROM prop p JOIN fact s ON s.id = p.source_id LEFT JOIN (
+          SELECT id, epistemic_status FROM fact UNION ALL SELECT 'memo-' || k, epistemic_status FROM fact WHERE k % 19 = 0) t ON t.id = p.target_id""",
     "relo": """
         SELECT c.*, CASE WHEN errors <> '' THEN 'REFUSED' WHEN structured THEN 'REVISION_ABSENT'
           WHEN x.source_id IS NOT NULL OR row_number() OVER (PARTITION BY c.source_id, c.type, c.target_id, errors = '' AND NOT structured ORDER BY seq) > 1
@@ -331,9 +333,17 @@ BASE = {
           CASE WHEN revision < 1 THEN 'revision must be >= 1' END,
           CASE WHEN completed_at IS NOT NULL AND status <> 'COMPLETED' THEN 'completed_at must be empty unless status is COMPLETED' END,
           CASE WHEN completed_at IS NULL AND status = 'COMPLETED' THEN 'completed_at is required for COMPLETED Thread' END,
-          CASE WHEN blank THEN 'action description is required' END, CASE WHEN dup THEN 'duplicate action_id' END) AS errors
-        FROM thr t LEFT JOIN (SELECT thread_id, bool_or(trim(description) = '') AS blank, count(*) <> count(DISTINCT action_id) AS dup
-                              FROM act GROUP BY thread_id) a USING (thread_id)""",
+          CASE WHEN noid THEN 'action_id is required' END,
+          CASE WHEN blank THEN 'action description is required' END, CASE WHEN dup THEN 'duplicate action_id' END) AS errors,
+          CASE WHEN trim(title) = '' OR revision < 1 OR (completed_at IS NOT NULL) <> (status = 'COMPLETED') THEN split_part(errors, '; ', 1)
+               ELSE fault END AS error
+        FROM thr t LEFT JOIN (
+          SELECT thread_id, bool_or(action_id = '') AS noid, bool_or(action_id <> '' AND trim(description) = '') AS blank,
+            bool_or(action_id <> '' AND use = 2) AS dup, arg_min(fault, printf('%09d', CAST(pos AS BIGINT)) || CASE WHEN action_id = '' THEN 0 WHEN trim(description) = '' THEN 1 ELSE 2 END || fault) FILTER (fault IS NOT NULL) AS fault
+          FROM (SELECT *, CASE WHEN action_id = '' THEN 'action_id is required' WHEN trim(description) = '' THEN 'action description is required: ' || action_id
+                               WHEN use > 1 THEN 'duplicate action_id: ' || action_id END AS fault
+                FROM (SELECT *, row_number() OVER (PARTITION BY thread_id, action_id ORDER BY pos) AS use FROM act))
+          GROUP BY thread_id) a USING (thread_id)""",
     "cmdo": """
         SELECT c.*, row_number() OVER (PARTITION BY c.thread_id ORDER BY seq) AS n FROM cmd c JOIN val v USING (thread_id) WHERE v.errors = ''""",
     "sim": f"""
@@ -532,7 +542,7 @@ BODY = {
     "delete_requests_on_file": "SELECT * FROM delp",
     "delete_decisions": "SELECT seq, information_id, operation_id, decision, outcome FROM delx",
     "memories_after_deletes": "SELECT information_id, revision FROM mem WHERE information_id NOT IN (SELECT information_id FROM delx WHERE outcome = 'DELETED')",
-    "invalid_threads": "SELECT thread_id, split_part(errors, '; ', 1) AS error, errors FROM val WHERE errors <> ''",
+    "invalid_threads": "SELECT thread_id, error, errors FROM val WHERE errors <> ''",
     "duplicate_actions": "SELECT thread_id, action_id, count(*) AS uses FROM act GROUP BY ALL HAVING count(*) > 1",
     "illegal_transitions": f"""SELECT * FROM (SELECT seq, thread_id, t.status AS from_status, c.status AS to_status,
           CASE WHEN c.status NOT IN {_in(K.THREAD_STATUSES)} THEN 'INVALID_STATUS' WHEN c.status = t.status THEN 'SAME_STATUS'
@@ -600,7 +610,7 @@ BODY = {
           CAST(number + n - 1 AS INTEGER) AS before_revision, 'Relation ' || type || ' ajoutée vers ' || target_id || '.' AS description FROM rela""",
     "relation_reviews": """SELECT review_id, source_id AS information_id, target_id AS target_information_id, type AS relation_type, 'PENDING_REVIEW' AS status
         FROM rela WHERE review_id IS NOT NULL""",
-    "information_after_relations": "SELECT f.id, CAST(f.number + coalesce(max(n), 0) AS INTEGER) AS number FROM fact f LEFT JOIN rela a ON a.source_id = f.id GROUP BY f.id, f.number",
+    "information_after_relations": "SELECT f.id, CAST(f.number + coalesce(max(n), 0) AS INTEGER) AS number FROM fact f LEFT JOIN rela a ON a.source_id = f.id GROUP BY f.id, f.number UNION ALL SELECT 'memo-' || k, number FROM fact WHERE k % 19 = 0",
     "mechanism_classes": """SELECT id, type, 'YES' AS working, episodic, 'POSSIBLE' AS semantic, associative, procedural, 'NO' AS prospective FROM mech""",
     "mechanism_long": f"""SELECT id, 'WORKING' AS mechanism, 'YES' AS status, {_q(K.WORKING_REASON)} AS reason FROM mech
         UNION ALL SELECT id, 'EPISODIC', episodic, episodic_reason FROM mech UNION ALL SELECT id, 'SEMANTIC', 'POSSIBLE', semantic_reason FROM mech
@@ -639,6 +649,18 @@ BODY = {
           CASE WHEN code = 'STORE' THEN {_q(K.STORED_DESCRIPTION)} ELSE {_q(K.UPDATED_DESCRIPTION)} END AS description FROM app WHERE code IN ('STORE', 'UPDATE', 'INDEX', 'INDEX_REFUSED')""",
     "ledger_rows": """SELECT id AS information_id, CASE WHEN code = 'STORE' THEN 'STORE' ELSE 'UPDATE' END AS result, 'EXECUTED' AS status, operation_id, execution_plan_hash
         FROM app WHERE code IN ('STORE', 'UPDATE', 'INDEX', 'INDEX_REFUSED')""",
+    "ledger_written": """SELECT id AS information_id, CASE WHEN code = 'STORE' THEN 'STORE' ELSE 'UPDATE' END AS result, 'EXECUTED' AS status, operation_id, execution_plan_hash
+        FROM app WHERE code IN ('STORE', 'UPDATE', 'INDEX', 'INDEX_REFUSED')""",
+    "events_written": f"""SELECT id AS information_id, number AS revision, CASE WHEN code = 'STORE' THEN 'STORED' ELSE 'UPDATED' END AS event_type,
+          {_state_json("epistemic_status", "operational_state")} AS after, CASE WHEN code = 'STORE' THEN 'MEMORY_OPERATION' ELSE 'NEW_INFORMATION' END AS cause_type,
+          CASE WHEN code = 'STORE' THEN {_q(K.STORED_DESCRIPTION)} ELSE {_q(K.UPDATED_DESCRIPTION)} END AS description FROM app WHERE code IN ('STORE', 'UPDATE', 'INDEX', 'INDEX_REFUSED')""",
+    "ledger_scan": """SELECT 'op-' || c_custkey || '.json' AS file, CASE WHEN error IS NULL THEN 'info-' || c_custkey END AS information_id,
+          CASE WHEN error IS NULL THEN CASE WHEN c_custkey % 2 = 0 THEN 'STORE' ELSE 'UPDATE' END END AS result, CASE WHEN error IS NULL THEN sha256(c_name) END AS execution_plan_hash, error
+        FROM (SELECT *, CASE c_custkey % 11 WHEN 3 THEN 'ID_CONFLICT' WHEN 5 THEN 'INVALID_JSON' WHEN 7 THEN 'NOT_AN_OBJECT' END AS error FROM customer)""",
+    "stream_ingest": """SELECT 'info-' || doc_id AS information_id, CAST(doc_id % 4 + 1 AS INTEGER) AS revision, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS content_sha
+        FROM documents WHERE doc_id % 13 NOT IN (5, 6)
+        UNION ALL SELECT CASE doc_id % 13 WHEN 5 THEN 'missing identity information' ELSE 'invalid JSON in section ''Provenance''' END, CAST(count(*) AS INTEGER), NULL
+        FROM documents WHERE doc_id % 13 IN (5, 6) GROUP BY 1""",
     "persistent_after_plans": """SELECT 'persistent/' || id || '.md' AS path, sha256(CASE WHEN there AND NOT (rule = 'UPDATE_ALLOWED' AND code IN ('UPDATE', 'INDEX')) AND structured
           THEN replace(body, 'revision:' || chr(10) || '  number: ' || number || chr(10), 'revision:' || chr(10) || '  number: ' || p_number || chr(10)) ELSE body END) AS text_sha
         FROM app WHERE there OR code = 'STORE'""",

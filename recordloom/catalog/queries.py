@@ -25,12 +25,14 @@ from recordloom.plans import classify as C
 from recordloom.plans import decisions as D
 from recordloom.plans import execution as E
 from recordloom.plans import routing as P
-from recordloom.sources import corpora
+from recordloom.sources import corpora, sinks
 from recordloom.sources import requests as RQ
 from recordloom.streaming.dedupe import dedupe_stream
 from recordloom.streaming.fold import CommandFold
+from recordloom.streaming.ingest import ingest_stream
 
 NOW = "2025-01-01T00:00:00Z"
+RECORD_SEPARATOR = "\x1e"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -516,7 +518,7 @@ def information_after_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 def _resolved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return I.resolve_reviews(
-        B.reviews(spark, sf), B.information(spark, sf), B.review_decisions(spark, sf), NOW
+        B.reviews(spark, sf), B.information_under_review(spark, sf), B.review_decisions(spark, sf), NOW
     )
 
 
@@ -544,13 +546,13 @@ def pending_reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _checked(spark: SparkSession, sf: str) -> DataFrame:
-    return R.relation_checks(B.relation_proposals(spark, sf), B.information(spark, sf))
+    return R.relation_checks(B.relation_proposals(spark, sf), B.information_and_memos(spark, sf))
 
 
 def _related(spark: SparkSession, sf: str):
     return R.apply_relations(
         B.relation_proposals(spark, sf),
-        B.information(spark, sf),
+        B.information_and_memos(spark, sf),
         B.information_relations(spark, sf),
         NOW,
     )
@@ -777,7 +779,7 @@ def _short_plans(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ledger(plans: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     """Operations on file: French records were executed as planned, German ones
-    under another plan."""
+    under another plan; every operation is on file twice."""
     docs = B.read(spark, sf, "documents").select(
         F.concat(F.lit("info-"), "doc_id").alias("information_id"), "lang"
     )
@@ -787,7 +789,9 @@ def _ledger(plans: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
         .select(
             "operation_id",
             F.when(F.col("lang") == "fr", F.col("execution_plan_hash")).otherwise(F.lit("0")).alias("execution_plan_hash"),
+            F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"),
         )
+        .drop("copy")
     )
 
 
@@ -847,6 +851,55 @@ def ledger_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _applied(spark, sf)[2].select("information_id", "result", "status", "operation_id", "execution_plan_hash")
 
 
+def _ledger_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledger files, one per customer; some are broken, misnamed or no object."""
+    c = B.read(spark, sf, "customer")
+    k = F.col("c_custkey")
+    operation = F.concat(F.lit("op-"), k)
+    value = X.json_object(
+        {
+            "operation_id": X.json_string(F.when(k % 11 == 3, F.concat(operation, F.lit("x"))).otherwise(operation)),
+            "execution_plan_hash": X.json_string(X.sha256(F.col("c_name"))),
+            "information_id": X.json_string(F.concat(F.lit("info-"), k)),
+            "result": X.json_string(F.when(k % 2 == 0, "STORE").otherwise("UPDATE")),
+            "status": X.json_string(F.lit("EXECUTED")),
+            "timestamp": X.json_string(F.lit(NOW)),
+        }
+    )
+    broken = F.when(k % 11 == 5, F.substring(value, F.lit(1), F.length(value) - 1)).when(k % 11 == 7, F.lit("[]"))
+    return c.select(F.concat(operation, F.lit(".json")).alias("file"), F.coalesce(broken, value).alias("value"))
+
+
+@query
+def ledger_scan(spark: SparkSession, sf: str) -> DataFrame:
+    good, bad = corpora.parse_operations(_ledger_files(spark, sf))
+    return good.select(
+        F.concat("operation_id", F.lit(".json")).alias("file"),
+        "information_id",
+        "result",
+        "execution_plan_hash",
+        F.lit(None).cast("string").alias("error"),
+    ).unionByName(bad, allowMissingColumns=True)
+
+
+@query
+def ledger_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger as read back after it was written twice."""
+    rows, path = stable(_applied(spark, sf)[2]), f"{_scratch(spark)}/ledger"
+    for _ in range(2):
+        sinks.append_operations(rows, path)
+    return spark.read.parquet(path).select("information_id", "result", "status", "operation_id", "execution_plan_hash")
+
+
+@query
+def events_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The history as read back after it was written twice."""
+    rows, path = stable(_applied(spark, sf)[1]), f"{_scratch(spark)}/events"
+    for _ in range(2):
+        sinks.append_events(rows, path)
+    return spark.read.parquet(path).select("information_id", "revision", "event_type", "after", "cause_type", "description")
+
+
 @query
 def persistent_after_plans(spark: SparkSession, sf: str) -> DataFrame:
     return _applied(spark, sf)[0].select("path", X.sha256(F.col("text")).alias("text_sha"))
@@ -913,6 +966,28 @@ def stream_command_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return fold.outcomes().select("seq", "thread_id", "kind", "before_status", "outcome", "revision")
 
 
+@query
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Memories ingested from text files, two files to each micro-batch."""
+    root = _scratch(spark)
+    texts = B.memory_texts(spark, sf).select("text").repartition(4)
+    texts.write.option("lineSep", RECORD_SEPARATOR).text(f"{root}/in")
+    ingest_stream(
+        spark, "memories", f"{root}/in", f"{root}/rows", f"{root}/checkpoint", 2, RECORD_SEPARATOR
+    ).awaitTermination()
+    good = spark.read.parquet(f"{root}/rows").select(
+        "information_id", "revision", X.sha256(F.col("content")).alias("content_sha")
+    )
+    rejects = spark.read.parquet(f"{root}/rows_rejects").groupBy("parse_error").agg(F.count(F.lit(1)).alias("n"))
+    return good.unionByName(
+        rejects.select(
+            F.col("parse_error").alias("information_id"),
+            F.col("n").cast("int").alias("revision"),
+            F.lit(None).cast("string").alias("content_sha"),
+        )
+    )
+
+
 @query
 def stream_idempotency(spark: SparkSession, sf: str) -> DataFrame:
     root = _scratch(spark)

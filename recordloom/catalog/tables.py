@@ -75,7 +75,10 @@ def thread_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.concat(F.lit("thread-"), F.col("l_orderkey")).alias("thread_id"),
         F.col("l_linenumber").alias("pos"),
-        F.concat(F.lit("action-"), F.col("l_linenumber")).alias("action_id"),
+        F.when(F.col("l_partkey") % 307 == 0, F.lit(""))
+        .when(F.col("l_partkey") % 101 == 0, F.lit("action-1"))
+        .otherwise(F.concat(F.lit("action-"), F.col("l_linenumber")))
+        .alias("action_id"),
         F.when(F.col("l_partkey") % 211 == 0, F.lit(" "))
         .otherwise(F.concat(F.lit("part "), "l_partkey", F.lit(" from "), "l_suppkey"))
         .alias("description"),
@@ -469,6 +472,22 @@ def information(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def information_and_memos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, some of them once more under an id of another form."""
+    rows = information(spark, sf_dir)
+    number = F.regexp_extract("id", r"(\d+)", 1)
+    memos = rows.filter(number.cast("long") % 19 == 0).withColumn("id", F.concat(F.lit("memo-"), number))
+    return rows.unionByName(memos)
+
+
+def information_under_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, some of them without an operational state."""
+    number = F.regexp_extract("id", r"(\d+)", 1).cast("long")
+    empty = (number % 13 == 0) & (F.col("operational_state") != "LOST")
+    state = F.when(empty, F.lit("")).otherwise(F.col("operational_state"))
+    return information(spark, sf_dir).withColumn("operational_state", state)
+
+
 def information_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations already present: one per record with a relation."""
     k = F.col("doc_id")
@@ -503,7 +522,10 @@ def relation_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k * 4 + i).alias("seq"),
         F.concat(F.lit("info-"), k).alias("source_id"),
         kind.alias("type"),
-        F.when((i == 1) & (k % 31 == 0), F.lit("")).otherwise(F.concat(F.lit("info-"), target)).alias("target_id"),
+        F.when((i == 1) & (k % 31 == 0), F.lit(""))
+        .when((i == 2) & (k % 16 == 3), F.concat(F.lit("memo-"), F.floor(k / 38) * 19))
+        .otherwise(F.concat(F.lit("info-"), target))
+        .alias("target_id"),
         (i % 2 == 1).alias("review"),
     )
 

@@ -282,9 +282,6 @@ IGNORE_REASON = "Une opération mémoire est requise."
 
 UPDATE_WITHOUT_FLAG = "UPDATE demandé sans revision.is_revision = true."
 UPDATE_WITHOUT_PREVIOUS = "UPDATE demandé sans previous_revision."
-CONTRADICTORY_PLAN = (
-    "Plan contradictoire : IGNORE et une autre opération sont simultanément requises."
-)
 
 DECISION_REASONS = {
     "CONFLICT": "operation_id déjà associé à une autre opération logique.",

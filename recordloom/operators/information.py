@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordloom import constants as K
 from recordloom.functions import text as X
 from recordloom.functions.frames import keep_where
+from recordloom.functions.hot import SALT, spread_over
 from recordloom.functions.ordered import MAX_GROUP_ROWS, chunk, running
 
 # --- structural checks -------------------------------------------------------
@@ -243,9 +244,9 @@ def manual_updates(
         (F.size(record_errors()) == 0).alias("s_valid"),
     )
     chunked = chunk(updates, "id", "seq", max_rows)
-    rows = chunked.rows.select(
-        "id", "seq", "chunk", "reason", *[F.col(n).alias("u_" + n) for n in _MANUAL]
-    ).join(stored, "id", "left")
+    spread = spread_over(updates, "id")
+    asked = chunked.rows.select("id", "seq", "chunk", "reason", *[F.col(n).alias("u_" + n) for n in _MANUAL])
+    rows = spread.salted(asked, "seq").join(spread.copied(stored), ["id", SALT], "left")
 
     sound = F.lit(True)
     complete = F.lit(True)
@@ -256,7 +257,7 @@ def manual_updates(
     opening = (
         rows.filter(usable & sound & complete).groupBy("id").agg(F.min("seq").alias("open_seq"))
     )
-    rows = rows.join(opening, "id", "left")
+    rows = rows.join(spread.copied(opening), ["id", SALT], "left").drop(SALT)
 
     def refused(name: str) -> Column:
         domain = _CHECKED[name]
@@ -348,7 +349,10 @@ def resolve_reviews(
         F.col("structured_revision").alias("i_structured"),
         (F.size(record_errors()) == 0).alias("i_valid"),
     )
-    rows = d.join(asked, "review_id", "left").join(state, "information_id", "left")
+    often = spread_over(d, "review_id")
+    rows = often.salted(d, "seq").join(often.copied(asked), ["review_id", SALT], "left").drop(SALT)
+    spread = spread_over(reviews, "information_id")
+    rows = spread.salted(rows, "seq").join(spread.copied(state), ["information_id", SALT], "left").drop(SALT)
     checks = (
         (X.not_in(F.col("decision"), K.REVIEW_DECISIONS), "INVALID_DECISION"),
         (F.col("r_status").isNull(), "REVIEW_NOT_FOUND"),
@@ -358,6 +362,8 @@ def resolve_reviews(
         (~F.col("i_valid"), "INFORMATION_INVALID"),
         (X.not_in(F.col("i_epistemic"), ("UNVERIFIED",)), "NOT_UNVERIFIED"),
         (F.col("i_structured"), "INVALID_REVISION"),
+        # The update refuses an operational state outside its domain, an empty one too.
+        (X.not_in(F.col("i_operational"), K.OPERATIONAL_STATES), "INVALID_OPERATIONAL_STATE"),
     )
     rows = rows.withColumn("first", X.first_error(*checks))
     winners = (

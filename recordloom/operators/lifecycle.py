@@ -26,6 +26,7 @@ from pyspark.sql import types as P
 from recordloom import constants as K
 from recordloom.functions import text as X
 from recordloom.functions.frames import keep_where
+from recordloom.functions.hot import SALT, spread_over
 from recordloom.functions.ordered import MAX_GROUP_ROWS, Chunked, chunk, running
 
 # --- checks ------------------------------------------------------------------
@@ -57,25 +58,52 @@ def duplicate_actions(actions: DataFrame) -> DataFrame:
 
 
 def action_faults(actions: DataFrame) -> DataFrame:
-    """One row per thread with a faulty action: what is wrong with them."""
-    per_id = actions.groupBy("thread_id", "action_id").agg(
-        F.count(F.lit(1)).alias("uses"),
-        F.bool_or(X.is_blank(F.col("description"))).alias("blank"),
-    )
-    return (
-        per_id.groupBy("thread_id")
-        .agg(
-            F.bool_or(X.absent(F.col("action_id"))).alias("without_id"),
-            F.bool_or("blank").alias("without_description"),
-            F.bool_or(F.col("uses") > 1).alias("repeated_id"),
+    """One row per thread with a faulty action: the first fault in order of ``pos``
+    (``first_fault``) and which kinds occur.
+
+    An action is checked for its id, its description and then for an id used
+    before it, so an id's second position is the first that repeats it.
+    """
+    shown = F.coalesce("action_id", F.lit(""))
+    blank = X.absent(F.col("action_id"))
+    own = actions.filter(blank | X.is_blank(F.col("description"))).select(
+        "thread_id",
+        "pos",
+        F.when(blank, 0).otherwise(1).alias("kind"),
+        F.when(blank, "action_id is required")
+        .otherwise(F.concat(F.lit("action description is required: "), shown))
+        .alias("message"),
+    )
+    uses = Window.partitionBy("thread_id", "action_id").orderBy("pos")
+    again = (
+        actions.filter(~blank)
+        .select("thread_id", "action_id", "pos")
+        .withColumn("use", F.row_number().over(uses))
+        .filter(F.col("use") <= 2)
+        .filter(F.col("use") == 2)
+        .select(
+            "thread_id",
+            "pos",
+            F.lit(2).alias("kind"),
+            F.concat(F.lit("duplicate action_id: "), shown).alias("message"),
         )
-        .filter(F.col("without_id") | F.col("without_description") | F.col("repeated_id"))
+    )
+    faults = own.unionByName(again)
+    return faults.groupBy("thread_id").agg(
+        F.min(F.struct("pos", "kind", "message"))["message"].alias("first_fault"),
+        *[
+            F.bool_or(F.col("kind") == kind).alias(name)
+            for kind, name in enumerate(("without_id", "without_description", "repeated_id"))
+        ],
     )
 
 
 def thread_errors(threads: DataFrame, actions: DataFrame) -> DataFrame:
-    """Threads with ``error`` (first of the ordered checks, null when valid) and
-    ``errors`` (all of them)."""
+    """Threads with ``error`` (the first fault, null when valid) and ``errors`` (the
+    kinds of all faults).
+
+    The thread itself is checked first, then its actions one after another.
+    """
     faults = action_faults(actions)
     checks = _thread_checks() + (
         (F.coalesce("without_id", F.lit(False)), "action_id is required"),
@@ -84,9 +112,9 @@ def thread_errors(threads: DataFrame, actions: DataFrame) -> DataFrame:
     )
     return (
         threads.join(faults, "thread_id", "left")
-        .withColumn("error", X.first_error(*checks))
+        .withColumn("error", F.coalesce(X.first_error(*_thread_checks()), "first_fault"))
         .withColumn("errors", X.all_errors(*checks))
-        .drop("without_id", "without_description", "repeated_id")
+        .drop("first_fault", "without_id", "without_description", "repeated_id")
     )
 
 
@@ -101,12 +129,6 @@ def thread_invariants(threads: DataFrame) -> DataFrame:
     )
 
 
-def transition_pairs(spark) -> DataFrame:
-    """The transition table as rows; fixed size."""
-    rows = [(a, b) for a, targets in K.THREAD_TRANSITIONS.items() for b in targets]
-    return spark.createDataFrame(rows, "from_status string, to_status string")
-
-
 def transition_error(current: Column, target: Column) -> Column:
     """Why a single status change is not allowed; null when it is."""
     allowed = F.lit(False)
@@ -247,21 +269,12 @@ def _start_states(chunked: Chunked, starts: DataFrame) -> DataFrame:
     )
 
 
-def status_history(
-    threads: DataFrame, commands: DataFrame, max_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """Status commands of known threads with before_status and accepted."""
-    chunked = chunk(commands, "thread_id", "seq", max_rows)
-    starts = threads.select("thread_id", F.col("status").alias("start_status"))
-    return _replay_status(chunked, starts)
-
-
 def _replay_status(chunked: Chunked, starts: DataFrame) -> DataFrame:
     rows = chunked.rows.filter(F.col("kind") == "SET_STATUS")
     if chunked.split:
         begun = rows.join(_start_states(chunked, starts), ["thread_id", "chunk"])
     else:
-        begun = rows.join(starts, "thread_id")
+        begun = rows.withColumn("start_status", F.col("stored_status"))
     ordered = begun.repartition("thread_id", "chunk").sortWithinPartitions(
         "thread_id", "chunk", "seq"
     )
@@ -316,7 +329,8 @@ def replay_commands(
         F.col("revision").alias("stored_revision"),
         F.col("error").isNull().alias("valid"),
     )
-    rows = chunked.rows.join(known, "thread_id", "left")
+    spread = spread_over(commands, "thread_id")
+    rows = spread.salted(chunked.rows, "seq").join(spread.copied(known), ["thread_id", SALT], "left")
     base = (
         F.when(F.col("stored_status").isNull(), F.lit("THREAD_NOT_FOUND"))
         .when(~F.col("valid"), F.lit("INVALID_THREAD"))
@@ -341,7 +355,9 @@ def replay_commands(
     )
 
     # 3. action commands
-    steps = live.rows.filter(F.col("kind") != "SET_STATUS").join(closing, "thread_id", "left")
+    steps = live.rows.filter(F.col("kind") != "SET_STATUS").join(
+        spread.copied(closing), ["thread_id", SALT], "left"
+    )
     closed = F.col("stored_status").isin(*K.CLOSED_STATUSES) | F.coalesce(
         F.col("seq") > F.col("closed_seq"), F.lit(False)
     )
@@ -354,9 +370,8 @@ def replay_commands(
         .agg(F.min("seq").alias("born_seq"))
     )
     present = actions.select("thread_id", "action_id").distinct().withColumn("present", F.lit(True))
-    steps = steps.join(present, ["thread_id", "action_id"], "left").join(
-        begins, ["thread_id", "action_id"], "left"
-    )
+    link = ["thread_id", "action_id", SALT]
+    steps = steps.join(spread.copied(present), link, "left").join(spread.copied(begins), link, "left")
     there = F.coalesce("present", F.lit(False)) | F.coalesce(
         F.col("born_seq") < F.col("seq"), F.lit(False)
     )

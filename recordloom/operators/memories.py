@@ -15,6 +15,7 @@ from pyspark.sql import types as P
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.hot import SALT, spread_over
 from recordloom.functions.ordered import MAX_GROUP_ROWS, Chunked, chunk
 from recordloom.operators.threads import QueryError, page
 
@@ -78,7 +79,13 @@ def store_batch(snapshot: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Da
     sound = X.is_valid_id(F.col(ID)) & (F.col("revision") >= 1)
     first = incoming.filter(sound).groupBy(ID).agg(F.min("seq").alias("first_seq"))
     taken = snapshot.select(ID).distinct().withColumn("stored", F.lit(True))
-    rows = incoming.join(first, ID, "left").join(taken, ID, "left")
+    spread = spread_over(incoming, ID)
+    rows = (
+        spread.salted(incoming, "seq")
+        .join(spread.copied(first), [ID, SALT], "left")
+        .join(spread.copied(taken), [ID, SALT], "left")
+        .drop(SALT)
+    )
     outcome = X.first_error(
         (~X.is_valid_id(F.col(ID)), "INVALID_ID"),
         (F.coalesce(F.col("revision") < 1, F.lit(True)), "INVALID_REVISION"),
@@ -214,8 +221,12 @@ def update_batch(
     stored = snapshot.select(ID, F.col("revision").alias("stored_revision"))
     payload = [c for c in updates.columns if c in snapshot.columns and c not in (ID, "revision")]
     chunked = chunk(updates, ID, "seq", max_rows)
-    known = chunked.rows.join(stored, ID, "left").withColumn(
-        "sound", F.coalesce(F.col("new_information_id") == F.col(ID), F.lit(False))
+    spread = spread_over(updates, ID)
+    known = (
+        spread.salted(chunked.rows, "seq")
+        .join(spread.copied(stored), [ID, SALT], "left")
+        .drop(SALT)
+        .withColumn("sound", F.coalesce(F.col("new_information_id") == F.col(ID), F.lit(False)))
     )
     live = chunked.with_rows(known.filter(F.col("stored_revision").isNotNull()))
     narrow = live.rows.select(ID, "chunk", "seq", "previous_revision", "sound", "stored_revision")

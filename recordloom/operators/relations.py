@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from recordloom import constants as K
 from recordloom.functions import text as X
 from recordloom.functions.frames import keep_where
+from recordloom.functions.hot import SALT, spread_over
 from recordloom.functions.ordered import MAX_GROUP_ROWS, chunk, running
 
 LINK = ("source_id", "type", "target_id")
@@ -26,12 +27,16 @@ def relation_checks(proposals: DataFrame, information: DataFrame) -> DataFrame:
         F.col("structured_revision").alias("source_structured"),
         F.lit(True).alias("source_found"),
     )
-    target = information.filter(F.col("id").startswith("info-")).select(
+    target = information.select(
         F.col("id").alias("target_id"),
         F.col("epistemic_status").alias("target_status"),
         F.lit(True).alias("target_found"),
     )
-    rows = proposals.join(source, "source_id", "left").join(target, "target_id", "left")
+    # Both ends may be hot: a record that proposes, or is proposed to, very often.
+    from_hot = spread_over(proposals, "source_id")
+    to_hot = spread_over(proposals, "target_id")
+    rows = from_hot.salted(proposals, "seq").join(from_hot.copied(source), ["source_id", SALT], "left").drop(SALT)
+    rows = to_hot.salted(rows, "seq").join(to_hot.copied(target), ["target_id", SALT], "left").drop(SALT)
 
     def shown(name: str):
         return F.coalesce(name, F.lit("None"))

@@ -24,16 +24,25 @@ EXECUTED = ("STORE", "UPDATE", "INDEX", "INDEX_REFUSED")
 
 
 def idempotency(plans: DataFrame, operations: DataFrame) -> DataFrame:
-    """State of every plan in the ledger: NEW, ALREADY_EXECUTED or CONFLICT."""
-    ledger = operations.select(
-        "operation_id", F.col("execution_plan_hash").alias("stored_hash"), F.lit(True).alias("recorded")
+    """State of every plan in the ledger: NEW, ALREADY_EXECUTED or CONFLICT.
+
+    The ledger counts once for each operation, however often it holds it; an
+    operation recorded under several hashes conflicts with every plan.
+    """
+    marked = F.coalesce(F.concat(F.lit("="), "execution_plan_hash"), F.lit(""))
+    ledger = operations.groupBy("operation_id").agg(
+        F.min("execution_plan_hash").alias("stored_hash"),
+        (F.min(marked) == F.max(marked)).alias("single"),
     )
     state = (
-        F.when(F.col("recorded").isNull(), F.lit("NEW"))
-        .when(F.col("stored_hash").eqNullSafe(F.col("execution_plan_hash")), F.lit("ALREADY_EXECUTED"))
+        F.when(F.col("single").isNull(), F.lit("NEW"))
+        .when(
+            F.col("single") & F.col("stored_hash").eqNullSafe(F.col("execution_plan_hash")),
+            F.lit("ALREADY_EXECUTED"),
+        )
         .otherwise(F.lit("CONFLICT"))
     )
-    return plans.join(ledger, "operation_id", "left").withColumn("idempotency", state).drop("recorded")
+    return plans.join(ledger, "operation_id", "left").withColumn("idempotency", state).drop("single")
 
 
 def _persistent_columns(texts: DataFrame, prefix: str) -> DataFrame:

@@ -422,11 +422,15 @@ def revision_parts(v: Column) -> tuple[Column, Column, Column]:
 
 def read_operations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Operation records, one JSON file each, and those that contradict their name."""
-    raw = (
+    return parse_operations(
         spark.read.option("pathGlobFilter", "*.json")
         .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), "value")
     )
+
+
+def parse_operations(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Operation records (file, value): the sound ones, and (file, error) of the others."""
     v = F.try_parse_json("value")
     fields = ("operation_id", "execution_plan_hash", "information_id", "result", "status", "timestamp")
     rows = raw.select(

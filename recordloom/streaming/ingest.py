@@ -17,18 +17,29 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def text_stream(spark: SparkSession, path: str, files_per_trigger: int = 10_000) -> DataFrame:
-    """Record files of a folder as they arrive."""
-    return (
-        spark.readStream.option("pathGlobFilter", "*.md")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    )
+def text_stream(
+    spark: SparkSession, path: str, files_per_trigger: int = 10_000, separator: str | None = None
+) -> DataFrame:
+    """Record files of a folder as they arrive.
+
+    One record to a file, or with ``separator`` any number of records in text files.
+    """
+    source = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    if separator is None:
+        files = source.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    else:
+        files = source.option("pathGlobFilter", "*.txt").option("lineSep", separator).text(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def ingest_stream(
-    spark: SparkSession, kind: str, path: str, target: str, checkpoint: str
+    spark: SparkSession,
+    kind: str,
+    path: str,
+    target: str,
+    checkpoint: str,
+    files_per_trigger: int = 10_000,
+    separator: str | None = None,
 ) -> StreamingQuery:
     """Parse arriving files with the batch parser.
 
@@ -46,7 +57,7 @@ def ingest_stream(
         parsed.unpersist()
 
     return (
-        text_stream(spark, path)
+        text_stream(spark, path, files_per_trigger, separator)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -101,7 +101,7 @@ def test_ledger(spark, folder):
     target = str(folder / "table")
     sinks.append_operations(ledger, target)
     sinks.append_operations(ledger, target)
-    assert spark.read.parquet(target).count() == 2
+    assert spark.read.parquet(target).count() == 1
 
 
 def test_event_sink_and_snapshots(spark, folder):
