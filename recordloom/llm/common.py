@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.sizing import ensure_checkpoint_dir, stable
 
-__all__ = ["attach", "connected", "read", "stable", "work_folder"]
+__all__ = ["attach", "connected", "read", "stable", "text_batches", "work_folder"]
 
+#: Texts in a batch for Python.
+TEXT_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than one row in HOT_SHARE is hot, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 200
@@ -31,6 +33,18 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def text_batches(docs: DataFrame) -> DataFrame:
+    """The same frame, with a session that hands whole texts to Python in small batches.
+
+    Spark counts rows, not bytes, in a batch; its default number suits narrow rows.  A
+    number set by the user stays.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) == 10_000:
+        conf.set(name, str(TEXT_ROWS))
+    return docs
+
+
 def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a folder or file and the path in it."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
@@ -68,11 +82,16 @@ def batches(rows: dict[str, pa.Array | list], schema: pa.Schema, size: int = 409
     yield from pa.Table.from_pydict(rows, schema=schema).to_batches(max_chunksize=size)
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    """For each node ``a`` its smallest neighbour or itself, and its degree."""
-    return stable(
-        edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"), F.count(F.lit(1)).alias("n"))
-    )
+#: Links of one node that a task takes in one piece.
+HUB_LINKS = 1_000_000
+
+
+def _relinked(edges: DataFrame, ends: DataFrame, key: str, total: int, hubs: bool) -> DataFrame:
+    """Edges with the smallest node ``low`` that their ``key`` end is linked to, or itself."""
+    lows = ends.groupBy(key).agg(F.least(F.col(key), F.min("end")).alias("low"))
+    if not hubs:
+        return edges.join(lows, key)
+    return attach(edges, lows, key, stable(edges.groupBy(key).agg(F.count(F.lit(1)).alias("n"))), total)
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -80,32 +99,31 @@ def connected(links: DataFrame) -> DataFrame:
 
     ``links`` has long columns ``a`` and ``b``; the component is the smallest node
     reachable.  Large-star and small-star steps alternate until nothing changes; each
-    step writes at most as many rows as there are links.  Minima are combined before
-    shuffling and a hub's rows are joined by :func:`attach`, never gathered.
+    step writes at most twice as many rows as there are links.  Minima are combined
+    before shuffling.  While a node has more than ``HUB_LINKS`` links, its rows are
+    spread by :func:`attach`.
     """
     links = links.filter("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     edges, seen = stable(links.distinct()), None
     while True:
-        both = stable(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-        total = both.count()
-        if not total:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        lows = _smallest(both)
-        large = attach(both, lows.drop("n"), "a", lows, total)
-        large = large.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = stable(large.distinct())
-        lows = _smallest(edges)
-        small = attach(edges, lows.drop("n"), "a", lows, edges.count())
-        small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
-            small.select("a", F.col("low").alias("b"))
+        ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        mark = (
+            ends.groupBy("a")
+            .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
+            .agg(F.sum("n"), F.bit_xor("x"), F.max("n"))
+            .first()
         )
-        edges = stable(small.filter("a <> b").distinct())
-        mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if mark == seen:
+        if mark == seen or not mark[0]:
             break
-        seen = mark
+        seen, total, hubs = mark, mark[0], mark[2] > HUB_LINKS
+        both = ends.select(F.col("a").alias("b"), F.col("b").alias("end"))
+        large = _relinked(edges, both, "b", total, hubs).select("a", F.col("low").alias("b")).filter("a <> b").distinct()
+        large = stable(large) if hubs else large
+        small = _relinked(large, large.select("a", F.col("b").alias("end")), "a", total, hubs)
+        pairs = F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))
+        edges = stable(small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").filter("a <> b").distinct())
     pairs = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = pairs.select(F.col("component").alias("node"), "component").distinct()
     return pairs.unionByName(roots)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import WORD, attach, bits_of, connected, stable
+from recordloom.llm.common import WORD, attach, bits_of, connected, stable, text_batches
 
 BITS = 64
 PARTS, WIDTH = 4, 16
@@ -42,7 +42,9 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fingerprint) of every row; the 64 bits are kept in a signed long."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = text_batches(docs).select(
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")
+    )
 
     def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
