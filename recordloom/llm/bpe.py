@@ -10,6 +10,7 @@ it, where both encodings agree.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import re
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import attach, stable
+from recordloom.llm.common import attach, stable, text_batches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -31,15 +32,19 @@ WINDOW, MASK_BITS, CHUNK_MIN = 32, 11, 256
 #: Chunks longer than this are cut here, so that a text without cuts stays in pieces.
 CHUNK_MAX = 65_536
 #: Words whose ids a task keeps.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 120_000
 #: Bits of the table that tells texts without shared chunks from others (8 MB).
 TABLE_BITS = 26
+#: Texts encoded together.
+GROUP = 128
 #: Characters of text in a result batch.
 BATCH_CHARS = 4_000_000
 #: The pre-tokenizer's pattern, a fixed value of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters are cut into words here; on them every engine's classes agree.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏͰ-ͳЀ-ҁ‐-‧€]*")
+BLANK = "\t\n\r "
+BLANKS = frozenset(BLANK)
 #: A space that starts a word in any context.
 START = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
@@ -50,47 +55,129 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_marks() -> dict[int, str]:
+    """How byte-level BPE writes each byte: printable ones as they are, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    marks = {b: chr(b) for b in shown}
+    return marks | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(0x100) if b not in marks)}
+
+
+MARKS = byte_marks()
+PIECE_MARKS = {**MARKS, 0: " "}
+
+
 class Codec:
-    """A tokenizer file with a bounded memory of words, for use inside a task."""
+    """A tokenizer file with a bounded memory of words, for use inside tasks."""
 
     def __init__(self, vocabulary: str, words_kept: int = WORDS_KEPT) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # the same model on pieces that are cut already, in byte marks with spaces between them
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        octets = {mark: bytes([b]) for b, mark in MARKS.items()}
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.octets: dict[int, bytes] = {}
+        for token, number in vocab.items():
+            self.begins[number] = token.startswith(MARKS[0x20])
+            self.octets[number] = token.encode() if token in self.special else b"".join(map(octets.__getitem__, token))
         self.split = regex.compile(PIECES).findall
         self.words_kept = words_kept
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
 
     def _direct(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit numbers.
-
-        The library's own ids: words it has seen are looked up, new ones encoded by it;
-        a text with a special token or a character outside PLAIN goes to it whole.
+    def _first(self, word: str) -> bytes:
+        """Ids of a word at the start of a text, without a space before it."""
+        got = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids
+        return np.array(got, dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words together; each starts with the only space in it."""
+        known, new = self.known, []
+        for word in words:
+            if not word or word[0] in BLANK or word[-1] in BLANK:
+                known[word] = None  # its space is no sure start of a word
+            else:
+                new.append(word)
+        if not new:
+            return
+        # no text that gets here has a zero character, so it can stand between the pieces
+        pieces = "\0".join(self.split(" " + " ".join(new))).encode().decode("latin-1").translate(PIECE_MARKS)
+        got = self.pieces.encode_batch_fast([pieces], add_special_tokens=False)[0].ids
+        numbers = np.array(got, dtype="<u4")
+        starts = np.flatnonzero(self.begins[numbers])
+        if len(starts) != len(new):
+            raise ValueError("the vocabulary isn't byte-level: a space is not the start of one token")
+        ids, lows = numbers.tobytes(), (starts * 4).tolist()
+        for word, low, high in zip(new, lows, [*lows[1:], len(ids)], strict=True):
+            known[word] = ids[low:high]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit numbers.
+
+        The library's own ids.  A space between two other characters starts a word in
+        any context, so a text is cut at its spaces: words seen before are looked up,
+        and the library encodes the new ones.  A text with other runs of white space, a
+        special token or a character outside PLAIN goes to it whole.
         """
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._direct(text)
-        words = self.split(text)
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > self.words_kept:
-            known.clear()
-        new = list(set(words).difference(known))
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        cut = [
+            t.split(" ") if PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts
+        ]
+        new: set[str] = set()
+        for words in cut:
+            if words is not None:
+                new.update(words[1:])
+        if len(known) > self.words_kept:  # words that come again are carried over
+            self.before, self.known = known, {}
+            known = self.known
+        before, unseen = self.before, []
+        for word in new.difference(known):
+            if word in before:
+                known[word] = before[word]
+            else:
+                unseen.append(word)
+        self._learn(unseen)
+        out = []
+        for text, words in zip(texts, cut, strict=True):
+            ids = None
+            if words is not None and words[0][-1:] not in BLANKS:
+                first = words.pop(0)
+                with contextlib.suppress(TypeError):  # a word that is None
+                    ids = b"".join(map(known.__getitem__, words))
+                    ids = self._first(first) + ids if first else ids
+            out.append(self._direct(text) if ids is None else ids)
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
-        return self.tokenizer.decode(np.frombuffer(ids, dtype="<u4").tolist(), skip_special_tokens=False)
+        """The library's text of the ids, special tokens written out."""
+        numbers = np.frombuffer(ids, dtype="<u4").tolist()
+        try:
+            return b"".join(map(self.octets.__getitem__, numbers)).decode()
+        except (UnicodeDecodeError, KeyError):
+            return self.tokenizer.decode(numbers, skip_special_tokens=False)
+
+
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_for(vocabulary: str) -> Codec:
+    """The worker's codec; its words stay for the next task."""
+    if vocabulary not in _CODECS:
+        _CODECS[vocabulary] = Codec(vocabulary)
+    return _CODECS[vocabulary]
 
 
 def _gear() -> np.ndarray:
@@ -221,7 +308,7 @@ def encoded(
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
-    texts = docs.select(
+    texts = text_batches(docs).select(
         F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
     ).select("id", "text", F.unhex(F.sha2("text", 256)).alias("key"))
 
@@ -264,13 +351,15 @@ def encoded(
         return (table.value[at // 64] >> (at % 64)) & 1 == 1
 
     def alone(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, results = Codec(vocabulary), _Results(["id", "ids", "decoded"])
+        codec, results = codec_for(vocabulary), _Results(["id", "ids", "decoded"])
         for part in parts:
-            for i in np.flatnonzero(~holds(part, 2)).tolist():
-                ids = codec.encode(part.column(1)[i].as_py())
-                results.add(part.column(0)[i].as_py(), ids, codec.decode(ids))
-                if results.full():
-                    yield results.take(pa.int64())
+            rows = np.flatnonzero(~holds(part, 2))
+            for low in range(0, len(rows), GROUP):
+                some = part.take(pa.array(rows[low : low + GROUP]))
+                for key, ids in zip(some.column(0).to_pylist(), codec.encode_many(some.column(1).to_pylist()), strict=True):
+                    results.add(key, ids, codec.decode(ids))
+                    if results.full():
+                        yield results.take(pa.int64())
         if results.rows:
             yield results.take(pa.int64())
 
@@ -293,7 +382,7 @@ def encoded(
     owned = shared.filter("owned").groupBy("key").agg(F.collect_list("n").alias("own"))
 
     def encode_owned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary)
+        codec = codec_for(vocabulary)
         for part in parts:
             rows = []
             for text, own in zip(part.column(0), part.column(1), strict=True):
@@ -312,7 +401,7 @@ def encoded(
     held = held.groupBy("key").agg(F.collect_list(F.struct("n", "start", "end", "part_ids")).alias("held"))
 
     def join(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, results = Codec(vocabulary), _Results(["key", "ids", "decoded"])
+        codec, results = codec_for(vocabulary), _Results(["key", "ids", "decoded"])
         for part in parts:
             for key, text, held in zip(*(part.column(i) for i in range(3)), strict=True):
                 known = {h["n"]: (h["start"], h["end"], h["part_ids"]) for h in held.as_py() or []}
