@@ -18,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import text_batches
+
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 #: Words of a candidate span and characters of a word in one, at most; both bound an entity.
 MAX_WORDS, MAX_WORD = 5, 64
+#: Words of a window; a longer run is cut into windows that share MAX_WORDS - 1 words.
+WINDOW_WORDS = 64
 #: Windows learned from at most, and rounds over them.
 SAMPLE_WINDOWS, ROUNDS = 1_200, 6
 #: A span is added if its segmentation beats the one without it by this log-odds.
@@ -108,9 +112,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass(frozen=True)
 class Window:
-    """Neighbouring words with a clue in them: their trimmed spans, and text around."""
+    """Neighbouring words with a clue in them; spans that start from ``core`` on are left
+    to the next window of the run."""
 
     words: tuple[tuple[int, int], ...]
+    core: int
 
 
 def windows(text: str) -> list[Window]:
@@ -118,6 +124,16 @@ def windows(text: str) -> list[Window]:
     out: list[Window] = []
     run: list[tuple[int, int]] = []
     done = 0
+
+    def close() -> None:
+        step = WINDOW_WORDS - MAX_WORDS + 1
+        for low in range(0, len(run), step):
+            last = low + WINDOW_WORDS >= len(run)
+            words = tuple(run[low : low + WINDOW_WORDS])
+            out.append(Window(words, len(words) if last else step))
+            if last:
+                break
+
     for clue in CLUE.finditer(text):
         at = clue.start()
         if at < done:
@@ -130,16 +146,14 @@ def windows(text: str) -> list[Window]:
         word = SPAN.match(text, at)
         done = word.end() if word else at + 1
         if end - start > MAX_WORD or done != end:
-            if run:
-                out.append(Window(tuple(run)))
+            close()
             run = []
             continue
         if run and not (start - run[-1][1] == 1 and text[run[-1][1]] == " "):
-            out.append(Window(tuple(run)))
+            close()
             run = []
         run.append((start, end))
-    if run:
-        out.append(Window(tuple(run)))
+    close()
     return out
 
 
@@ -249,6 +263,11 @@ def best_segments(field: Field, text: str, window: Window) -> list[tuple[int, in
             for y in np.flatnonzero(value > best[j]).tolist():
                 best[j, y] = value[y]
                 back[j, y] = (c, int(before[y]))
+    alone = np.zeros(n + 1)
+    for c, (i, j, _, _) in enumerate(found):
+        if j - i == 1:
+            alone[j] = scores[c, OTHER]
+    plain = np.cumsum(alone)
     out, j, y = [], n, int(best[n].argmax())
     while j > 0:
         c, before = back[j, y]
@@ -256,10 +275,8 @@ def best_segments(field: Field, text: str, window: Window) -> list[tuple[int, in
             j -= 1
             continue
         i, _, start, end = found[c]
-        if y != OTHER:
-            plain = sum(max((scores[d, OTHER] for d in range(len(found)) if found[d][:2] == (w, w + 1)), default=0.0) for w in range(i, j))
-            if scores[c, y] - plain >= MARGIN:
-                out.append((y, start, end))
+        if y != OTHER and i < window.core and scores[c, y] - (plain[j] - plain[i]) >= MARGIN:
+            out.append((y, start, end))
         j, y = i, before
     return out[::-1]
 
@@ -359,7 +376,7 @@ def train(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE_WINDO
                 ["kind", "piece", "words", "segments"],
             )
 
-    found = docs.select(F.col(text_column).alias("text")).filter(F.col("text").rlike("[0-9@]")).mapInArrow(
+    found = text_batches(docs).select(F.col(text_column).alias("text")).filter(F.col("text").rlike("[0-9@]")).mapInArrow(
         gather, "kind string, piece string, words array<array<int>>, segments array<array<int>>"
     )
     order = F.struct(F.xxhash64("piece").alias("h"), "piece", "words", "segments")
@@ -370,7 +387,7 @@ def train(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE_WINDO
     squares = [np.full_like(spans, 1e-2), np.full_like(steps, 1e-2)]
     for _ in range(rounds):
         for row in rows:
-            window = Window(tuple(map(tuple, row["words"])))
+            window = Window(tuple(map(tuple, row["words"])), len(row["words"]))
             gold = {(i, j): k for i, j, k in row["segments"]}
             grads = gradient(Field(spans, steps), row["piece"], window, gold)
             for weight, grad, square in zip((spans, steps), grads, squares, strict=True):
@@ -394,7 +411,7 @@ def find(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], li
         if len(window.words) == 1 and _covered(starts, reach, *trimmed(text, low, high)):
             continue
         for k, s, e in best_segments(field, text, window):
-            if not _covered(starts, reach, s, e):
+            if not _covered(starts, reach, s, e) and (not added or s >= added[-1][2]):
                 added.append((k, s, e))
     return base, sorted(base + added)
 
@@ -425,6 +442,6 @@ def private_spans(docs: DataFrame, field: Field, id_column: str = "doc_id", text
                 [part.column(0), pa.array(base, kind), pa.array(spans, kind)], [id_column, "base", "spans"]
             )
 
-    rows = docs.select(F.col(id_column).cast("long").alias(id_column), F.col(text_column))
+    rows = text_batches(docs).select(F.col(id_column).cast("long").alias(id_column), F.col(text_column))
     array = "array<struct<kind:string,start:int,end:int>>"
     return rows.mapInArrow(apply, f"`{id_column}` long, base {array}, spans {array}")
