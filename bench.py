@@ -37,6 +37,12 @@ HEADLINE = (
     "execution_plans",
     "plan_decisions",
     "applied_plans",
+    "persistent_after_plans",
+    "request_responses",
+    "thread_actions_after_log",
+    "stream_command_outcomes",
+    "stream_idempotency",
+    "stream_ingest",
     "history_gaps",
 )
 

@@ -10,6 +10,7 @@ from recordloom.functions import text as X
 from recordloom.functions.frames import keep_where
 from recordloom.functions.hot import SALT, spread_over
 from recordloom.functions.ordered import MAX_GROUP_ROWS, chunk, running
+from recordloom.functions.sizing import stable
 
 # --- structural checks -------------------------------------------------------
 
@@ -283,6 +284,7 @@ def manual_updates(
     both = running(
         after, lasts={"b_" + n: F.when(accepted, given[n]) for n in _MANUAL}, before=True
     ).rows
+    both = stable(both)
     done = both.filter(accepted)
 
     def value(prefix: str, name: str) -> Column:
@@ -365,7 +367,7 @@ def resolve_reviews(
         # The update refuses an operational state outside its domain, an empty one too.
         (X.not_in(F.col("i_operational"), K.OPERATIONAL_STATES), "INVALID_OPERATIONAL_STATE"),
     )
-    rows = rows.withColumn("first", X.first_error(*checks))
+    rows = stable(rows.withColumn("first", X.first_error(*checks)))
     winners = (
         rows.filter(F.col("first").isNull())
         .groupBy("information_id")

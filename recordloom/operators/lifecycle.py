@@ -28,6 +28,7 @@ from recordloom.functions import text as X
 from recordloom.functions.frames import keep_where
 from recordloom.functions.hot import SALT, spread_over
 from recordloom.functions.ordered import MAX_GROUP_ROWS, Chunked, chunk, running
+from recordloom.functions.sizing import stable
 
 # --- checks ------------------------------------------------------------------
 
@@ -303,6 +304,8 @@ def apply_commands(
     history row per accepted status change.
     """
     replayed = replay_commands(threads, actions, commands, max_rows)
+    # All four results come from the replayed rows: replay once.
+    replayed = replayed.with_rows(stable(replayed.rows))
     return (
         threads_after(threads, replayed),
         actions_after(actions, replayed),

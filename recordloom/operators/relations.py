@@ -14,6 +14,7 @@ from recordloom.functions import text as X
 from recordloom.functions.frames import keep_where
 from recordloom.functions.hot import SALT, spread_over
 from recordloom.functions.ordered import MAX_GROUP_ROWS, chunk, running
+from recordloom.functions.sizing import stable
 
 LINK = ("source_id", "type", "target_id")
 
@@ -117,7 +118,7 @@ def apply_relations(
         (F.coalesce("source_structured", F.lit(True)), "REVISION_ABSENT"),
         (F.col("stored").isNotNull() | (F.col("seq") > F.col("first_seq")), "ALREADY_PRESENT"),
     )
-    outcomes = rows.withColumn("outcome", F.coalesce(error, F.lit("ADDED")))
+    outcomes = stable(rows.withColumn("outcome", F.coalesce(error, F.lit("ADDED"))))
     passed = chunked.with_rows(keep_where(outcomes, F.col("outcome") == "ADDED"))
     added = running(passed, counts={"n": F.lit(True)}).rows.withColumn("revision", (F.col("source_revision") + F.col("n")).cast("int"))
 

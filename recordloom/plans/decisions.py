@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from recordloom import constants as K
 from recordloom.functions import text as X
 from recordloom.functions.frames import keep_where
+from recordloom.functions.sizing import stable
 from recordloom.operators.information import state_text, text_states
 
 _STATE = ("exists", "valid", "same_id", "revision", "structured", "epistemic", "operational")
@@ -195,7 +196,8 @@ def apply_plans(
     new persistent texts, events, ledger rows and one outcome per plan.
     """
     rows = decided.join(_persistent_columns(working, "w_"), "information_id", "left")
-    rows = rows.withColumn("code", _execution(F.col("rule"), "p_"))
+    # The record texts are read and compared once; what follows works on the kept states.
+    rows = stable(rows.withColumn("code", _execution(F.col("rule"), "p_")))
     is_write = F.col("code").isin("STORE") | (
         F.col("code").isin("UPDATE", "INDEX", "INDEX_REFUSED") & (F.col("rule") != "PARTIAL")
     )
