@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recordloom.llm.bpe import Codec, default_vocabulary
-from recordloom.llm.common import file_system, stable
+from recordloom.llm.bpe import GROUP, codec_for, default_vocabulary
+from recordloom.llm.common import file_system, stable, text_batches
 
 HEAD = struct.Struct("<BQ")
 NO_ID, WIDE = 1, 2
@@ -150,7 +150,7 @@ def write_records(
     ordered by their text; no rows give an empty index; other columns are not read.
     """
     vocabulary = vocabulary or default_vocabulary()
-    rows = docs.select(
+    rows = text_batches(docs).select(
         F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
     )
     ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
@@ -160,7 +160,7 @@ def write_records(
         system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         path = f"{base}/records-{number:06d}-{uuid.uuid4().hex}.tfrecord"
-        codec, end = Codec(vocabulary), np.array([end_id], dtype="<u4")
+        codec, end = codec_for(vocabulary), np.array([end_id], dtype="<u4")
         offset = start = count = 0
         payloads: list[bytes] = []
         entries: list[tuple] = []
@@ -180,18 +180,20 @@ def write_records(
 
         held = 0
         for part in parts:
-            for doc_id, text in zip(part.column(0), part.column(1), strict=True):
+            for low in range(0, part.num_rows, GROUP):
+                some = part.slice(low, GROUP)
                 out = out or system.open_output_stream(path + ".part")
-                doc_id = doc_id.as_py()
-                ids = np.concatenate([np.frombuffer(codec.encode(text.as_py()), dtype="<u4"), end])
-                payload = pack(doc_id, ids)
-                size = len(payload) + 16
-                entries.append((path.rpartition("/")[2], number, count, doc_id, offset, size, start, len(ids)))
-                payloads.append(payload)
-                offset, start, count, held = offset + size, start + len(ids), count + 1, held + size
-                if held >= FRAME_BYTES:
-                    flush()
-                    held = 0
+                encoded = codec.encode_many(some.column(1).to_pylist())
+                for doc_id, code in zip(some.column(0).to_pylist(), encoded, strict=True):
+                    ids = np.append(np.frombuffer(code, dtype="<u4"), end)
+                    payload = pack(doc_id, ids)
+                    size = len(payload) + 16
+                    entries.append((path.rpartition("/")[2], number, count, doc_id, offset, size, start, len(ids)))
+                    payloads.append(payload)
+                    offset, start, count, held = offset + size, start + len(ids), count + 1, held + size
+                    if held >= FRAME_BYTES:
+                        flush()
+                        held = 0
                 if len(entries) >= INDEX_ROWS:
                     yield index()
         if out is None:
