@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recordloom.llm.common import text_batches
+
 #: Rows learned from at most, over all languages; SNIPPET characters of each are learned too.
-SAMPLE_ROWS, SNIPPET = 4_000, 80
+SAMPLE_ROWS, SNIPPET = 2_000, 80
 DIMENSIONS = 4_096
 SLAB = 1 << 20
 UNKNOWN = "und"
@@ -77,28 +79,30 @@ def grams(text: str) -> np.ndarray | None:
 def support_vectors(x: np.ndarray, y: np.ndarray, cost: float = 8.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss.
 
-    Dual coordinate descent; ``y`` holds +1 and -1, the two sides weigh alike.
+    Dual coordinate descent; ``y`` holds +1 and -1, the two sides weigh alike.  Rows are
+    read one at a time and never copied as a whole.
     """
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
     positive = max(1, int((y > 0).sum()))
     negative = max(1, len(y) - positive)
     each = cost * len(y) / 2 / np.where(y > 0, positive, negative)
     loose = 1 / (2 * each)
-    norms = np.einsum("ij,ij->i", x, x) + loose
-    alpha, weights = np.zeros(len(y)), np.zeros(x.shape[1])
+    norms = np.einsum("ij,ij->i", x, x) + 1.0 + loose
+    alpha, weights, bias = np.zeros(len(y)), np.zeros(x.shape[1]), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            slope = y[i] * (weights @ x[i]) - 1 + loose[i] * alpha[i]
+            row = x[i].astype(np.float64)
+            slope = y[i] * (weights @ row + bias) - 1 + loose[i] * alpha[i]
             new = max(0.0, alpha[i] - slope / norms[i])
             if new != alpha[i]:
-                weights += (new - alpha[i]) * y[i] * x[i]
+                weights += (new - alpha[i]) * y[i] * row
+                bias += (new - alpha[i]) * y[i]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return weights
+    return np.append(weights, bias)
 
 
 @dataclass(frozen=True)
@@ -139,7 +143,7 @@ def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "lan
     Each language gives the same number of rows at most, chosen by a hash of their text
     after a count of all labelled rows; each row is learned whole and as a snippet.
     """
-    known = labelled.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(
+    known = text_batches(labelled).filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(
         F.col(text_column).alias("text"), F.col(label_column).cast("string").alias("lang")
     )
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(sample_rows).collect()}
@@ -170,7 +174,9 @@ def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "lan
     table = chosen.select("lang", "text", "mark").mapInArrow(features, "lang string, vector binary").toArrow()
     if not table.num_rows:
         return Model((), (), (), (), np.zeros((DIMENSIONS + 1, 0)))
-    x = np.stack([np.frombuffer(v, dtype="<f2") for v in table["vector"].to_pylist()]).astype(np.float32)
+    x = np.empty((table.num_rows, DIMENSIONS), dtype=np.float32)
+    for row, vector in enumerate(table["vector"]):
+        x[row] = np.frombuffer(vector.as_py(), dtype="<f2")
     names = np.array(table["lang"].to_pylist())
     order = np.lexsort([x.sum(axis=1), names])  # rows come in any order; learning must not depend on it
     x, names = x[order], names[order]
@@ -196,7 +202,7 @@ def predictions(docs: DataFrame, model: Model, text_column: str = "text") -> Dat
     whole text and nothing else, so equal texts agree.  Columns of these names are
     replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = text_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts):  # noqa: ANN001, ANN202
