@@ -9,8 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import text_batches
+
 TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^>]*+)>|<[!?][^>]*+>",
+    r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^<>]*+)>|<[!?][^<>]*+>",
     re.DOTALL,
 )
 #: Elements whose text is never shown.
@@ -265,4 +267,4 @@ def extracted(pages: DataFrame, html_column: str = "html", text_column: str = "t
     def extract(sources):  # noqa: ANN001, ANN202
         return sources.map(lambda h: main_text(h).encode("utf-8", "replace").decode())
 
-    return pages.withColumn(text_column, extract(F.coalesce(F.col(html_column), F.lit(""))))
+    return text_batches(pages).withColumn(text_column, extract(F.coalesce(F.col(html_column), F.lit(""))))

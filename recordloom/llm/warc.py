@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import file_system
+from recordloom.llm.common import file_system, text_batches
 from recordloom.llm.html_blocks import all_text, parse
 
 VERSION = "WARC/1.1"
@@ -139,7 +139,7 @@ def derivatives(frame: DataFrame) -> DataFrame:
                 rows = [r for response in part.slice(low, 256).to_pylist() for r in derive(response)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(out, kinds, strict=True)], out)
 
-    return frame.select(*names).mapInArrow(apply, RECORD)
+    return text_batches(frame).select(*names).mapInArrow(apply, RECORD)
 
 
 def write_warc(records: DataFrame, folder: str) -> None:
