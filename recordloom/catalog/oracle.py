@@ -509,6 +509,15 @@ BODY = {
           WHEN 21 THEN 'OFFSET_NEGATIVE' WHEN 22 THEN 'TITLE_EMPTY' WHEN 23 THEN 'TITLE_CONTAINS_EMPTY' WHEN 24 THEN 'STATUS_REQUIRED'
           WHEN 25 THEN 'THREAD_ID_REQUIRED_WITH_ACTION_ID' WHEN 26 THEN 'UNKNOWN_FILTER' ELSE 'UNKNOWN_SORT' END AS error FROM reqs WHERE v >= 7""",
     "request_results": "SELECT request_id, rank, thread_id, action_id FROM page",
+    "request_results_broad": " UNION ALL ".join(
+        f"""SELECT CAST(n AS BIGINT) AS request_id, CAST(rank - off AS INTEGER) AS rank, thread_id FROM (
+          SELECT n, n * 3 AS off, n + 1 AS lim, thread_id, row_number() OVER (PARTITION BY n ORDER BY {key} {way} NULLS LAST, thread_id || '.md') AS rank
+          FROM (SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation) JOIN thr ON CASE WHEN n < 8 THEN n <> 5 OR created_at < '1996'
+            WHEN n < 16 THEN status NOT IN ('COMPLETED', 'CANCELLED') ELSE status = 'TESTING' END
+          WHERE n % 6 = {i} AND (n % 4 < 2) = {way == "ASC"}) WHERE rank > off AND rank <= off + lim"""
+        for i, key in enumerate(("created_at", "updated_at", "coalesce(started_at, '')", "folded", "status", "revision"))
+        for way in ("ASC", "DESC")
+    ),
     "request_responses": f"""SELECT r.k AS request_id, '{{"response":{{"data":[' || coalesce(items, '') || '],"domain":"THREAD","intent":"'
           || ['GET_THREAD', 'LIST_THREADS', 'LIST_OPEN_THREADS', 'LIST_THREADS_BY_STATUS', 'LIST_OPEN_ACTIONS', 'LIST_THREADS', 'LIST_THREAD_ACTIONS'][v + 1]
           || '","schema_version":"0.1","status":"OK"}}}}' AS response

@@ -203,6 +203,14 @@ def request_results(spark: SparkSession, sf: str) -> DataFrame:
     ).select("request_id", F.col("rank").cast("int").alias("rank"), "thread_id", "action_id")
 
 
+@query
+def request_results_broad(spark: SparkSession, sf: str) -> DataFrame:
+    rows = RB.evaluate_requests(
+        B.broad_requests(spark, sf), B.threads(spark, sf), B.thread_relations(spark, sf), B.thread_actions(spark, sf)
+    )
+    return rows.select("request_id", "rank", "thread_id")
+
+
 @query
 def request_responses(spark: SparkSession, sf: str) -> DataFrame:
     requests, threads = B.requests(spark, sf), B.threads(spark, sf)

@@ -207,6 +207,25 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(k.alias("request_id"), raw.alias("raw"))
 
 
+def broad_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON requests without a key, one per nation: every sort in both directions."""
+    n = F.col("n_nationkey")
+    sorts = ("created_at", "updated_at", "started_at", "title", "status", "revision")
+    filters = F.concat(
+        F.lit('"sort_by":"'), pick(sorts, n % 6), F.lit('","sort_order":"'), F.when(n % 4 < 2, "ASC").otherwise("DESC"),
+        F.lit('","limit":'), n + 1, F.lit(',"offset":'), n * 3,
+    )
+    intent = pick(("LIST_THREADS", "LIST_OPEN_THREADS", "LIST_THREADS_BY_STATUS"), F.least(F.floor(n / 8).cast("int"), F.lit(2)))
+    state = F.when(n >= 16, '"status":"TESTING",').otherwise("")
+    old = F.when(n == 5, ',"created_before":"1996"').otherwise("")
+    return read(spark, sf_dir, "nation").select(
+        n.cast("long").alias("request_id"),
+        F.concat(
+            F.lit('{"request":{"schema_version":"0.1","domain":"THREAD","intent":"'), intent, F.lit('","filters":{'), state, filters, old, F.lit("}}}")
+        ).alias("raw"),
+    )
+
+
 # --- memories ----------------------------------------------------------------
 
 

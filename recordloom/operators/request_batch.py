@@ -213,7 +213,13 @@ def match_threads(
     both = related.filter(F.col("q_relation_type").isNotNull()).join(
         links, ["thread_id", "q_relation_type"], "left_semi"
     )
-    typed = q.filter(F.col("_route") == "type").join(links, "q_relation_type")
+    # A type is met by a tenth of all relations: spread these over slots.
+    slots = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    typed = (
+        links.withColumn("_slot", F.pmod(F.xxhash64("thread_id"), F.lit(SALTS)).cast("int"))
+        .join(q.filter(F.col("_route") == "type").withColumn("_slot", F.explode(slots)), ["q_relation_type", "_slot"])
+        .drop("_slot")
+    )
     titled = q.filter(F.col("_route") == "title").join(
         threads.select("thread_id", F.col("title").alias("q_title")), "q_title"
     )
@@ -231,6 +237,13 @@ def match_threads(
     )
     broad = q.filter(F.col("_route") == "status").withColumn("_state", F.explode(states))
     on_state = F.col("status") == F.col("_state")
+    # Pages without any other filter share the first rows of each state and order.
+    plain = ~F.col("q_intent").isin(*ACTION_INTENTS)
+    for name in _FILTERED:
+        plain = plain & F.col("q_" + name).isNull()
+    plain = F.coalesce(plain, F.lit(False))
+    shared = _first_rows(rows, broad.filter(plain))
+    broad = broad.filter(~plain)
     if fits(broad, broadcast_rows):
         by_state = rows.join(F.broadcast(broad), on_state & _residual())
     else:
@@ -241,7 +254,45 @@ def match_threads(
         by_state = salted.join(
             spread, on_state & (F.col("_salt") == F.col("_slot")) & _residual()
         ).drop("_salt", "_slot")
-    return keyed.unionByName(by_state.drop("_state"))
+    by_state = by_state.drop("_state")
+    return reduce(DataFrame.unionByName, [keyed, by_state, *[s.select(by_state.columns) for s in shared]])
+
+
+#: Filters on the thread itself, beside its state.
+_FILTERED = (
+    "title",
+    "title_contains",
+    "provenance",
+    "created_after",
+    "created_before",
+    "updated_after",
+    "updated_before",
+    "started_after",
+    "started_before",
+)
+
+
+def _first_rows(rows: DataFrame, pages: DataFrame) -> list[DataFrame]:
+    """Candidates of unfiltered pages: for each sort and direction in use (twelve at most)
+    the first rows of every state, as many as the deepest page reaches."""
+    used = (
+        pages.groupBy("q_sort_by", "q_sort_order")
+        .agg(F.max(F.col("q_offset") + F.col("q_limit")).alias("bound"))
+        .collect()
+    )
+    out = []
+    for by, direction, bound in used:
+        if by == "title":
+            key = F.col("_title")
+        elif by == "started_at":
+            key = F.coalesce("started_at", F.lit(""))
+        else:
+            key = F.col(by)
+        key = key.desc_nulls_last() if direction == "DESC" else key.asc_nulls_last()
+        first = best_rows(rows, "status", [key, X.file_order(F.col("thread_id"))], "thread_id", bound).drop("row")
+        asked = pages.filter((F.col("q_sort_by") == by) & (F.col("q_sort_order") == direction))
+        out.append(first.join(asked, F.col("status") == F.col("_state")).drop("_state"))
+    return out
 
 
 def _wanted_states() -> Column:
