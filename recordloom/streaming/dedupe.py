@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from recordloom.plans.decisions import idempotency
+from recordloom.streaming.fold import bucket_of, touched_buckets
 
 
 def distinct_operations(plans: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -57,23 +58,25 @@ def dedupe_stream(
     """Judge a stream of plans (seq, ts, operation_id, execution_plan_hash).
 
     ``ledger`` are the operations known at the start; NEW plans of earlier
-    micro-batches join it from ``root``.
+    micro-batches join it from ``root``, of which a batch reads the buckets of its
+    operations alone.
     """
     columns = ("operation_id", "execution_plan_hash")
     schema = "seq long, operation_id string, execution_plan_hash string, idempotency string"
 
     def step(batch: DataFrame, epoch: int) -> None:
-        seen = spark.read.schema(schema + ", epoch int").option("basePath", root)
+        seen = spark.read.schema(schema + ", epoch int, bucket int").option("basePath", root)
         known = ledger.select(*columns)
         if epoch > 0:
             past = seen.parquet(root).filter(
-                (F.col("epoch") < epoch) & (F.col("idempotency") == "NEW")
+                (F.col("epoch") < epoch)
+                & F.col("bucket").isin(touched_buckets(batch, "operation_id"))
+                & (F.col("idempotency") == "NEW")
             )
             known = known.unionByName(past.select(*columns))
         judged = judge_batch(batch.select("seq", *columns), known)
-        judged.select("seq", *columns, "idempotency").write.mode("overwrite").parquet(
-            f"{root}/epoch={epoch}"
-        )
+        kept = judged.select("seq", *columns, "idempotency", bucket_of("operation_id").alias("bucket"))
+        kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/epoch={epoch}")
 
     return (
         distinct_operations(plans, delay)

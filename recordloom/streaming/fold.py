@@ -5,14 +5,15 @@ micro-batch.  A micro-batch reads the touched threads, applies its commands
 with the batch operator (so a hot thread is split the same way) and writes the
 delta, the outcomes and the history of its epoch.  All outputs are named after
 the epoch and state is read from earlier epochs only, so a replayed batch
-produces the same files again.
+produces the same files again.  State is laid out by a hash of the thread, and a
+micro-batch reads the buckets of its threads alone; ``compact`` folds the epochs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,6 +25,18 @@ from recordloom.operators.lifecycle import (
 )
 
 
+BUCKETS = 64
+
+
+def bucket_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+
+
+def touched_buckets(rows: DataFrame, column: str) -> list[int]:
+    """The buckets that hold the rows' keys: at most ``BUCKETS`` numbers."""
+    return [r[0] for r in rows.select(bucket_of(column).alias("bucket")).distinct().collect()]
+
+
 @dataclass(frozen=True)
 class CommandFold:
     """Thread state below a shared folder."""
@@ -33,23 +46,33 @@ class CommandFold:
 
     def start_from(self, threads: DataFrame, actions: DataFrame) -> None:
         """Write the base snapshot."""
-        self._write(threads, "threads", -1)
-        self._write(actions, "actions", -1)
+        self._keep(threads, "threads", -1)
+        self._keep(actions, "actions", -1)
 
     def _write(self, df: DataFrame, name: str, epoch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/epoch={epoch}")
 
+    def _keep(self, df: DataFrame, name: str, epoch: int) -> None:
+        """Write state, one folder to a bucket."""
+        rows = df.withColumn("bucket", bucket_of("thread_id")).repartition("bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/epoch={epoch}")
+
     def _read(self, name: str, before: int) -> DataFrame:
         rows = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(
             f"{self.root}/{name}"
         )
         return rows.filter(F.col("epoch") < before)
 
-    def threads(self, before: int = 2**31 - 1, only: DataFrame | None = None) -> DataFrame:
-        """Latest row of every thread (or of those in ``only``)."""
-        rows = self._read("threads", before)
+    def _state(self, name: str, before: int, only: DataFrame | None) -> DataFrame:
+        rows = self._read(name, before)
         if only is not None:
+            rows = rows.filter(F.col("bucket").isin(touched_buckets(only, "thread_id")))
             rows = rows.join(only, "thread_id", "left_semi")
+        return rows.drop("bucket")
+
+    def threads(self, before: int = 2**31 - 1, only: DataFrame | None = None) -> DataFrame:
+        """Latest row of every thread (or of those in ``only``)."""
+        rows = self._state("threads", before, only)
         columns = [c for c in rows.columns if c not in ("thread_id", "epoch")]
         latest = rows.groupBy("thread_id").agg(F.max_by(F.struct(*columns), "epoch").alias("r"))
         return latest.select("thread_id", "r.*")
@@ -60,9 +83,7 @@ class CommandFold:
         A delta holds all actions of a changed thread, so the rows of an
         earlier epoch are out of date as a whole.
         """
-        rows = self._read("actions", before)
-        if only is not None:
-            rows = rows.join(only, "thread_id", "left_semi")
+        rows = self._state("actions", before, only)
         newest = rows.groupBy("thread_id").agg(F.max("epoch").alias("epoch"))
         return rows.join(newest, ["thread_id", "epoch"]).drop("epoch")
 
@@ -77,8 +98,8 @@ class CommandFold:
         written = replayed.with_rows(
             self.spark.read.parquet(f"{self.root}/outcomes/epoch={epoch}")
         )
-        self._write(threads_after(threads, written), "threads", epoch)
-        self._write(actions_after(actions, written), "actions", epoch)
+        self._keep(threads_after(threads, written), "threads", epoch)
+        self._keep(actions_after(actions, written), "actions", epoch)
         self._write(status_events(written), "history", epoch)
         for df in (actions, threads, commands):
             df.unpersist()
