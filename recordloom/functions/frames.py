@@ -16,3 +16,13 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     """
     marked = df.select("*", F.monotonically_increasing_id().alias("_mark"))
     return marked.filter(condition & (F.col("_mark") >= 0)).drop("_mark")
+
+
+def last_key_wins(df: DataFrame) -> DataFrame:
+    """The same frame, with a session that keeps the last of repeated keys in a JSON object.
+
+    By default parsing refuses such an object, where readers of the record format take
+    its last value.
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return df

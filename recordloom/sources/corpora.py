@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from recordloom import constants as K
 from recordloom.functions import text as X
-from recordloom.functions.frames import keep_where
+from recordloom.functions.frames import keep_where, last_key_wins
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +65,7 @@ _THREAD_SECTIONS = {
 
 def parse_threads(texts: DataFrame) -> DataFrame:
     """Thread records with nested actions and relations, and ``parse_error``."""
-    rows = texts.select(
+    rows = last_key_wins(texts).select(
         "path",
         "text",
         *[_section(s)[0].alias("_" + s.lower()) for s in _THREAD_SECTIONS],
@@ -218,7 +218,7 @@ _MEMORY_SECTIONS = ("Metadata", "Provenance", "Temporal", "Verification", "Relat
 
 
 def parse_memories(texts: DataFrame) -> DataFrame:
-    rows = texts.select(
+    rows = last_key_wins(texts).select(
         "path",
         "text",
         *[_section(s)[0].alias("_" + s.lower()) for s in _MEMORY_SECTIONS],
@@ -432,6 +432,7 @@ def read_operations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 def parse_operations(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Operation records (file, value): the sound ones, and (file, error) of the others."""
     v = F.try_parse_json("value")
+    raw = last_key_wins(raw)
     fields = ("operation_id", "execution_plan_hash", "information_id", "result", "status", "timestamp")
     rows = raw.select(
         "file", v.alias("v"), *[F.try_variant_get(v, f"$.{n}", "string").alias(n) for n in fields]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
-from recordloom.functions.frames import keep_where
+from recordloom.functions.frames import keep_where, last_key_wins
 
 
 def read_requests(spark, path: str) -> DataFrame:
@@ -36,7 +36,7 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     ``domain``, ``intent``, one column per known filter, ``error``.
     """
     body = F.try_parse_json("raw")
-    parsed = requests.withColumn("_v", body)
+    parsed = last_key_wins(requests).withColumn("_v", body)
     request = F.try_variant_get(F.col("_v"), "$.request", "variant")
     parsed = parsed.withColumn("_r", request)
     filters = F.try_variant_get(F.col("_r"), "$.filters", "variant")

@@ -132,3 +132,13 @@ def test_incremental_ingest_equals_batch(spark, folder):
     key = lambda r: r.information_id
     assert sorted(stream.select(*batch.columns).collect(), key=key) == sorted(batch.collect(), key=key)
     assert spark.read.parquet(target + "_rejects").count() == rejects.count() == 2
+
+
+def test_last_of_repeated_keys_counts(spark):
+    raw = '{"request":{"schema_version":"0.1","domain":"X","domain":"THREAD","intent":"GET_THREAD","filters":{"thread_id":"a","thread_id":"b"}}}'
+    row = parse_requests(spark.createDataFrame([(1, raw)], "request_id long, raw string")).first()
+    assert row.error is None and row.domain == "THREAD" and row.thread_id == "b"
+    good, bad = corpora.parse_operations(
+        spark.createDataFrame([("o.json", '{"operation_id":"x","operation_id":"o","result":"STORE"}')], "file string, value string")
+    )
+    assert good.first().operation_id == "o" and bad.count() == 0
