@@ -325,3 +325,33 @@ RELATION_WARNINGS = {
         "la supersession ne signifie pas que la cible était fausse"
     ),
 }
+
+# Fixed message texts: stored results and reports hold them as they stand.
+
+THREAD_NO_ID = "thread_id is required"
+THREAD_NO_TITLE = "title is required"
+THREAD_NO_OBJECTIVE = "objective is required"
+THREAD_BAD_REVISION = "revision must be >= 1"
+THREAD_BAD_STATUS = "invalid Thread status"
+THREAD_NO_CREATED = "created_at is required"
+THREAD_NO_UPDATED = "updated_at is required"
+THREAD_COMPLETED_EARLY = "completed_at must be empty unless status is COMPLETED"
+THREAD_NOT_COMPLETED = "completed_at is required for COMPLETED Thread"
+ACTION_NO_ID = "action_id is required"
+ACTION_NO_DESCRIPTION = "action description is required"
+ACTION_REPEATED = "duplicate action_id"
+
+FIELDS_MISSING = "champs absents : "
+TYPE_INVALID = "type invalide : "
+EPISTEMIC_INVALID = "epistemic_status invalide : "
+OPERATIONAL_INVALID = "operational_state invalide : "
+ID_EMPTY = "id vide"
+FRONT_MISSING = "front matter absent"
+
+RELATION_SOURCE_MISSING = "fichier source introuvable"
+RELATION_BAD_TYPE = "relation invalide: "
+RELATION_NO_TARGET_ID = "ID cible absent"
+RELATION_REFLEXIVE = "relation réflexive interdite pour cette opération"
+RELATION_TARGET_MISSING = "information cible introuvable: "
+RELATION_BAD_SOURCE_STATE = "état épistémique source invalide: "
+RELATION_BAD_TARGET_STATE = "état épistémique cible invalide: "

@@ -33,17 +33,17 @@ def structure_errors(
         return ~X.absent(value) & ~value.isin(*domain)
 
     return X.all_errors(
-        (F.size(missing) > 0, F.concat(F.lit("champs absents : "), F.array_join(missing, ", "))),
-        (outside(kind, K.INFORMATION_TYPES), F.concat(F.lit("type invalide : "), kind)),
+        (F.size(missing) > 0, F.concat(F.lit(K.FIELDS_MISSING), F.array_join(missing, ", "))),
+        (outside(kind, K.INFORMATION_TYPES), F.concat(F.lit(K.TYPE_INVALID), kind)),
         (
             outside(epistemic, K.EPISTEMIC_STATUSES),
-            F.concat(F.lit("epistemic_status invalide : "), epistemic),
+            F.concat(F.lit(K.EPISTEMIC_INVALID), epistemic),
         ),
         (
             outside(operational, K.OPERATIONAL_STATES),
-            F.concat(F.lit("operational_state invalide : "), operational),
+            F.concat(F.lit(K.OPERATIONAL_INVALID), operational),
         ),
-        (X.absent(identity), "id vide"),
+        (X.absent(identity), K.ID_EMPTY),
     )
 
 
@@ -99,7 +99,7 @@ def text_states(texts: DataFrame) -> DataFrame:
     missing = F.col("missing")
     number = F.regexp_extract("text", r"(?md)^revision:\s*\n\s+number:\s*(\d+)", 1)
     errors = F.when(
-        F.col("_front").isNull(), F.array(F.lit("front matter absent"))
+        F.col("_front").isNull(), F.array(F.lit(K.FRONT_MISSING))
     ).otherwise(
         structure_errors(
             missing,
@@ -160,7 +160,7 @@ def ingest_information(incoming: DataFrame, now: str) -> tuple[DataFrame, DataFr
         "error",
         F.when(
             X.not_in(F.col("type"), K.INFORMATION_TYPES),
-            F.concat(F.lit("type invalide : "), F.coalesce("type", F.lit(""))),
+            F.concat(F.lit(K.TYPE_INVALID), F.coalesce("type", F.lit(""))),
         ),
     )
     none = F.lit(None).cast("string")

@@ -37,15 +37,15 @@ def _thread_checks() -> tuple[tuple[Column, str], ...]:
     done = F.col("status") == "COMPLETED"
     ended = ~X.absent(F.col("completed_at"))
     return (
-        (X.absent(F.col("thread_id")), "thread_id is required"),
-        (X.is_blank(F.col("title")), "title is required"),
-        (X.is_blank(F.col("objective")), "objective is required"),
-        (F.coalesce(F.col("revision") < 1, F.lit(True)), "revision must be >= 1"),
-        (X.not_in(F.col("status"), K.THREAD_STATUSES), "invalid Thread status"),
-        (X.absent(F.col("created_at")), "created_at is required"),
-        (X.absent(F.col("updated_at")), "updated_at is required"),
-        (ended & ~done, "completed_at must be empty unless status is COMPLETED"),
-        (done & ~ended, "completed_at is required for COMPLETED Thread"),
+        (X.absent(F.col("thread_id")), K.THREAD_NO_ID),
+        (X.is_blank(F.col("title")), K.THREAD_NO_TITLE),
+        (X.is_blank(F.col("objective")), K.THREAD_NO_OBJECTIVE),
+        (F.coalesce(F.col("revision") < 1, F.lit(True)), K.THREAD_BAD_REVISION),
+        (X.not_in(F.col("status"), K.THREAD_STATUSES), K.THREAD_BAD_STATUS),
+        (X.absent(F.col("created_at")), K.THREAD_NO_CREATED),
+        (X.absent(F.col("updated_at")), K.THREAD_NO_UPDATED),
+        (ended & ~done, K.THREAD_COMPLETED_EARLY),
+        (done & ~ended, K.THREAD_NOT_COMPLETED),
     )
 
 
@@ -71,8 +71,8 @@ def action_faults(actions: DataFrame) -> DataFrame:
         "thread_id",
         "pos",
         F.when(blank, 0).otherwise(1).alias("kind"),
-        F.when(blank, "action_id is required")
-        .otherwise(F.concat(F.lit("action description is required: "), shown))
+        F.when(blank, K.ACTION_NO_ID)
+        .otherwise(F.concat(F.lit(K.ACTION_NO_DESCRIPTION + ": "), shown))
         .alias("message"),
     )
     uses = Window.partitionBy("thread_id", "action_id").orderBy("pos")
@@ -86,7 +86,7 @@ def action_faults(actions: DataFrame) -> DataFrame:
             "thread_id",
             "pos",
             F.lit(2).alias("kind"),
-            F.concat(F.lit("duplicate action_id: "), shown).alias("message"),
+            F.concat(F.lit(K.ACTION_REPEATED + ": "), shown).alias("message"),
         )
     )
     faults = own.unionByName(again)
@@ -107,9 +107,9 @@ def thread_errors(threads: DataFrame, actions: DataFrame) -> DataFrame:
     """
     faults = action_faults(actions)
     checks = _thread_checks() + (
-        (F.coalesce("without_id", F.lit(False)), "action_id is required"),
-        (F.coalesce("without_description", F.lit(False)), "action description is required"),
-        (F.coalesce("repeated_id", F.lit(False)), "duplicate action_id"),
+        (F.coalesce("without_id", F.lit(False)), K.ACTION_NO_ID),
+        (F.coalesce("without_description", F.lit(False)), K.ACTION_NO_DESCRIPTION),
+        (F.coalesce("repeated_id", F.lit(False)), K.ACTION_REPEATED),
     )
     return (
         threads.join(faults, "thread_id", "left")

@@ -46,23 +46,23 @@ def relation_checks(proposals: DataFrame, information: DataFrame) -> DataFrame:
     found = F.col("target_found").isNotNull()
     # A bad type ends the checks; an unknown target ends them before the states.
     errors = (
-        F.when(F.col("source_found").isNull(), F.array(F.lit("fichier source introuvable")))
-        .when(bad_type, F.array(F.concat(F.lit("relation invalide: "), shown("type"))))
+        F.when(F.col("source_found").isNull(), F.array(F.lit(K.RELATION_SOURCE_MISSING)))
+        .when(bad_type, F.array(F.concat(F.lit(K.RELATION_BAD_TYPE), shown("type"))))
         .otherwise(
             X.all_errors(
-                (X.absent(F.col("target_id")), "ID cible absent"),
+                (X.absent(F.col("target_id")), K.RELATION_NO_TARGET_ID),
                 (
                     F.coalesce(F.col("source_id") == F.col("target_id"), F.lit(False)),
-                    "relation réflexive interdite pour cette opération",
+                    K.RELATION_REFLEXIVE,
                 ),
-                (~found, F.concat(F.lit("information cible introuvable: "), shown("target_id"))),
+                (~found, F.concat(F.lit(K.RELATION_TARGET_MISSING), shown("target_id"))),
                 (
                     found & X.not_in(F.col("source_status"), K.EPISTEMIC_STATUSES),
-                    F.concat(F.lit("état épistémique source invalide: "), shown("source_status")),
+                    F.concat(F.lit(K.RELATION_BAD_SOURCE_STATE), shown("source_status")),
                 ),
                 (
                     found & X.not_in(F.col("target_status"), K.EPISTEMIC_STATUSES),
-                    F.concat(F.lit("état épistémique cible invalide: "), shown("target_status")),
+                    F.concat(F.lit(K.RELATION_BAD_TARGET_STATE), shown("target_status")),
                 ),
             )
         )
