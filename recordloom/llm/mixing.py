@@ -13,9 +13,11 @@ from pyspark.sql.window import Window
 from recordloom.functions.sizing import stable
 from recordloom.llm.common import WORD
 
-SHARDS = 64
-#: A source's words make blocks of about BLOCK_WORDS, or more in a source with more than MAX_BLOCKS of these.
-BLOCK_WORDS, MAX_BLOCKS = 65_536, 1024
+#: Output shards: as many as keep a shard near SHARD_WORDS words, SHARDS at least.
+SHARDS, SHARD_WORDS = 64, 32_000_000
+#: A source's words make blocks of about BLOCK_WORDS; a source has at most MAX_BLOCKS, or
+#: BLOCKS_PER_SHARD for each shard, so blocks of a large source are larger.
+BLOCK_WORDS, MAX_BLOCKS, BLOCKS_PER_SHARD = 65_536, 1024, 8
 #: A mix has at most so many sources; one row for each is planned on the driver.
 MAX_SOURCES = 100_000
 SEED = 20_240_601
@@ -91,7 +93,12 @@ def words_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def plan_draws(
+def plan_draws(docs: DataFrame, **options: object) -> DataFrame:
+    """Every row with ``_mix_plan``; options and results as in :func:`_planned`."""
+    return _planned(docs, **options)[0]
+
+
+def _planned(
     docs: DataFrame,
     weigh: Weigh | None = None,
     id_column: str = "doc_id",
@@ -99,12 +106,12 @@ def plan_draws(
     source_column: str = "source",
     share: float = 1.0,
     cap: float = 3.0,
-    shards: int = SHARDS,
+    shards: int | None = None,
     block_words: int = BLOCK_WORDS,
     max_blocks: int = MAX_BLOCKS,
     seed: int = SEED,
-) -> DataFrame:
-    """Every row with ``mix``: its size, its source's size and target, and its draws.
+) -> tuple[DataFrame, int]:
+    """Every row with ``_mix_plan``: its size, its source's size and target, and its draws.
 
     A row's size is its number of words.  Sources share ``share`` of all sizes by
     weight, up to ``cap`` times their own size.  A source is cut into blocks by a hash
@@ -138,6 +145,8 @@ def plan_draws(
     names, sizes = [r[0] for r in found], [int(r[1]) for r in found]
     weights = (weigh or cyclic())([n[1:] or "" if n else None for n in names])
     goal = targets(sizes, weights, share * sum(sizes), cap)
+    shards = shards or max(SHARDS, math.ceil(sum(goal) / SHARD_WORDS))
+    max_blocks = max(max_blocks, BLOCKS_PER_SHARD * shards)
     plan = []
     for name, size, target in zip(names, sizes, goal, strict=True):
         rounds = min(math.floor(target / size), math.floor(cap)) if size else 0
@@ -198,7 +207,7 @@ def plan_draws(
         at = number * F.col("_mix_held") + order
         return F.struct(
             number.alias("round"),
-            F.size(F.filter("_mix_ends", lambda end: end <= at)).alias("shard"),
+            _first_above("_mix_ends", at, shards).alias("shard"),
             F.xxhash64(F.lit(seed), "_mix_hash", number).alias("place"),
         )
 
@@ -211,15 +220,36 @@ def plan_draws(
         F.transform(numbers, draw).alias("draws"),
     )
     out = placed.select(*[c for c in docs.columns], mix.alias("_mix_plan"))
-    return out.withColumnsRenamed({f"_own{c}": c for c in clash}) if clash else out
+    return (out.withColumnsRenamed({f"_own{c}": c for c in clash}) if clash else out), shards
+
 
+def _first_above(ends: str, at: Column, size: int) -> Column:
+    """How many of the rising numbers in an array are not above ``at``, by bisection."""
+    steps = F.sequence(F.lit(0), F.lit(max(0, size.bit_length() - 1)))
+
+    def narrow(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        above = F.get(F.col(ends), middle) > at
+        done = state["low"] >= state["high"]
+        return F.struct(
+            F.when(done | above, state["low"]).otherwise(middle + 1).alias("low"),
+            F.when(~done & above, middle).otherwise(state["high"]).alias("high"),
+        )
 
-def mixed(docs: DataFrame, shards: int = SHARDS, **options: object) -> DataFrame:
-    """The mix itself: each row once per draw, dealt to shards and shuffled in each."""
-    drawn = plan_draws(docs, shards=shards, **options)
+    return F.aggregate(
+        steps, F.struct(F.lit(0).alias("low"), F.lit(size).alias("high")), narrow, lambda state: state["low"]
+    )
+
+
+def mixed(docs: DataFrame, **options: object) -> DataFrame:
+    """The mix itself: each row once per draw, dealt to shards and shuffled in each.
+
+    A shard is a task; the number of shards grows with the words of the mix.
+    """
+    drawn, shards = _planned(docs, **options)
     return (
         drawn.withColumn("_mix_draw", F.explode("_mix_plan.draws"))
-        .repartition(shards, F.col("_mix_draw.shard"))
+        .repartitionById(shards, F.col("_mix_draw.shard"))
         .sortWithinPartitions("_mix_draw.shard", "_mix_draw.place", "_mix_draw.round")
         .drop("_mix_plan", "_mix_draw")
     )
