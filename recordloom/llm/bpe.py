@@ -32,13 +32,13 @@ WINDOW, MASK_BITS, CHUNK_MIN = 32, 11, 256
 #: Chunks longer than this are cut here, so that a text without cuts stays in pieces.
 CHUNK_MAX = 65_536
 #: Words whose ids a task keeps.
-WORDS_KEPT = 120_000
+WORDS_KEPT = 50_000
 #: Bits of the table that tells texts without shared chunks from others (8 MB).
 TABLE_BITS = 26
 #: Texts encoded together.
 GROUP = 128
 #: Characters of text in a result batch.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: The pre-tokenizer's pattern, a fixed value of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters are cut into words here; on them every engine's classes agree.
@@ -300,11 +300,12 @@ def encoded(
     """For every row: id, ``ids`` (array of int) and ``decoded``, the text made from them.
 
     The ids are exactly the library's for the whole text without added special tokens; a
-    null text counts as empty and has no ids.  Texts that share no chunk with another are
-    encoded where they lie.  For the others, each shared chunk is encoded in one place,
-    its ids are joined to the texts that hold it, and joints are repaired.  Equal texts
-    are encoded once and their rows meet the result by :func:`attach`.  Repeated rows
-    and null ids give a row each; extra columns are not read.
+    null text counts as empty and has no ids.  A text that occurs once and shares no chunk
+    with another is encoded where it lies.  Of the others, each chunk that different
+    texts share is encoded in one place, its ids are joined to the texts that hold it,
+    and joints are repaired; equal texts are encoded once and their rows meet the ids by
+    :func:`attach`.  Repeated rows and null ids give a row each; extra columns are not
+    read.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
@@ -326,18 +327,18 @@ def encoded(
 
     refs = texts.select("key", "text").mapInArrow(cut, "key binary, n int, chunk binary")
     refs = stable(refs.groupBy("key", "n", "chunk").agg(F.count(F.lit(1)).alias("copies")))
-    uses = refs.groupBy("chunk").agg(
-        F.sum("copies").alias("uses"), F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "n")).alias("owner")
-    )
-    uses = stable(uses.filter("uses > 1"))
+    uses = refs.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "n")).alias("owner"))
+    uses = stable(uses.filter("n > 1"))
     counts = uses.select("chunk", "n")
     total = uses.agg(F.sum("n")).first()[0] or 0
     shared = attach(refs.drop("copies"), uses.select("chunk", "owner"), "chunk", counts, total)
     shared = stable(shared.select("key", "n", "chunk", (F.col("owner") == F.struct("key", "n")).alias("owned")))
 
     slot = F.pmod(F.xxhash64("key"), F.lit(1 << TABLE_BITS))
+    # what can't be settled in place: texts with a shared chunk, and equal texts
+    linked = shared.select("key").unionByName(refs.filter("copies > 1").select("key"))
     filled = (
-        shared.select(slot.alias("slot"))
+        linked.select(slot.alias("slot"))
         .groupBy((F.col("slot") / 64).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
         .toArrow()
@@ -401,20 +402,33 @@ def encoded(
     held = held.groupBy("key").agg(F.collect_list(F.struct("n", "start", "end", "part_ids")).alias("held"))
 
     def join(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, results = codec_for(vocabulary), _Results(["key", "ids", "decoded"])
+        codec = codec_for(vocabulary)
         for part in parts:
-            for key, text, held in zip(*(part.column(i) for i in range(3)), strict=True):
-                known = {h["n"]: (h["start"], h["end"], h["part_ids"]) for h in held.as_py() or []}
-                ids = assemble(codec, [c for _, c in chunks(text.as_py())], known)
-                results.add(key.as_py(), ids, codec.decode(ids))
+            for low in range(0, part.num_rows, GROUP):
+                some = part.slice(low, GROUP)
+                keys, encodings = [], []
+                for key, text, held in zip(*(some.column(i) for i in range(3)), strict=True):
+                    known = {h["n"]: (h["start"], h["end"], h["part_ids"]) for h in held.as_py() or []}
+                    keys.append(key.as_py())
+                    encodings.append(assemble(codec, [c for _, c in chunks(text.as_py())], known))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _ids_array(encodings)], ["key", "ids"])
+
+    def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, results = codec_for(vocabulary), _Results(["id", "ids", "decoded"])
+        for part in parts:
+            values, offsets = part.column(1).values.to_numpy().astype("<u4"), part.column(1).offsets.to_numpy()
+            for key, low, high in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                ids = values[low:high].tobytes()
+                results.add(key, ids, codec.decode(ids))
                 if results.full():
-                    yield results.take(pa.binary())
+                    yield results.take(pa.int64())
         if results.rows:
-            yield results.take(pa.binary())
+            yield results.take(pa.int64())
 
     joined = some.join(held, "key", "left").select("key", "text", "held")
-    joined = joined.mapInArrow(join, "key binary, ids array<int>, decoded string")
+    joined = joined.mapInArrow(join, "key binary, ids array<int>")
     owners = stable(marked.select("id", "key", "slot").mapInArrow(owning, "id long, key binary"))
     number = stable(owners.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    copies = attach(owners, joined, "key", number, owners.count()).select("id", "ids", "decoded")
+    copies = attach(owners, joined, "key", number, owners.count()).select("id", "ids")
+    copies = copies.mapInArrow(decode, "id long, ids array<int>, decoded string")
     return single.unionByName(copies).withColumnRenamed("id", id_column)
