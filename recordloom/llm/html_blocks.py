@@ -251,9 +251,9 @@ def main_text(source: str | None) -> str:
     return "\n".join(b.text for b, good in zip(blocks, keep, strict=True) if good)
 
 
-def all_text(source: str | None) -> str:
+def shown_text(page: Page) -> str:
     """All shown blocks, for a plain rendering of a page."""
-    return "\n".join(b.text for b in parse(source).blocks)
+    return "\n".join(b.text for b in page.blocks)
 
 
 def extracted(pages: DataFrame, html_column: str = "html", text_column: str = "text") -> DataFrame:

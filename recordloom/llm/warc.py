@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import file_system, text_batches
-from recordloom.llm.html_blocks import all_text, parse
+from recordloom.llm.html_blocks import parse, shown_text
 
 VERSION = "WARC/1.1"
 #: Records in a file at most, and bytes read from one at a time.
@@ -118,7 +118,7 @@ def derive(response: dict) -> tuple[dict, dict]:
     fields += [("outlink", link) for link in page.links]
     block = "".join(f"{n}: {one_line(v)}\r\n" for n, v in fields).encode("utf-8", "replace")
     metadata = _record("metadata", response, source, block, "application/warc-fields", ids["conversion"])
-    plain = all_text(text).encode("utf-8", "replace")
+    plain = shown_text(page).encode("utf-8", "replace")
     conversion = _record("conversion", response, source, plain, "text/plain; charset=utf-8", ids["metadata"])
     return metadata, conversion
 
