@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import bpe, exact_dedup, language, mixing, simhash
-from recordloom.llm.common import read, work_folder
+from recordloom.llm.common import fresh, read, work_folder
 
 #: The last stage ends in digests, which no SQL can make.
 ORACLE_SQL = None
@@ -19,9 +19,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit(docs.filter(~language.held_out()))
     if not model.languages:  # nothing to learn from: only letters can be asked for
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = language.predictions(docs.withColumnRenamed("lang", "_lang"), model)
-    found = found.filter(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.coalesce("_lang", "lang_pred"))
-    return found.select(*docs.columns)
+    mark = fresh(docs, "_language")
+    found = F.col(mark)["lang_pred"]
+    rows = language.predicted(docs, model, mark).filter(found != language.UNKNOWN)
+    return rows.withColumn("lang", F.coalesce("lang", found)).drop(mark)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.sizing import ensure_checkpoint_dir, stable
 
-__all__ = ["attach", "connected", "read", "stable", "text_batches", "work_folder"]
+__all__ = ["attach", "connected", "fresh", "read", "stable", "text_batches", "work_folder"]
 
 #: Texts in a batch for Python.
 TEXT_ROWS = 1_000
@@ -33,6 +33,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
 def text_batches(docs: DataFrame) -> DataFrame:
     """The same frame, with a session that hands whole texts to Python in small batches.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.sizing import stable
+from recordloom.llm.common import fresh
 
 #: Frequent digests looked for, and counters a sketch keeps for them.
 HEAVY, TRACKED = 256, 1024
@@ -72,9 +73,7 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; equal id and text stay once."""
-    mark = "_text_sha256"
-    while mark in docs.columns:
-        mark = "_" + mark
+    mark = fresh(docs, "_text_sha256")
     kept = duplicate_groups(docs, id_column, text_column).filter("kept")
     kept = kept.select(F.col(id_column).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     marked = docs.withColumn(mark, digest_of(text_column))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recordloom.llm.common import text_batches
+from recordloom.llm.common import fresh, text_batches
 
 #: Rows learned from at most, over all languages; SNIPPET characters of each are learned too.
 SAMPLE_ROWS, SNIPPET = 2_000, 80
@@ -195,12 +195,11 @@ def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "lan
     return Model(languages, families, members, pairs, np.stack(columns, axis=1).astype(np.float32))
 
 
-def predictions(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """Every row with ``lang_pred`` and ``score`` added.
+def predicted(docs: DataFrame, model: Model, name: str, text_column: str = "text") -> DataFrame:
+    """Every row with a column ``name`` of ``lang_pred`` and ``score`` added.
 
     ``und`` with score 0 for a text that is null or has no letter.  A prediction sees the
-    whole text and nothing else, so equal texts agree.  Columns of these names are
-    replaced.
+    whole text and nothing else, so equal texts agree.
     """
     shared = text_batches(docs).sparkSession.sparkContext.broadcast(model)
 
@@ -211,10 +210,13 @@ def predictions(docs: DataFrame, model: Model, text_column: str = "text") -> Dat
         found = [shared.value.predict(t) for t in texts]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    mark = "_found"
-    while mark in docs.columns:
-        mark = "_" + mark
-    return docs.withColumn(mark, predict(F.col(text_column))).select(
+    return docs.withColumn(name, predict(F.col(text_column)))
+
+
+def predictions(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """Every row with ``lang_pred`` and ``score``; columns of these names are replaced."""
+    mark = fresh(docs, "_found")
+    return predicted(docs, model, mark, text_column).select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], f"{mark}.lang_pred", f"{mark}.score"
     )
 

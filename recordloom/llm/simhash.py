@@ -267,4 +267,5 @@ def near_deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """
     groups = near_groups(docs, id_column, text_column)
     gone = groups.filter(F.col("component_id") != F.col(id_column)).select(F.col(id_column).alias("_gone_id"))
-    return docs.join(gone.distinct(), docs[id_column] == F.col("_gone_id"), "left_anti")
+    gone = gone.distinct()
+    return docs.join(gone, docs[id_column] == gone["_gone_id"], "left_anti")

@@ -1,18 +1,22 @@
 import brute
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.llm import exact_dedup, mixing
 
 
-def test_every_stage_on_hard_documents(spark, sf):
-    docs = brute.hard_documents(spark, extra=False)
+@pytest.mark.parametrize("extra", [False, True])
+def test_every_stage_on_hard_documents(spark, sf, extra):
+    docs = brute.hard_documents(spark, extra=extra)
     columns = docs.columns
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         seen[name] = sorted(r[0] or 0 for r in docs.select("doc_id").collect())
         assert docs.columns == columns or name == "bpe"
+        if extra and name != "bpe":
+            assert docs.filter("score <> 'x' or lang_pred <> 'x' or _found <> 'x'").count() == 0
     assert seen["language"] == [0, 4, 5, 5, 6, 7, 9, 10]
     assert seen["exact_dedup"] == [5, 6, 7, 9, 10]
     assert seen["near_dedup"] == [5, 6, 7, 9, 10]
