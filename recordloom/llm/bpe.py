@@ -170,14 +170,15 @@ class Codec:
             return self.tokenizer.decode(numbers, skip_special_tokens=False)
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
-def codec_for(vocabulary: str) -> Codec:
+def codec_for(vocabulary: str, words_kept: int = WORDS_KEPT) -> Codec:
     """The worker's codec; its words stay for the next task."""
-    if vocabulary not in _CODECS:
-        _CODECS[vocabulary] = Codec(vocabulary)
-    return _CODECS[vocabulary]
+    key = (vocabulary, words_kept)
+    if key not in _CODECS:
+        _CODECS[key] = Codec(vocabulary, words_kept)
+    return _CODECS[key]
 
 
 def _gear() -> np.ndarray:

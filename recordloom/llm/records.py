@@ -28,6 +28,8 @@ NO_ID, WIDE = 1, 2
 #: Fixed values of the format: the Castagnoli polynomial (reflected) and the mask's constant.
 POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
 BLOCK = 512
+#: Words whose ids a writing task keeps: it holds little else.
+RECORD_WORDS = 150_000
 #: Payload bytes framed at a time, and documents in a batch of the index.
 FRAME_BYTES, INDEX_ROWS = 4_000_000, 4096
 INDEX = "file string, file_number int, record long, doc_id long, offset long, length long, start_in_file long, n_tokens long"
@@ -160,7 +162,7 @@ def write_records(
         system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         path = f"{base}/records-{number:06d}-{uuid.uuid4().hex}.tfrecord"
-        codec, end = codec_for(vocabulary), np.array([end_id], dtype="<u4")
+        codec, end = codec_for(vocabulary, RECORD_WORDS), np.array([end_id], dtype="<u4")
         offset = start = count = 0
         payloads: list[bytes] = []
         entries: list[tuple] = []
