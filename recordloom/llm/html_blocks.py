@@ -26,6 +26,17 @@ BREAKS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article main".split())
+#: Elements whose end may be left out: open ones that a new one ends, and what these lie in at most.
+ROWS, CELLS, GROUPS = frozenset(["tr"]), frozenset("td th".split()), frozenset("thead tbody tfoot caption".split())
+TERMS, PASSED = frozenset("dt dd".split()), frozenset("address div p".split())
+ENDED = {
+    "li": (frozenset(["li"]), BREAKS - PASSED - {"li"}),
+    **dict.fromkeys(TERMS, (TERMS, BREAKS - PASSED - TERMS)),
+    "option": (frozenset(["option"]), frozenset("select datalist".split())),
+    **dict.fromkeys(CELLS, (CELLS, frozenset("tr table".split()))),
+    "tr": (ROWS | CELLS, frozenset(["table"])),
+    **dict.fromkeys(GROUPS, (GROUPS | ROWS | CELLS, frozenset(["table"]))),
+}
 #: Elements and words of class, id or role that mark what is not the article.
 ASIDES = frozenset("nav footer aside form menu dialog".split())
 ASIDE_WORDS = frozenset(
@@ -94,16 +105,25 @@ def parse(source: str | None) -> Page:
     """The blocks of a page, with linked characters and marks; any markup is accepted.
 
     One pass over the tags, linear in the page.  Comments and hidden elements give no
-    text; unclosed elements end with the element around them or the page.
+    text; unclosed elements end with a sibling that HTML lets end them, with the element
+    around them, however deep they lie in it, or with the page.
     """
     page, source = Page(), source or ""
     stack: list[tuple[str, bool, bool, bool]] = []  # name, aside, content, hidden
+    places: dict[str, list[int]] = {}  # where in the stack each name is open
     words: list[str] = []
     linked, in_link, heading, at, size = 0, 0, False, 0, len(source)
 
     def top() -> tuple[str, bool, bool, bool]:
         return stack[-1] if stack else ("", False, False, False)
 
+    def cut(low: int) -> None:
+        while len(stack) > low:
+            places[stack.pop()[0]].pop()
+
+    def last(names: frozenset[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
     def flush() -> None:
         nonlocal linked, heading
         text = " ".join("".join(words).split())
@@ -139,10 +159,8 @@ def parse(source: str | None) -> Page:
         if closing:
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            for i in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
         given = attributes(found[3] or "") if found[3] else {}
         if tag in RAW:
@@ -168,11 +186,15 @@ def parse(source: str | None) -> Page:
         if tag in VOID or (found[3] or "").endswith("/"):
             continue
         if tag in BREAKS or tag in HIDDEN:
-            if tag in ("p", "li", "td", "th", "dt", "dd", *HEADINGS):
-                if stack and stack[-1][0] in ("p", *HEADINGS) or stack and stack[-1][0] == tag:
-                    stack.pop()  # a new one ends an open one
+            if tag in ENDED:  # a new one ends an open one
+                names, around = ENDED[tag]
+                wall = last(around)
+                cut(min((places[n][-1] for n in names if places.get(n) and places[n][-1] > wall), default=len(stack)))
+            if stack and stack[-1][0] in ("p", *HEADINGS) and tag in ("p", "li", "td", "th", "dt", "dd", *HEADINGS):
+                cut(len(stack) - 1)
             _, aside, content, hidden = top()
             marked = _is_aside(tag, given) or (tag == "header" and not content)
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, aside or marked, content or tag in CONTENT, hidden or tag in HIDDEN))
             if tag in ("body", "article", "main"):
                 in_link = 0

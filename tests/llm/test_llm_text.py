@@ -172,6 +172,28 @@ def test_main_text_of_odd_pages(page, text):
     assert html_blocks.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<select>" + "<option>land" * 200 + "</select>",
+        "<select>" + "<option><p>land" * 200 + "</select>",
+        "<nav><table>" + "<tr><td>menu" * 100 + "</table></nav>",
+        "<nav><dl>" + "<dt>a<dd>b" * 100 + "</dl></nav>",
+        "<nav><ul>" + "<li><p>a" * 100 + "</ul></nav>",
+        "<nav>" + "<div>" * 200 + "</nav>",
+    ],
+)
+def test_elements_left_open_end_with_what_is_around_them(before):
+    assert html_blocks.main_text(f"{before}<article><p>{PROSE}</p></article>") == PROSE
+    assert html_blocks.shown_text(html_blocks.parse(f"{before}<p>{PROSE}</p>")).endswith(PROSE)
+
+
+def test_a_new_sibling_ends_only_those_of_its_own_list_or_table():
+    page = "<ul><li class=ad>x<li>one<ul><li class=ad>y</ul>two</ul><table><tr class=ad><td>x<tr><td>three<table><tr class=ad><td>y</table>four</table>"
+    shown = html_blocks.parse(page + "<li class=ad><section>z<li>y").blocks
+    assert [b.text for b in shown if not b.aside] == ["one", "two", "three", "four"]
+
+
 def test_short_blocks_take_the_nearest_label():
     classes = ["good", "short", "short", "short", "bad", "near", "out", "short"]
     assert html_blocks.second_pass(classes, [False] * 8, False) == [True, True, False, False, False, False, False, False]
