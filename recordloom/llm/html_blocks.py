@@ -95,10 +95,11 @@ def _is_aside(tag: str, given: dict[str, str]) -> bool:
         return True
     if re.search(r"display\s*:\s*none", given.get("style", "")):
         return True
-    if tag in ("body", "html", "article", "main") or tag in HEADINGS:
+    if tag in ("body", "html") or tag in HEADINGS:
         return False
     names = " ".join(given.get(n, "") for n in ("class", "id", "role")).lower()
-    return bool(names) and not ASIDE_WORDS.isdisjoint(PARTS.findall(names))
+    # an article's class may tell what is beside it (with-sidebar), so only whole names count there
+    return bool(names) and not ASIDE_WORDS.isdisjoint(names.split() if tag in CONTENT else PARTS.findall(names))
 
 
 def parse(source: str | None) -> Page:
@@ -208,55 +209,70 @@ def stop_density(text: str) -> float:
     return hits / len(words) if words else 0.0
 
 
-def first_pass(block: Block, inside: bool) -> str:
+def first_pass(block: Block, told: bool = True) -> str:
     """A block's own class, by link density, length and density of stop-words.
 
-    ``inside`` is true in a page that marks its article: then what lies outside is out
-    and prose inside needs no stop-words.
+    A place in the article is a prior: such a block is one class better than its words
+    make it, and a short one nearly good.  Where stop-words tell nothing (``told`` is
+    false: no block of the article has its share of them), it is good if it isn't short.
     """
-    density = block.linked / len(block.text)
-    if block.aside or (inside and not block.content):
+    if block.aside:
         return OUT
-    if inside:
-        if density > MAX_LINK_DENSITY and len(block.text) < LONG_CHARS:
-            return BAD
-        return SHORT if len(block.text) < SHORT_CHARS else GOOD
-    if density > MAX_LINK_DENSITY:
+    density = block.linked / len(block.text)
+    if density > MAX_LINK_DENSITY and not (block.content and len(block.text) >= LONG_CHARS):
         return BAD
     if len(block.text) < SHORT_CHARS:
+        if block.content:
+            return NEAR
         return BAD if block.linked else SHORT
     stops = stop_density(block.text)
+    if block.content:
+        return GOOD if stops >= STOP_LOW or not told else NEAR
     if stops >= STOP_HIGH:
         return GOOD if len(block.text) > LONG_CHARS else NEAR
     return NEAR if stops >= STOP_LOW else BAD
 
 
-def second_pass(classes: list[str], headings: list[bool], inside: bool) -> list[bool]:
+def second_pass(classes: list[str], headings: list[bool], content: list[bool] | bool = False) -> list[bool]:
     """Labels of all blocks: ambiguous ones take that of the nearest decided block.
 
     A tie goes to good for nearly good blocks and to bad for short ones, and a heading
-    looks down the page first.  Without any decided block, and inside a marked article,
-    an ambiguous block is good: nothing speaks against it.
+    looks down the page first.  Without any decided block an ambiguous block is good:
+    nothing speaks against it.
+
+    On a page with an article, its blocks ask one another only: a heading is good if a
+    good block follows, and all ambiguous ones are if none of its blocks is.  A short block
+    outside is good between two good ones, a heading there above one; other blocks outside
+    take the nearest label, and all of them are bad if nothing is decided.
     """
     size = len(classes)
-    far = size + 1
+    content = content or [False] * size
+    far, marked = size + 1, True in content
     before, after = [(far, BAD)] * size, [(far, BAD)] * size
     for near, order in ((before, range(size)), (after, range(size - 1, -1, -1))):
-        last = None
+        last_any = last_content = None
         for i in order:
+            last = last_content if content[i] else last_any
             if classes[i] in (GOOD, BAD):
-                last = i
+                last_any, last_content = i, i if content[i] else last_content
             elif last is not None:
                 near[i] = (abs(i - last), classes[last])
+    last_good = max((i for i in range(size) if content[i] and classes[i] == GOOD), default=None)
     out = []
     for i, c in enumerate(classes):
         (up, above), (down, below) = before[i], after[i]
         if c in (GOOD, BAD, OUT):
             out.append(c == GOOD)
-        elif inside or up == down == far:
+        elif content[i] and last_good is None:
             out.append(True)
+        elif content[i] and headings[i]:
+            out.append(last_good > i)
+        elif up == down == far:
+            out.append(not marked)
         elif headings[i] and down < far:
             out.append(below == GOOD)
+        elif marked and c == SHORT:
+            out.append(above == below == GOOD)
         elif up == down:
             out.append(GOOD in (above, below) if c == NEAR else above == below == GOOD)
         else:
@@ -265,11 +281,12 @@ def second_pass(classes: list[str], headings: list[bool], inside: bool) -> list[
 
 
 def main_text(source: str | None) -> str:
-    """The article's blocks in page order, joined by newlines."""
+    """The page's good blocks in page order, joined by newlines."""
     blocks = parse(source).blocks
-    inside = any(b.content and not b.aside for b in blocks)
-    classes = [first_pass(b, inside) for b in blocks]
-    keep = second_pass(classes, [b.heading for b in blocks], inside)
+    prose = (b.text for b in blocks if b.content and not b.aside and len(b.text) >= SHORT_CHARS)
+    told = any(stop_density(text) >= STOP_LOW for text in prose)
+    classes = [first_pass(b, told) for b in blocks]
+    keep = second_pass(classes, [b.heading for b in blocks], [b.content and not b.aside for b in blocks])
     return "\n".join(b.text for b, good in zip(blocks, keep, strict=True) if good)
 
 

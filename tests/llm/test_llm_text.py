@@ -194,6 +194,26 @@ def test_a_new_sibling_ends_only_those_of_its_own_list_or_table():
     assert [b.text for b in shown if not b.aside] == ["one", "two", "three", "four"]
 
 
+def test_both_passes_run_on_pages_with_an_article():
+    card = "<article class=card><h3>Card</h3><p>Read on</p></article>"
+    page = f"{card}<div><h2>A heading</h2><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div><div>Imprint</div>"
+    assert html_blocks.main_text(page) == "\n".join(["Card", "Read on", "A heading", PROSE, "Short.", PROSE])
+    links = "<p><a href=1>one link</a></p><p>More:</p><p><a href=2>another link</a></p>"
+    page = f"<article><h1>Title</h1><p>By <a href=b>Author</a></p><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p>{links}</article><p>Imprint</p>"
+    assert html_blocks.main_text(page) == "\n".join(["Title", PROSE, "Short.", PROSE])
+
+
+def test_names_of_articles_are_read():
+    page = f"<main class='page with-sidebar'><p>{PROSE}</p><article class='comment odd'><p>Me too. {PROSE}</p></article></main>"
+    assert html_blocks.main_text(page) == PROSE
+
+
+def test_an_article_in_a_language_without_listed_words_stays_whole():
+    blocks = ["Tytuł", *("Żółte liście spadają cicho między drzewami, gdy wieczorem wiatr przechodzi przez park miejski." for _ in range(3)), "Koniec."]
+    page = "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + f"<p><a href=1>odnośnik</a></p></article><div>{PROSE[:40]}</div>"
+    assert html_blocks.main_text(page) == "\n".join([*blocks[:4], "Koniec."])
+
+
 def test_short_blocks_take_the_nearest_label():
     classes = ["good", "short", "short", "short", "bad", "near", "out", "short"]
     assert html_blocks.second_pass(classes, [False] * 8, False) == [True, True, False, False, False, False, False, False]
