@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recordloom.llm.common import fresh, text_batches
+from recordloom.llm.common import fresh, stable, text_batches
 
 #: Rows learned from at most, over all languages; SNIPPET characters of each are learned too.
 SAMPLE_ROWS, SNIPPET = 2_000, 80
+#: Parts of a language's texts that are cut to the smallest hashes side by side.
+SLICES = 64
 DIMENSIONS = 4_096
 SLAB = 1 << 20
 UNKNOWN = "und"
@@ -137,26 +139,35 @@ class Model:
         return self.languages[best], float(min(1.0, max(0.0, sure)))
 
 
+def sampled(known: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(lang, mark, text): as many different texts of each language, those with the smallest hashes.
+
+    ``known`` has columns ``text`` and ``lang`` without nulls.  All languages give
+    ``sample_rows`` divided by their number, or one text each if they are more.  Copies
+    count once, so neither sizes nor copies change which texts are taken.  Smallest
+    hashes are cut in ``SLICES`` of each language first, so no task gets a language whole.
+    """
+    known = known.withColumn("mark", F.xxhash64(F.lit(11), "text"))
+    marks = stable(known.select("lang", "mark").distinct())
+    languages = marks.select("lang").distinct().count()
+    most = max(1, sample_rows // max(1, languages))
+    row, part = F.row_number(), F.pmod("mark", F.lit(SLICES))
+    for window in (Window.partitionBy("lang", part), Window.partitionBy("lang")):
+        marks = marks.withColumn("row", row.over(window.orderBy("mark"))).filter(F.col("row") <= most).drop("row")
+    chosen = known.join(F.broadcast(marks), ["lang", "mark"])
+    return chosen.groupBy("lang", "mark").agg(F.first("text").alias("text"))  # a text once, however often it is copied
+
+
 def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from a sample of labelled rows, at most ``sample_rows`` of them.
+    """Learn from a sample of labelled rows, at most ``sample_rows`` of them or one for each language.
 
-    Each language gives the same number of rows at most, chosen by a hash of their text
-    after a count of all labelled rows; each row is learned whole and as a snippet.
+    Each language gives the same number of different texts at most, those with the
+    smallest hashes; each is learned whole and as a snippet.
     """
     known = text_batches(labelled).filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(
         F.col(text_column).alias("text"), F.col(label_column).cast("string").alias("lang")
     )
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(sample_rows).collect()}
-    languages = tuple(sorted(counts))
-    if not languages:
-        return Model((), (), (), (), np.zeros((DIMENSIONS + 1, 0)))
-    most = max(1, sample_rows // len(languages))
-    rate = F.create_map(*[x for n in languages for x in (F.lit(n), F.lit(min(1.0, 1.3 * most / counts[n] + 1e-4)))])
-    mark = F.xxhash64(F.lit(11), "text")
-    chosen = known.withColumn("mark", mark).filter((F.pmod("mark", F.lit(1 << 20)) / float(1 << 20)) < rate[F.col("lang")])
-    chosen = chosen.groupBy("lang", "mark").agg(F.first("text").alias("text"))  # a text once, however often it is copied
-    order = Window.partitionBy("lang").orderBy("mark")
-    chosen = chosen.withColumn("row", F.row_number().over(order)).filter(F.col("row") <= most)
+    chosen = sampled(known, sample_rows)
 
     def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

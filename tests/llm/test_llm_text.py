@@ -63,6 +63,24 @@ def test_learning_uses_no_more_rows_than_stated(spark, sf):
     assert language.fit(docs, sample_rows=8).languages == ("de", "en", "es", "fr")
 
 
+def test_copies_take_no_language_from_the_sample(spark):
+    few = spark.range(500).select(F.lit("rr").alias("lang"), F.concat(F.lit("alpha beta "), F.col("id")).alias("text"))
+    copies = spark.range(500_000).select(F.lit("rr").alias("lang"), F.lit("gamma delta").alias("text"))
+    other = spark.range(100).select(F.lit("qq").alias("lang"), F.concat(F.lit("one two "), F.col("id")).alias("text"))
+    docs = few.unionByName(copies).unionByName(other)
+    found = language.sampled(docs, 20)
+    assert {tuple(r) for r in found.groupBy("lang").agg(F.count("*"), F.countDistinct("text")).collect()} == {("qq", 10, 10), ("rr", 10, 10)}
+    for lang, rows in (("rr", few.limit(500).unionByName(copies.limit(1))), ("qq", other)):
+        marks = sorted(r[0] for r in rows.select(F.xxhash64(F.lit(11), "text")).collect())[:10]
+        assert sorted(r["mark"] for r in found.filter(F.col("lang") == lang).collect()) == marks
+    assert language.fit(docs, sample_rows=20).languages == ("qq", "rr")
+
+
+def test_every_language_is_learned_from_if_there_are_more_than_rows(spark):
+    docs = spark.range(60).select(F.concat(F.lit("l"), F.col("id") % 6).alias("lang"), F.concat(F.lit("word x"), F.col("id")).alias("text"))
+    assert language.fit(docs, sample_rows=4).languages == tuple(f"l{i}" for i in range(6))
+
+
 def test_base_spans_equal_the_patterns():
     random.seed(1)
     pieces = ["@", ".", "1", "2", "99", "a", "b-", "+", " ", "(", ")", "-", "4111111111111111", "x.y", "256", "%", "é", ","]
