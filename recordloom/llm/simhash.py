@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import WORD, attach, bits_of, connected, stable, text_batches
+from recordloom.llm.common import WORD, attach, bits_of, connected, fresh, stable, text_batches
 
 BITS = 64
 PARTS, WIDTH = 4, 16
@@ -262,10 +262,24 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def near_deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The row of each group that bears the group's smallest id, with all its columns.
 
-    Rows that repeat that id are one document and stay as they are; rows with a null id
-    can't be told apart and stay too.
+    Rows of a group that repeat that id are one document and stay as they are; rows with
+    a null id can't be told apart and stay too.  An id that stands on rows of several
+    groups stays on those of the group that it names; only then are fingerprints asked
+    for again, to tell its rows apart.
     """
-    groups = near_groups(docs, id_column, text_column)
-    gone = groups.filter(F.col("component_id") != F.col(id_column)).select(F.col(id_column).alias("_gone_id"))
-    gone = gone.distinct()
-    return docs.join(gone, docs[id_column] == gone["_gone_id"], "left_anti")
+    groups = stable(near_groups(docs, id_column, text_column).withColumn("away", F.col("component_id") != F.col(id_column)))
+    gone = groups.filter("away").select(F.col(id_column).alias("_gone_id"), F.col("fingerprint").alias("_gone_mark")).distinct()
+    torn = groups.groupBy(id_column).agg(F.min("away").alias("all"), F.max("away").alias("some")).filter("some and not all")
+    if torn.isEmpty():
+        return docs.join(gone.select("_gone_id").distinct(), docs[id_column] == F.col("_gone_id"), "left_anti")
+    mark = fresh(docs, "_mark")
+
+    @F.pandas_udf("long")
+    def marked(texts):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+
+    rows = text_batches(docs).withColumn(mark, marked(F.coalesce(F.col(text_column), F.lit(""))))
+    same = (F.col(id_column).cast("long") == F.col("_gone_id")) & (F.col(mark) == F.col("_gone_mark"))
+    return rows.join(gone, same, "left_anti").drop(mark)

@@ -68,6 +68,15 @@ def test_fingerprints_and_components_of_hard_documents(spark):
     assert sorted(r[0] or 0 for r in simhash.near_deduplicated(docs).select("doc_id").collect()) == [0, 0, 1, 4, 6, 7, 8, 9, 10]
 
 
+def test_an_id_on_different_texts_stays_where_its_group_needs_it(spark):
+    one, two = "the first text of all that are here", "something else that was written on another day"
+    rows = [(1, one, "a"), (5, one, "a"), (5, two, "b"), (7, two, "b"), (None, two, "b"), (9, None, "c"), (5, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mark string")
+    kept = simhash.near_deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[6]], key=str)
+
+
 def test_components_match_brute_force_on_the_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     marks = {r[0]: brute.fingerprint(r[1]) for r in docs.select("doc_id", "text").collect()}
