@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, html_blocks, language, mixing, neighbours, private_data, records, simhash, warc
+from recordloom.llm import bpe, exact_dedup, html_blocks, language, mixing, neighbours, private_data, records, simhash, spelling, warc
 from recordloom.llm.common import read, work_folder
+from recordloom.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 WARC_DATE = "2024-01-01T00:00:00Z"
 
@@ -106,6 +109,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(texts, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_warc": op2_warc,
@@ -117,16 +124,5 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_main_text": op9_main_text,
     "op10_language": op10_language,
-}
-
-ORACLE = {
-    "op8_exact_dedup": """
-        WITH rows AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
-        SELECT doc_id,
-               max(doc_id) OVER same AS keep_id,
-               count(*) OVER same AS group_size,
-               doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept,
-               text_sha256
-        FROM rows WINDOW same AS (PARTITION BY text_sha256)
-    """,
+    "op13_spelling": op13_spelling,
 }
