@@ -26,6 +26,47 @@ ORACLE = {
                text_sha256
         FROM rows WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op12_prefix_trie": f"""
+        WITH own AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                       sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        keys AS (SELECT DISTINCT conv_id::VARCHAR AS s FROM own),
+        {_CRC},
+        convs AS (SELECT s::BIGINT AS conv_id, s::BIGINT - s::BIGINT % 20 AS base, crc % 4 AS h FROM crcs),
+        lengths AS (SELECT conv_id AS base, count(*) AS has FROM own GROUP BY conv_id),
+        rebuilt AS (
+            SELECT c.conv_id, o.place - h + least(h, coalesce(has, 0)) AS place, digest, text
+            FROM convs c JOIN own o ON o.conv_id = c.conv_id AND place >= h LEFT JOIN lengths l ON l.base = c.base
+            UNION ALL
+            SELECT c.conv_id, place, digest, text FROM convs c JOIN own o ON o.conv_id = c.base AND place < h
+        ),
+        members AS (
+            SELECT conv_id, place + 1 AS depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY place) AS key,
+                   len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+            FROM rebuilt
+            UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+        ),
+        nodes AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM members GROUP BY ALL),
+        children AS (SELECT depth - 1 AS depth, left(key, 64 * (depth - 1)) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+        valued AS (
+            SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.key = n.key
+        ),
+        sums AS (
+            SELECT a AS depth, left(key, 64 * a) AS key, sum((n_convs - 1) * words) AS saved, count(*) FILTER (n_children = 0) AS leaves
+            FROM valued, unnest(range(0, depth + 1)) AS u(a) GROUP BY ALL
+        ),
+        lasts AS (SELECT conv_id, max_by(key, depth) AS key, max(depth) AS depth FROM members GROUP BY conv_id),
+        ends AS (SELECT depth, key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM lasts GROUP BY ALL)
+        SELECT v.conv_id, v.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, leaves AS n_leaves,
+               saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM valued v JOIN sums s ON s.depth = v.depth AND s.key = v.key
+        LEFT JOIN ends e ON e.depth = v.depth AND e.key = v.key
+        LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.key = left(v.key, 64 * (v.depth - 1))
+    """,
     "op13_spelling": f"""
         WITH RECURSIVE found AS (
             SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents
