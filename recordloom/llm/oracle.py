@@ -26,6 +26,19 @@ ORACLE = {
                text_sha256
         FROM rows WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op11_top_products": """
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        ),
+        pairs AS (
+            SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_dot_product(q.v, r.v)::BIGINT AS score
+            FROM vectors q JOIN vectors r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM pairs QUALIFY rank <= 5
+    """,
     "op12_prefix_trie": f"""
         WITH own AS (
             SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, html_blocks, language, mixing, neighbours, prefix_trie, private_data, records, simhash, spelling, warc
+from recordloom.llm import bpe, exact_dedup, html_blocks, language, mixing, neighbours, prefix_trie, private_data, records, simhash, spelling, top_products, warc
 from recordloom.llm.common import read, work_folder
 from recordloom.llm.oracle import ORACLE
 
@@ -109,6 +109,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(texts, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products.top_products(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
 
@@ -128,6 +132,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_main_text": op9_main_text,
     "op10_language": op10_language,
+    "op11_top_products": op11_top_products,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling": op13_spelling,
 }
