@@ -7,33 +7,21 @@ query terms found, repeats counted.  A memory without any match is no result.
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
-from recordloom.functions.frames import keep_where
-from recordloom.functions.hot import SALT, spread_over
-from recordloom.functions.ranking import best_rows
 from recordloom.functions.sizing import stable
 from recordloom.operators.memories import ID
+from recordloom.operators.postings import TermIndex, build_index, search_index
 from recordloom.operators.threads import json_map
 
 # Word characters plus marks: lower-casing a letter may leave a mark behind it.
 _RUN = r"[\p{L}\p{M}\p{N}_]+"
-GRAM = 3
-# Up to this many distinct terms are compared with every record in one scan.
-LITERAL_TERMS = 64
-# Queries whose terms a task holds.
-QUERY_BLOCK = 4096
 
 
 def haystack() -> Column:
@@ -78,206 +66,29 @@ def term_search(memories: DataFrame, query: str, limit: int = K.DEFAULT_MEMORY_L
     )
 
 
-def term_search_batch(
-    memories: DataFrame,
-    queries: DataFrame,
-    limit: int = K.DEFAULT_MEMORY_LIMIT,
-    literal_terms: int = LITERAL_TERMS,
-    block: int = QUERY_BLOCK,
-) -> DataFrame:
-    """Best memories for many queries (query_id, query).
+def memory_index(memories: DataFrame) -> TermIndex:
+    """The inverted index of memories as they are searched; ``write`` keeps it for later batches."""
+    return build_index(memories, haystack(), _RUN)
 
-    A handful of distinct terms is compared with each record in a single scan.
-    Beyond that, a term lies inside one run of word characters, so terms are
-    matched once with the distinct runs of the corpus, found through a shared
-    three-letter piece, and memories meet terms by equality on the run.
 
-    A memory is then one row with the list of its terms.  Queries are cut into
-    blocks of ``block``; a task holds the terms of one block, counts its slice of
-    memories in file order and keeps the ``limit`` best of each query, so no
-    more than tasks x queries x ``limit`` rows leave the counting.
-    """
-    limit = max(1, limit)
-    asked = queries.select("query_id", F.explode(X.words(F.col("query"))).alias("term"))
-    weights = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    sizes = weights.groupBy("query_id").agg(F.sum("weight").alias("n_terms"))
-    # Numbered once, so that memories are matched by number from here on.
-    terms = stable(
-        weights.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id())
-    )
-    few = terms.take(literal_terms + 1)
-    if len(few) <= literal_terms:
-        hits = _scan_hits(memories, sorted(tuple(row) for row in few))
-    else:
-        hits = _run_hits(memories, terms)
-    weighted = weights.join(terms, "term").select("query_id", "term_id", "weight")
-    best = best_by_block(hits, weighted, limit, block).join(sizes, "query_id")
-    scored = best.select("query_id", ID, (F.col("matches") / F.col("n_terms")).alias("score"))
-    order = [F.col("score").desc(), X.file_order(F.col(ID))]
-    return best_rows(scored, "query_id", order, spread=ID, bound=limit).select(
-        "query_id", F.col("row").alias("rank"), ID, "score"
-    )
+def term_search_batch(memories: DataFrame, queries: DataFrame, limit: int = K.DEFAULT_MEMORY_LIMIT) -> DataFrame:
+    """Best memories for many queries (query_id, query)."""
+    return indexed_search(memory_index(memories), queries, limit)
 
 
-def best_by_block(hits: DataFrame, weighted: DataFrame, limit: int, block: int) -> DataFrame:
-    """(query_id, memory, matches): the best of each query in each task.
+def indexed_search(index: TermIndex, queries: DataFrame, limit: int = K.DEFAULT_MEMORY_LIMIT) -> DataFrame:
+    """Best memories for many queries (query_id, query) from an index.
 
-    ``hits`` has a memory and the array ``ids`` of its terms, ``weighted`` the
-    terms of the queries.
+    A term lies inside one run of word characters, so terms are matched once with the distinct
+    runs of the corpus, and only the postings of these are opened.
     """
-    spark = hits.sparkSession
-    names = weighted.select("query_id").distinct()
-    blocks = max(1, math.ceil(names.count() / block))
-    numbered = weighted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    slices = max(1, tasks // blocks)
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    nothing = F.lit(None)
-    questions = numbered.withColumn("slice", every(slices)).select(
-        "block",
-        "slice",
-        F.lit("").alias("place"),
-        F.col("query_id").cast("string").alias("name"),
-        F.array("term_id").alias("ids"),
-        F.col("weight").cast("long").alias("weight"),
-    )
-    records = hits.withColumn("slice", F.pmod(F.xxhash64(ID), F.lit(slices)).cast("int")).withColumn("block", every(blocks)).select(
-        "block", "slice", X.file_order(F.col(ID)).alias("place"), F.col(ID).alias("name"), "ids", nothing.cast("long").alias("weight")
-    )
-    met = questions.unionByName(records).repartition("block", "slice")
-    # the terms of a block come before its memories, and these in file order
-    met = met.sortWithinPartitions("block", "slice", F.col("weight").isNull(), "place")
-    found = met.mapInArrow(_counting(limit), f"query_id string, {ID} string, matches long")
-    kind = dict(weighted.dtypes)["query_id"]
-    return found.withColumn("query_id", F.col("query_id").cast(kind))
-
-
-def _counting(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts by sorted rows of blocks: a block's terms, then its memories."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, None
-        for batch in batches:
-            columns = batch.to_pydict()
-            for row in range(batch.num_rows):
-                key = (columns["block"][row], columns["slice"][row])
-                if key != group:
-                    if held:
-                        yield from held.results()
-                    group, held = key, _Block(limit)
-                ids, weight = columns["ids"][row], columns["weight"][row]
-                if weight is not None:
-                    held.ask(columns["name"][row], ids[0], weight)
-                else:
-                    held.record(columns["name"][row], ids)
-        if held:
-            yield from held.results()
-
-    return count
-
-
-class _Block:
-    """Queries of a block and the best memories so far; ties keep the earlier one."""
-
-    def __init__(self, limit: int) -> None:
-        self.limit = limit
-        self.numbers: dict[str, int] = {}
-        self.asked: dict[int, list[tuple[int, int]]] = {}
-        self.lists: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
-        self.best: list[list[tuple[int, int, str]]] = []
-        self.least = np.zeros(0, dtype=np.int64)
-        self.seen = 0
-
-    def ask(self, query: str, term: int, weight: int) -> None:
-        number = self.numbers.setdefault(query, len(self.numbers))
-        self.asked.setdefault(term, []).append((number, weight))
-
-    def record(self, name: str, terms: list[int]) -> None:
-        if self.lists is None:
-            self.lists = {t: tuple(np.array(c) for c in zip(*pairs, strict=True)) for t, pairs in self.asked.items()}
-            self.best = [[] for _ in self.numbers]
-            self.least = np.zeros(len(self.numbers), dtype=np.int64)
-        found = [self.lists[t] for t in terms if t in self.lists]
-        if not found:
-            return
-        queries, weights = (np.concatenate(c) for c in zip(*found, strict=True))
-        matches = np.bincount(queries, weights, len(self.numbers)).astype(np.int64)
-        self.seen += 1
-        for query in np.flatnonzero(matches > self.least).tolist():
-            best = self.best[query]
-            entry = (int(matches[query]), -self.seen, name)
-            if len(best) < self.limit:
-                heapq.heappush(best, entry)
-            else:
-                heapq.heapreplace(best, entry)
-            if len(best) == self.limit:
-                self.least[query] = best[0][0]
-
-    def results(self) -> Iterator[pa.RecordBatch]:
-        names = list(self.numbers)
-        rows = [(names[q], name, matches) for q, best in enumerate(self.best) for matches, _, name in best]
-        if rows:
-            query, memory, matches = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query, pa.string()), pa.array(memory, pa.string()), pa.array(matches, pa.int64())],
-                ["query_id", ID, "matches"],
-            )
-
-
-def _scan_hits(memories: DataFrame, terms: list[tuple[str, int]]) -> DataFrame:
-    """Memories with the ``ids`` of their terms from one scan with the terms as literals."""
-    hay = F.col("_hay")
-    found = [F.when(F.contains(hay, F.lit(t)), F.lit(i).cast("long")) for t, i in terms]
-    listed = F.array_compact(F.array(*found)) if found else F.array().cast("array<bigint>")
-    rows = memories.select(ID, haystack().alias("_hay")).select(ID, listed.alias("ids"))
-    return keep_where(rows, F.size("ids") > 0)
-
-
-def _run_hits(memories: DataFrame, terms: DataFrame) -> DataFrame:
-    """Memories with the ``ids`` of their terms through the distinct runs of the corpus."""
-    listed = F.array_distinct(
-        F.regexp_extract_all(haystack(), F.lit(f"({_RUN})"), F.lit(1))
-    )
-    # Read three times below: distinct runs, hot runs and the join.
-    runs = stable(memories.select(ID, F.explode(listed).alias("run")))
-    # A run holds no more terms than it has parts, a memory no more runs than
-    # it has words, so both lists are bounded by a single record.
-    matched = (
-        runs_with_terms(runs.select("run").distinct(), terms)
-        .groupBy("run")
-        .agg(F.collect_list("term_id").alias("ids"))
-    )
-    # Field names and stop words are runs of nearly every memory.
-    spread = spread_over(runs, "run")
-    return (
-        spread.salted(runs, ID)
-        .join(spread.copied(matched), ["run", SALT])
-        .groupBy(ID)
-        .agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    )
-
-
-def runs_with_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """(run, term_id) for every distinct run that contains the term."""
-    sized = terms.withColumn("size", F.least(F.length("term"), F.lit(GRAM)))
-    keyed = sized.select("term", "term_id", F.substring("term", F.lit(1), F.col("size")).alias("gram"))
-
-    def grams(size: int) -> Column:
-        last = F.length("run") - size + 1
-        return F.when(
-            last >= 1,
-            F.transform(
-                F.sequence(F.lit(1), last), lambda i: F.substring("run", i, F.lit(size))
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-
-    pieces = F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))
-    return (
-        vocabulary.select("run", F.explode(pieces).alias("gram"))
-        .join(keyed, "gram")
-        .filter(F.contains("run", F.col("term")))
-        .select("run", "term_id")
+    limit = max(1, limit)
+    asked = queries.select("query_id", F.explode(X.words(F.col("query"))).alias("term"))
+    counted = stable(asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight")))
+    names = counted.groupBy("query_id").agg(F.sum("weight").alias("n_terms"))
+    names = stable(names.withColumn("query", F.monotonically_increasing_id()))
+    weights = counted.join(names, "query_id").select("query", "term", "weight")
+    best = search_index(index, weights, limit)
+    return best.join(index.records, "doc").join(names, "query").select(
+        "query_id", F.col("row").alias("rank"), ID, (F.col("matches") / F.col("n_terms")).alias("score")
     )

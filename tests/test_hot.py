@@ -8,7 +8,6 @@ from recordloom.functions import hot
 from recordloom.operators import information as I
 from recordloom.operators import lifecycle as L
 from recordloom.operators import memories as M
-from recordloom.operators import search as S
 from recordloom.plans import decisions as D
 
 ACTION = "thread_id string, pos int, action_id string, description string, status string, metadata string"
@@ -48,19 +47,6 @@ def test_operators_agree_when_every_key_is_split(spark, sf, rowset, monkeypatch)
     assert run() == whole
 
 
-def test_batch_search_sends_no_more_than_the_best_of_each_task(spark, sf):
-    memories = B.memories(spark, sf)
-    queries = memories.limit(40).select(F.col("information_id").alias("query_id"), F.col("content").alias("query"))
-    hits = memories.select("information_id", F.array(F.lit(1).cast("long")).alias("ids"))
-    weighted = queries.select("query_id", F.lit(1).cast("long").alias("term_id"), F.lit(1).cast("long").alias("weight"))
-    best = S.best_by_block(hits, weighted, 3, 4096)
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    assert best.count() <= tasks * 40 * 3 < 40 * memories.count()
-    one = S.term_search_batch(memories, queries, 3, literal_terms=0)
-    other = S.term_search_batch(memories, queries, 3, literal_terms=0, block=7)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
-
-
 @pytest.mark.parametrize(
     ("actions", "error"),
     [

@@ -124,12 +124,6 @@ def test_requests_without_broadcast(spark, rowset):
     assert got[2] == ["t1"] and got[3] == ["t7"] and got[4] == ["t1"]
 
 
-def test_search_paths_agree(spark, sf, rowset):
-    memories = B.memories(spark, sf)
-    asked = B.read(spark, sf, "part").select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query")).distinct()
-    assert rowset(S.term_search_batch(memories, asked, 5)) == rowset(S.term_search_batch(memories, asked, 5, literal_terms=0))
-
-
 def test_search_quirks(spark):
     memory = lambda i, text: (i, 1, text, {}, "{}", "{}", "{}", "[]")
     memories = spark.createDataFrame(
