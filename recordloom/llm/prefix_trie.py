@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -151,43 +151,44 @@ def prefixes(sequences: DataFrame, ends: DataFrame, rows: DataFrame) -> tuple[Da
 
 def _listing(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by node and conversation to texts of joined ids."""
-    node, ids = None, []
-
-    def text() -> pa.RecordBatch:
-        values = [*node, ids[0], ",".join(map(str, ids))]
-        return pa.RecordBatch.from_pylist([dict(zip((*NODE, "first", "ids"), values, strict=True))], schema=listed)
-
-    listed = pa.schema([*((c, pa.int64()) for c in (*NODE, "first")), ("ids", pa.string())])
+    node, ids, rows = None, [], []
     for part in parts:
         for *key, conv in zip(*(c.to_pylist() for c in part.columns), strict=True):
             if ids and (key != node or len(ids) == LISTED):
-                yield text()
+                rows.append((*node, ids[0], ",".join(map(str, ids))))
                 ids = []
             node = key
             ids.append(conv)
+        if rows:
+            yield _batch(rows, "first", "ids")
+            rows = []
     if ids:
-        yield text()
+        yield _batch([(*node, ids[0], ",".join(map(str, ids)))], "first", "ids")
 
 
 def _digesting(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts sorted by node and first id to one digest for each node."""
-    found = pa.schema([*((c, pa.int64()) for c in NODE), ("ends_sha256", pa.string())])
-    node, sha = None, None
+    node, sha, rows = None, None, []
     for part in parts:
-        rows = []
         for *key, _, ids in zip(*(c.to_pylist() for c in part.columns), strict=True):
             if key != node:
                 if sha is not None:
-                    rows.append([*node, sha.hexdigest()])
+                    rows.append((*node, sha.hexdigest()))
                 node, sha = key, hashlib.sha256()
             else:
                 sha.update(b",")
             sha.update(ids.encode())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, found, strict=True)], schema=found
-        )
+        if rows:
+            yield _batch(rows, "ends_sha256")
+            rows = []
     if sha is not None:
-        yield pa.RecordBatch.from_pylist([dict(zip((*NODE, "ends_sha256"), [*node, sha.hexdigest()], strict=True))], schema=found)
+        yield _batch([(*node, sha.hexdigest())], "ends_sha256")
+
+
+def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    """Rows of a node's three numbers and more; the last column is a text."""
+    columns = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:-1]]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([r[-1] for r in rows], pa.string())], [*NODE, *names])
 
 
 def end_digests(ends: DataFrame) -> DataFrame:
