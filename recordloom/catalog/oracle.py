@@ -716,6 +716,7 @@ BODY = {
 
 # The stream applies the same log in micro-batches.
 BODY["stream_command_outcomes"] = BODY["command_outcomes"]
+BODY["stream_shuffled_commands"] = BODY["command_outcomes"]
 
 
 def _needs(text: str) -> set[str]:

@@ -28,7 +28,7 @@ from recordloom.plans import routing as P
 from recordloom.sources import corpora, sinks
 from recordloom.sources import requests as RQ
 from recordloom.streaming.dedupe import dedupe_stream
-from recordloom.streaming.fold import CommandFold
+from recordloom.streaming.fold import CommandFold, closing_command
 from recordloom.streaming.ingest import ingest_stream
 
 NOW = "2025-01-01T00:00:00Z"
@@ -967,10 +967,23 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_command_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    fold = CommandFold(spark, _scratch(spark))
+    commands = B.commands_of(_event_stream(spark, sf))
+    fold.start(commands, B.threads(spark, sf), B.thread_actions(spark, sf)).awaitTermination()
+    return fold.outcomes().select("seq", "thread_id", "kind", "before_status", "outcome", "revision")
+
+
+@query
+def stream_shuffled_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """The log delivered in any order, in two pieces: outcomes are those of the sorted log."""
     root = _scratch(spark)
-    fold = CommandFold(spark, f"{root}/state")
-    fold.start_from(B.threads(spark, sf), B.thread_actions(spark, sf))
-    fold.start(B.commands_of(_event_stream(spark, sf)), f"{root}/checkpoint").awaitTermination()
+    commands = B.commands_of(B.read(spark, sf, "events"))
+    size, last = commands.agg(F.count(F.lit(1)), F.max("seq")).first()
+    commands.repartition(2, F.xxhash64("seq")).write.parquet(f"{root}/in")
+    closing_command(spark, last or 0, size).write.mode("append").parquet(f"{root}/in")
+    arriving = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    fold = CommandFold(spark, root)
+    fold.start(arriving, B.threads(spark, sf), B.thread_actions(spark, sf), delay=size).awaitTermination()
     return fold.outcomes().select("seq", "thread_id", "kind", "before_status", "outcome", "revision")
 
 
@@ -1001,7 +1014,6 @@ def stream_idempotency(spark: SparkSession, sf: str) -> DataFrame:
     root = _scratch(spark)
     plans = _event_stream(spark, sf).select(
         F.col("event_id").alias("seq"),
-        "ts",
         F.concat(F.lit("op-"), F.col("event_id") % 700).alias("operation_id"),
         X.sha256(F.col("event_type")).alias("execution_plan_hash"),
     )
@@ -1009,9 +1021,7 @@ def stream_idempotency(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("op-"), F.col("c_custkey") * 7).alias("operation_id"),
         X.sha256(F.lit("click")).alias("execution_plan_hash"),
     )
-    dedupe_stream(
-        spark, plans, ledger, f"{root}/judged", f"{root}/checkpoint", "60 days"
-    ).awaitTermination()
+    dedupe_stream(spark, plans, ledger, f"{root}/judged", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/judged").select(
         "operation_id", "execution_plan_hash", "idempotency"
     )

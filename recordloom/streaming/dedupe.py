@@ -1,25 +1,67 @@
-"""Operation plans as a stream: repeats dropped, conflicts reported."""
+"""Operation plans as a stream: repeats dropped, conflicts reported.
+
+The state of an operation is the hash it was first planned with, which stays for good, and the
+hashes that were reported of late, which expire.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from recordloom.plans.decisions import idempotency
-from recordloom.streaming.fold import bucket_of, touched_buckets
+from recordloom.streaming.fold import with_store
+
+JUDGED = "seq long, operation_id string, execution_plan_hash string, idempotency string"
+
 
+def mark() -> Column:
+    """A text for each hash and one for none."""
+    return F.coalesce(F.concat(F.lit("="), "execution_plan_hash"), F.lit(""))
 
-def distinct_operations(plans: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop exact repeats (same id, same hash) that arrive within the watermark.
 
-    The same id with another hash is a conflict and has to stay.
+class OperationProcessor(StatefulProcessor):
+    """Judges the plans of one operation.
+
+    ``known`` is the :func:`mark` of its first plan's hash or of the ledger's, null if the ledger has several, and
+    never expires, so a conflict is found however late it comes.  ``reported`` has an entry for each hash
+    that was reported, which expires ``ttl`` milliseconds later; until then its repeats are dropped.
     """
-    # event time needs a time zone; plain timestamps are in the session's
-    timed = plans.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(
-        ["operation_id", "execution_plan_hash"]
-    )
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "mark string")
+        self.reported = handle.getMapState("reported", "mark string", "seq long", self.ttl)
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:  # noqa: N803
+        self.known.update((initialState["mark"],))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N803
+        new = not self.known.exists()
+        known = None if new else self.known.get()[0]
+        seen: dict[str, bool] = {}
+        for row in sorted(rows, key=lambda r: r["seq"]):
+            planned = row["mark"]
+            if planned not in seen:
+                seen[planned] = self.reported.containsKey((planned,))
+            if seen[planned]:
+                continue
+            if new:
+                found, known, new = "NEW", planned, False
+                self.known.update((planned,))
+            else:
+                found = "ALREADY_EXECUTED" if planned == known else "CONFLICT"
+            seen[planned] = True
+            self.reported.updateValue((planned,), (row["seq"],))
+            yield Row(seq=row["seq"], operation_id=key[0], execution_plan_hash=row["execution_plan_hash"], idempotency=found)
+
+    def close(self) -> None:
+        pass
 
 
 def judge_batch(plans: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -53,35 +95,31 @@ def dedupe_stream(
     ledger: DataFrame,
     root: str,
     checkpoint: str,
-    delay: str = "1 hour",
+    ttl_hours: float = 24,
 ) -> StreamingQuery:
-    """Judge a stream of plans (seq, ts, operation_id, execution_plan_hash).
+    """Judge a stream of plans (seq, operation_id, execution_plan_hash); results go to files below ``root``.
 
-    ``ledger`` are the operations known at the start; NEW plans of earlier
-    micro-batches join it from ``root``, of which a batch reads the buckets of its
-    operations alone.
+    ``ledger`` are the operations known at the start.  Of an operation unknown so far the first plan is NEW.  Any other repeats
+    the known hash or conflicts with it.  Exact repeats of a reported plan are dropped for ``ttl_hours``.
     """
-    columns = ("operation_id", "execution_plan_hash")
-    schema = "seq long, operation_id string, execution_plan_hash string, idempotency string"
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        seen = spark.read.schema(schema + ", epoch int, bucket int").option("basePath", root)
-        known = ledger.select(*columns)
-        if epoch > 0:
-            past = seen.parquet(root).filter(
-                (F.col("epoch") < epoch)
-                & F.col("bucket").isin(touched_buckets(batch, "operation_id"))
-                & (F.col("idempotency") == "NEW")
-            )
-            known = known.unionByName(past.select(*columns))
-        judged = judge_batch(batch.select("seq", *columns), known)
-        kept = judged.select("seq", *columns, "idempotency", bucket_of("operation_id").alias("bucket"))
-        kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/epoch={epoch}")
-
-    return (
-        distinct_operations(plans, delay)
-        .writeStream.foreachBatch(step)
+    marked = ledger.groupBy("operation_id").agg(F.min(mark()).alias("mark"), F.max(mark()).alias("other"))
+    known = marked.select("operation_id", F.when(F.col("mark") == F.col("other"), F.col("mark")).alias("mark"))
+    judged = (
+        plans.select("seq", "operation_id", "execution_plan_hash", mark().alias("mark"))
+        .groupBy("operation_id")
+        .transformWithState(
+            statefulProcessor=OperationProcessor(max(1, int(ttl_hours * 3_600_000))),
+            outputStructType=JUDGED,
+            outputMode="Append",
+            timeMode="ProcessingTime",
+            initialState=known.groupBy("operation_id"),
+        )
+    )
+    writer = (
+        judged.writeStream.format("parquet")
+        .option("path", root)
         .option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    return with_store(spark, writer.start, idle=False)

@@ -1,127 +1,275 @@
-"""The command log as a stream.
-
-State lives in tables: a base snapshot and one delta of changed rows per
-micro-batch.  A micro-batch reads the touched threads, applies its commands
-with the batch operator (so a hot thread is split the same way) and writes the
-delta, the outcomes and the history of its epoch.  All outputs are named after
-the epoch and state is read from earlier epochs only, so a replayed batch
-produces the same files again.  State is laid out by a hash of the thread, and a
-micro-batch reads the buckets of its threads alone; ``compact`` folds the epochs.
+"""The command log as a stream, with the state of each thread in Spark's state store.
+
+A keyed processor holds what commands can change: the status, revision and times of a thread
+(value state), the actions added to it (map state) and commands that came too early (list state).
+What a thread was before the stream is either loaded into the store once, or looked up by a join
+with the tables in each micro-batch and used where the store doesn't know the thread yet.
+The store does versions, recovery and compaction; a query that starts again goes on from
+its checkpoint, and the file sink writes each outcome once.
+
+By default the source delivers the log in order, and the commands of a micro-batch are applied in
+order of ``seq``.  With ``delay`` commands may come up to that many numbers late: ``seq`` is the
+event time, commands wait until the watermark has passed them and are then applied in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from recordloom.operators.lifecycle import (
-    actions_after,
-    replay_commands,
-    status_events,
-    threads_after,
+from recordloom import constants as K
+from recordloom.functions.ordered import Chunked
+from recordloom.functions.sizing import stable
+from recordloom.operators.lifecycle import status_events, thread_errors
+
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+IDLE_CONF = "spark.sql.streaming.noDataMicroBatches.enabled"
+COMMAND = "thread_id string, seq long, at string, kind string, status string, action_id string, description string"
+#: What the tables say of a command's thread, and whether they hold its action.
+STORED = (
+    "stored_status string, stored_revision string, stored_valid boolean, stored_started string, stored_updated string, "
+    "stored_completed string, stored_action boolean"
 )
+OUTCOME = COMMAND + ", before_status string, outcome string, revision int"
+#: A command that came after later ones of its thread were applied.
+LATE = "LATE_COMMAND"
+THREAD = "status string, revision int, valid boolean, started_at string, updated_at string, completed_at string, last_seq long"
+
+
+def with_store(spark: SparkSession, start: Callable[[], StreamingQuery], idle: bool = True) -> StreamingQuery:
+    """Start a query on the state store that processors need; the session's own settings come back.
+
+    Without ``idle`` the query runs no batch without data.  One that counts in processing time would
+    otherwise run such batches for ever, as time goes on.
+    """
+    wanted = {STORE_CONF: STORE, IDLE_CONF: str(idle).lower()}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        return start()
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def status_outcome(current: str, target: str | None) -> str:
+    if target not in K.THREAD_STATUSES:
+        return "INVALID_STATUS"
+    if current == target:
+        return "SAME_STATUS"
+    return "OK" if target in K.THREAD_TRANSITIONS[current] else "INVALID_TRANSITION"
+
+
+def action_outcome(command: Row, closed: bool, there: bool) -> str:
+    if command["kind"] not in ("ADD_ACTION", "SET_ACTION_STATUS"):
+        return "UNKNOWN_COMMAND"
+    if command["status"] not in K.ACTION_STATUSES:
+        return "INVALID_STATUS"
+    if closed:
+        return "CLOSED_THREAD"
+    if command["kind"] == "SET_ACTION_STATUS":
+        return "OK" if there else "ACTION_NOT_FOUND"
+    if there:
+        return "DUPLICATE_ACTION"
+    sound = command["action_id"] and (command["description"] or "").strip()
+    return "OK" if sound else "INVALID_ACTION"
+
+
+NAMES = tuple(field.strip().split(" ")[0] for field in f"{COMMAND}, {STORED}".split(","))
+GIVEN = NAMES[:7]
+
+
+class ThreadProcessor(StatefulProcessor):
+    """Applies the commands of one thread; see the module."""
+
+    def __init__(self, delay: int | None) -> None:
+        self.delay = delay
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.thread = handle.getValueState("thread", THREAD)
+        self.stored = handle.getValueState("stored_actions", "action_ids array<string>")
+        self.added = handle.getMapState("added_actions", "action_id string", "status string")
+        self.held = handle.getListState("held", f"{COMMAND}, {STORED}")
 
-BUCKETS = 64
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:  # noqa: N803
+        row = initialState
+        self.thread.update((row["status"], row["revision"], row["valid"], row["started_at"], row["updated_at"], row["completed_at"], None))
+        if row["action_ids"]:
+            self.stored.update((row["action_ids"],))
 
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N803
+        if self.delay is None:
+            yield from self._apply(sorted(rows, key=lambda r: r["seq"]))
+            return
+        state = self.thread.get()
+        last = state[6] if state else None
+        waiting = []
+        for row in rows:
+            if last is not None and row["seq"] < last:
+                yield self._outcome(row, None, LATE, state[1])
+            else:
+                waiting.append(tuple(row[c] for c in NAMES))
+        if waiting:
+            self.held.appendList(waiting)
+            self.handle.registerTimer(min(w[1] for w in waiting) + self.delay + 1)
 
-def bucket_of(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N803
+        """Apply what the watermark has passed; the rest waits for a timer of its first command."""
+        passed = timerValues.getCurrentWatermarkInMs() - self.delay - 1
+        held = [Row(**dict(zip(NAMES, h, strict=True))) for h in self.held.get()] if self.held.exists() else []
+        held.sort(key=lambda r: r["seq"])
+        ready = [r for r in held if r["seq"] <= passed]
+        later = [r for r in held if r["seq"] > passed]
+        if not ready:
+            return
+        yield from self._apply(ready)
+        if later:
+            self.held.put([tuple(r) for r in later])
+            self.handle.registerTimer(later[0]["seq"] + self.delay + 1)
+        else:
+            self.held.clear()
 
+    def _outcome(self, command: Row, before: str | None, outcome: str, revision: int | None) -> Row:
+        given = {name: command[name] for name in GIVEN}
+        return Row(**given, before_status=before, outcome=outcome, revision=revision)
 
-def touched_buckets(rows: DataFrame, column: str) -> list[int]:
-    """The buckets that hold the rows' keys: at most ``BUCKETS`` numbers."""
-    return [r[0] for r in rows.select(bucket_of(column).alias("bucket")).distinct().collect()]
+    def _apply(self, commands: list[Row]) -> Iterator[Row]:
+        if not commands:
+            return
+        state = self.thread.get()
+        if state is None and commands[0]["stored_valid"] is not None:
+            status, revision, *others = (commands[0][c] for c in NAMES[7:-1])
+            state = (status, revision and int(revision), *others, None)
+        if state is None:
+            # without a thread there is nothing that order could change
+            yield from (self._outcome(c, None, "THREAD_NOT_FOUND", None) for c in commands)
+            return
+        status, revision, valid, started, updated, completed, _ = state
+        there: dict[str, bool] | None = None
+        for command in commands:
+            if not valid:
+                yield self._outcome(command, None, "INVALID_THREAD", revision)
+                continue
+            before = None
+            if command["kind"] == "SET_STATUS":
+                before, outcome = status, status_outcome(status, command["status"])
+            else:
+                action = command["action_id"] or ""
+                if there is None:
+                    known = self.stored.get()
+                    there = dict.fromkeys(known[0], True) if known else {}
+                if action not in there:
+                    there[action] = bool(command["stored_action"]) or self.added.containsKey((action,))
+                outcome = action_outcome(command, status in K.CLOSED_STATUSES, there[action])
+            if outcome == "OK":
+                revision, updated = revision + 1, command["at"] or updated
+                if command["kind"] == "SET_STATUS":
+                    status = command["status"]
+                    started = started or (command["at"] if status == "IMPLEMENTATION" else None)
+                    completed = command["at"] if status == "COMPLETED" else completed
+                elif not there[action]:
+                    there[action] = True
+                    self.added.updateValue((action,), (command["status"],))
+            yield self._outcome(command, before, outcome, revision)
+        self.thread.update((status, revision, valid, started, updated, completed, commands[-1]["seq"]))
+
+    def close(self) -> None:
+        pass
+
+
+def closing_command(spark: SparkSession, last_seq: int, delay: int) -> DataFrame:
+    """A command of no thread that lets the watermark pass ``last_seq``, so that nothing waits any longer."""
+    names = [f.strip().split(" ")[0] for f in COMMAND.split(",")]
+    row = {"thread_id": "", "seq": last_seq + delay + 1}
+    return spark.createDataFrame([tuple(row.get(n) for n in names)], COMMAND)
 
 
 @dataclass(frozen=True)
 class CommandFold:
-    """Thread state below a shared folder."""
+    """Outcomes and checkpoint of a command stream below a shared folder."""
 
     spark: SparkSession
     root: str
 
-    def start_from(self, threads: DataFrame, actions: DataFrame) -> None:
-        """Write the base snapshot."""
-        self._keep(threads, "threads", -1)
-        self._keep(actions, "actions", -1)
-
-    def _write(self, df: DataFrame, name: str, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/epoch={epoch}")
-
-    def _keep(self, df: DataFrame, name: str, epoch: int) -> None:
-        """Write state, one folder to a bucket."""
-        rows = df.withColumn("bucket", bucket_of("thread_id")).repartition("bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/epoch={epoch}")
+    def start(
+        self,
+        commands: DataFrame,
+        threads: DataFrame,
+        actions: DataFrame,
+        delay: int | None = None,
+        report: int = 1_000_000,
+        loaded: bool = False,
+    ) -> StreamingQuery:
+        """Run over a command stream until its current end.
 
-    def _read(self, name: str, before: int) -> DataFrame:
-        rows = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(
-            f"{self.root}/{name}"
-        )
-        return rows.filter(F.col("epoch") < before)
-
-    def _state(self, name: str, before: int, only: DataFrame | None) -> DataFrame:
-        rows = self._read(name, before)
-        if only is not None:
-            rows = rows.filter(F.col("bucket").isin(touched_buckets(only, "thread_id")))
-            rows = rows.join(only, "thread_id", "left_semi")
-        return rows.drop("bucket")
-
-    def threads(self, before: int = 2**31 - 1, only: DataFrame | None = None) -> DataFrame:
-        """Latest row of every thread (or of those in ``only``)."""
-        rows = self._state("threads", before, only)
-        columns = [c for c in rows.columns if c not in ("thread_id", "epoch")]
-        latest = rows.groupBy("thread_id").agg(F.max_by(F.struct(*columns), "epoch").alias("r"))
-        return latest.select("thread_id", "r.*")
-
-    def actions(self, before: int = 2**31 - 1, only: DataFrame | None = None) -> DataFrame:
-        """Actions of every thread as of its latest epoch.
-
-        A delta holds all actions of a changed thread, so the rows of an
-        earlier epoch are out of date as a whole.
+        Threads begin as ``threads`` and ``actions`` have them.  What commands need of them is kept once and joined to each micro-batch, which suits a few large
+        ones; ``loaded`` puts all threads into the store in the first, and later ones read no table.  With ``delay``, a command is held until one that is
+        ``delay`` numbers later was seen.  One that comes after later commands of its thread were applied gets the
+        outcome ``LATE_COMMAND`` and changes nothing; beyond ``report`` more numbers Spark drops it and counts it
+        in the query's progress (``numRowsDroppedByWatermark``).
         """
-        rows = self._state("actions", before, only)
-        newest = rows.groupBy("thread_id").agg(F.max("epoch").alias("epoch"))
-        return rows.join(newest, ["thread_id", "epoch"]).drop("epoch")
-
-    def step(self, commands: DataFrame, epoch: int) -> None:
-        commands = commands.persist()
-        touched = commands.select("thread_id").distinct()
-        threads = self.threads(epoch, touched).persist()
-        actions = self.actions(epoch, touched).persist()
-        replayed = replay_commands(threads, actions, commands)
-        # The outcomes are written first; the rest follows from the written rows.
-        self._write(replayed.rows, "outcomes", epoch)
-        written = replayed.with_rows(
-            self.spark.read.parquet(f"{self.root}/outcomes/epoch={epoch}")
+        valid = F.col("error").isNull()
+        known = thread_errors(threads, actions).select(
+            "thread_id", "status", "revision", valid.alias("valid"), "started_at", "updated_at", "completed_at"
         )
-        self._keep(threads_after(threads, written), "threads", epoch)
-        self._keep(actions_after(actions, written), "actions", epoch)
-        self._write(status_events(written), "history", epoch)
-        for df in (actions, threads, commands):
-            df.unpersist()
+        given = commands.select(*GIVEN)
+        if loaded:
+            none = F.array().cast("array<string>")
+            ids = actions.groupBy("thread_id").agg(F.collect_set("action_id").alias("ids"))
+            begin = known.join(ids, "thread_id", "left").withColumn("action_ids", F.coalesce("ids", none)).drop("ids")
+            fields = [field.strip().split(" ") for field in STORED.split(",")]
+            given = given.withColumns({name: F.lit(None).cast(kind) for name, kind in fields})
+        else:
+            begin = None
+            there = actions.select("thread_id", "action_id").distinct().withColumn("stored_action", F.lit(True))
+            # a null number would come to Python as a fraction
+            texts = known.withColumn("revision", F.col("revision").cast("string")).toDF("thread_id", *NAMES[7:-1])
+            # checked once, not in each micro-batch
+            texts, there = stable(texts), stable(there)
+            given = given.join(texts, "thread_id", "left").join(there, ["thread_id", "action_id"], "left").select(*NAMES)
+        if delay is not None:
+            # the watermark is delay + report behind the event time, and that is ahead of seq by as much and one
+            ahead = F.timestamp_millis(F.col("seq") + F.lit(delay + report + 1))
+            given = given.withColumn("event_time", ahead).withWatermark("event_time", f"{delay + report} milliseconds")
+        outcomes = given.groupBy("thread_id").transformWithState(
+            statefulProcessor=ThreadProcessor(delay),
+            outputStructType=OUTCOME,
+            outputMode="Append",
+            timeMode="None" if delay is None else "EventTime",
+            initialState=begin.groupBy("thread_id") if begin is not None else None,
+        )
+        writer = (
+            outcomes.writeStream.format("parquet")
+            .option("path", f"{self.root}/outcomes")
+            .option("checkpointLocation", f"{self.root}/checkpoint")
+            .outputMode("append")
+            .trigger(availableNow=True)
+        )
+        return with_store(self.spark, writer.start)
 
     def outcomes(self) -> DataFrame:
-        return self._read("outcomes", 2**31 - 1).drop("epoch", "chunk")
+        return self.spark.read.parquet(f"{self.root}/outcomes")
 
-    def start(self, commands: DataFrame, checkpoint: str) -> StreamingQuery:
-        """Run over a command stream until its current end.
+    def history(self) -> DataFrame:
+        """One row for each accepted status change."""
+        return status_events(Chunked(self.outcomes().withColumn("chunk", F.lit(0)), "thread_id", "seq", split=False))
 
-        The order inside a micro-batch is ``seq``; across micro-batches it is
-        arrival, so the source must deliver the log in order.
-        """
-        return (
-            commands.writeStream.foreachBatch(self.step)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
+    def states(self) -> DataFrame:
+        """What the store holds of each thread now: status, revision and times."""
+        rows = (
+            self.spark.read.format("statestore")
+            .option("path", f"{self.root}/checkpoint")
+            .option("stateVarName", "thread")
+            .load()
         )
-
-    def compact(self, target: str) -> CommandFold:
-        """The current state as the base of a new fold."""
-        fold = CommandFold(self.spark, target)
-        fold.start_from(self.threads(), self.actions())
-        return fold
+        return rows.select("key.thread_id", "value.*").drop("last_seq")
