@@ -7,6 +7,7 @@ so that the results do not share their method with the Spark side.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from recordloom import constants as K
 
@@ -221,6 +222,14 @@ BASE = {
         SELECT *, CASE WHEN problem IS NOT NULL THEN problem
           WHEN row_number() OVER (PARTITION BY information_id, problem IS NULL ORDER BY seq) = 1 THEN 'RESOLVED'
           ELSE 'NOT_UNVERIFIED' END AS outcome FROM deci""",
+    "sup": """
+        SELECT DISTINCT id, nxt FROM (
+            SELECT 'info-' || doc_id AS id, 'info-' || CASE WHEN doc_id % 7 < 5 THEN doc_id + 1 WHEN doc_id % 70 = 68 THEN doc_id - 2
+                WHEN doc_id % 91 = 6 THEN doc_id + 1000000 END AS nxt FROM documents
+            UNION ALL SELECT 'info-' || doc_id, 'info-' || (doc_id + 3) FROM documents WHERE doc_id % 7 = 2
+            UNION ALL SELECT target_id, source_id FROM irel WHERE type = 'SUPERSEDES'
+        ) WHERE nxt IS NOT NULL""",
+    "reach": "SELECT id, nxt FROM sup UNION SELECT r.id, s.nxt FROM reach r JOIN sup s ON s.id = r.nxt",
     "irel": f"""
         SELECT 'info-' || doc_id AS source_id, 0 AS pos, {_REL14}[doc_id % 14 + 1] AS type, 'info-' || (doc_id + 1) AS target_id
         FROM documents WHERE doc_id % 14 < 12""",
@@ -697,6 +706,14 @@ BODY = {
     "stale": f"""SELECT id, valid_until FROM (SELECT id, k, strptime(created_at, '%Y-%m-%dT%H:%M:%SZ') + to_days(CAST(k % 900 - 100 AS INTEGER)) AS until,
           {_iso("(strptime(created_at, '%Y-%m-%dT%H:%M:%SZ') + to_days(CAST(k % 900 - 100 AS INTEGER)))")} AS valid_until FROM fact WHERE k % 7 <> 0) WHERE until < TIMESTAMP '2025-01-01 00:00:00'""",
     "superseded_view": "SELECT id, epistemic_status, id IN (SELECT target_id FROM irel WHERE type = 'SUPERSEDES') AS superseded FROM fact",
+    "active_successors": """
+        SELECT id, nxt AS successor_id, count(*) OVER (PARTITION BY id) > 1 AS forked,
+               CASE WHEN nxt NOT IN (SELECT id FROM fact) THEN 'MISSING' END AS problem
+        FROM reach WHERE nxt NOT IN (SELECT id FROM sup)
+        UNION ALL
+        SELECT id, NULL, coalesce((SELECT count(*) FROM reach e WHERE e.id = c.id AND e.nxt NOT IN (SELECT id FROM sup)) > 1, false), 'CYCLE'
+        FROM (SELECT DISTINCT r.id FROM reach r WHERE r.nxt IN (SELECT id FROM reach WHERE id = nxt)
+              UNION SELECT id FROM reach WHERE id = nxt) c""",
     "open_contradictions": """SELECT source_id, target_id, s.epistemic_status AS source_status, t.epistemic_status AS target_status FROM irel
           JOIN fact s ON s.id = source_id JOIN fact t ON t.id = target_id WHERE irel.type = 'CONTRADICTS' AND s.epistemic_status <> 'REFUTED' AND t.epistemic_status <> 'REFUTED'""",
     "history_gaps": f"""SELECT event_id, revision, before, after, previous, problem FROM (SELECT *, CASE WHEN (information_id IS NULL) = (thread_id IS NULL) THEN 'ENTITY'
@@ -719,6 +736,7 @@ BODY["stream_command_outcomes"] = BODY["command_outcomes"]
 BODY["stream_shuffled_commands"] = BODY["command_outcomes"]
 
 
+@cache
 def _needs(text: str) -> set[str]:
     return {n for n in BASE if re.search(rf"\b(FROM|JOIN|,)\s+{n}\b", text)}
 

@@ -1045,6 +1045,11 @@ def superseded_view(spark: SparkSession, sf: str) -> DataFrame:
     return H.supersession_view(B.information(spark, sf), B.information_relations(spark, sf))
 
 
+@query
+def active_successors(spark: SparkSession, sf: str) -> DataFrame:
+    return H.successors(B.information(spark, sf), B.supersessions(spark, sf))
+
+
 @query
 def open_contradictions(spark: SparkSession, sf: str) -> DataFrame:
     return H.open_contradictions(B.information(spark, sf), B.information_relations(spark, sf))

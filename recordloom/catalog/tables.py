@@ -520,6 +520,16 @@ def information_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).filter(F.col("type").isNotNull())
 
 
+def supersessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations with chains of up to five steps, forks, rings and sources without a record."""
+    k, d = F.col("doc_id"), read(spark, sf_dir, "documents")
+    later = F.when(k % 7 < 5, k + 1).when(k % 70 == 68, k - 2).when(k % 91 == 6, k + 1_000_000)
+    more = F.when(k % 7 == 2, k + 3)
+    named = d.select(F.explode(F.array_compact(F.array(later, more))).alias("source"), F.concat(F.lit("info-"), k).alias("target_id"))
+    chains = named.select(F.concat(F.lit("info-"), "source").alias("source_id"), F.lit("SUPERSEDES").alias("type"), "target_id")
+    return chains.unionByName(information_relations(spark, sf_dir).select("source_id", "type", "target_id"))
+
+
 def relation_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four proposals per document: new, repeated, reflexive or to unknown targets."""
     d = read(spark, sf_dir, "documents")

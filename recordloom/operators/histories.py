@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from recordloom import constants as K
 from recordloom.functions import text as X
+from recordloom.functions.hot import SALT, spread_over
 from recordloom.functions.ordered import MAX_GROUP_ROWS, Chunked, chunk, running
+from recordloom.functions.sizing import stable
 
 
 def valid_at(information: DataFrame, moment: str) -> DataFrame:
@@ -46,6 +48,46 @@ def supersession_view(information: DataFrame, relations: DataFrame) -> DataFrame
     )
 
 
+def successors(information: DataFrame, relations: DataFrame) -> DataFrame:
+    """Who stands for each superseded record now: (id, successor_id, forked, problem).
+
+    A record is replaced by those that supersede it, these by others, up to records that nobody
+    supersedes: its active successors, one row each.  ``forked`` marks ids with several of them.  An id from which a chain
+    runs into a ring has a row with problem ``CYCLE`` and no successor; a successor without a record
+    has problem ``MISSING``.
+
+    Pointers are doubled: each round replaces the end of a pointer by that end's own pointers, so a
+    chain of any length takes about log2 of it rounds.  A pointer that hasn't come to an end
+    after more steps than there are superseded records has gone round.  Ends that very many pointers share are spread over salts.
+    """
+    links = relations.filter(F.col("type") == "SUPERSEDES").select(F.col("target_id").alias("id"), F.col("source_id").alias("to"))
+    links = stable(links.filter(F.col("id").isNotNull() & F.col("to").isNotNull()).distinct())
+    replaced = stable(links.select(F.col("id").alias("to")).distinct())
+    moving, ended = links, links.limit(0)
+    pointers, steps, bound = links, 1, replaced.count()
+    while True:
+        settled = moving.join(replaced, "to", "left_anti").select("id", "to")
+        moving = stable(moving.join(replaced, "to", "left_semi").select("id", "to"))
+        ended = stable(ended.unionByName(settled).distinct())
+        if steps > bound or moving.isEmpty():
+            break
+        spread = spread_over(moving, "to")
+        onward = pointers.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        moved = spread.salted(moving, "id").join(spread.copied(onward), ["to", SALT]).select("id", F.col("next").alias("to"))
+        moving = stable(moved.distinct())
+        pointers, steps = moving.unionByName(ended), 2 * steps
+    known = information.select(F.col("id").alias("to"), F.lit(True).alias("known")).distinct()
+    several = ended.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("forked"))
+    found = ended.join(known, "to", "left").join(several, "id").select(
+        "id", F.col("to").alias("successor_id"), "forked", F.when(F.col("known").isNull(), F.lit("MISSING")).alias("problem")
+    )
+    none = F.lit(None).cast("string")
+    rings = moving.select("id").distinct().join(several, "id", "left").select(
+        "id", none.alias("successor_id"), F.coalesce("forked", F.lit(False)).alias("forked"), F.lit("CYCLE").alias("problem")
+    )
+    return found.unionByName(rings)
+
+
 def open_contradictions(information: DataFrame, relations: DataFrame) -> DataFrame:
     """CONTRADICTS pairs where neither side is resolved.
 
