@@ -19,6 +19,8 @@ VERSION = "WARC/1.1"
 #: Records in a file at most, and bytes read from one at a time.
 FILE_RECORDS, READ_BYTES = 20_000, 1 << 22
 HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
+#: Tasks that read files.
+READ_TASKS = 10_000
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:recordloom:warc")
 RESPONSE = (
     "record_id string, target_uri string, date string, headers array<struct<name:string,value:string>>, payload binary"
@@ -67,15 +69,23 @@ def responses(pages: DataFrame, date: str, id_column: str = "page_id") -> DataFr
     )
 
 
+def named(response: dict) -> tuple[object, ...]:
+    """What tells a response from others: its id or, without one, its address and date."""
+    if response["record_id"] is not None:
+        return (response["record_id"],)
+    return (None, response["target_uri"], response["date"])
+
+
 def _record(kind: str, response: dict, source: str, block: bytes, content_type: str, other: str) -> dict:
-    identifier = record_id(kind, response["record_id"], source)
+    identifier = record_id(kind, *named(response), source)
+    refers = [] if response["record_id"] is None else [f"WARC-Refers-To: {one_line(response['record_id'])}"]
     lines = [
         VERSION,
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {identifier}",
         f"WARC-Date: {one_line(response['date'] or '')}",
         f"WARC-Target-URI: {one_line(response['target_uri'] or '')}",
-        f"WARC-Refers-To: {one_line(response['record_id'])}",
+        *refers,
         f"WARC-Source-Payload-Digest: {source}",
         f"WARC-Derived-With: {other}",
         f"WARC-Block-Digest: {digest(block)}",
@@ -111,7 +121,7 @@ def derive(response: dict) -> tuple[dict, dict]:
         text = payload.decode("utf-8", "replace")
     page = parse(text)
     source = digest(payload)
-    ids = {k: record_id(k, response["record_id"], source) for k in ("metadata", "conversion")}
+    ids = {k: record_id(k, *named(response), source) for k in ("metadata", "conversion")}
     fields = [("source-header", f"{one_line(h['name'] or '')}: {one_line(h['value'] or '')}") for h in headers]
     fields += [("source-payload-digest", source), ("source-payload-length", len(payload)), ("conversion-record", ids["conversion"])]
     fields += [("title", page.title), ("language", page.language)]
@@ -126,8 +136,9 @@ def derive(response: dict) -> tuple[dict, dict]:
 def derivatives(frame: DataFrame) -> DataFrame:
     """Two records for each response (columns as in ``RESPONSE``), as in ``RECORD``.
 
-    Null payloads and headers count as empty, a null record id stays null and names no
-    source; equal responses give equal records; other columns are not read.
+    Null payloads and headers count as empty, a null record id stays null and its
+    records have no header that refers to a source, but own ids by address and date; equal responses give equal
+    records, also in their ids; other columns are not read.
     """
     names = [c.split()[0] for c in RESPONSE.split(", ")]
     kinds = [pa.string()] * 7 + [pa.binary()]
@@ -155,7 +166,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """(file, offset, warc_type, headers, block) of all records below a folder.
 
     Files are read in pieces and cut by their content lengths, so a block may hold
-    anything; a record without a length or cut short is an error.
+    anything; a record without a length or cut short is an error.  Files are dealt to as many
+    tasks, up to ``READ_TASKS``.
     """
     files = spark.read.format("binaryFile").load(folder).select("path").filter(~F.col("path").rlike("/[_.][^/]*$"))
     schema = "file string, offset long, warc_type string, headers map<string,string>, block binary"
@@ -167,7 +179,9 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 with system.open_input_stream(name) as stream:
                     yield from _cut(stream, path)
 
-    return files.repartition(F.col("path")).mapInArrow(apply, schema)
+    # a number that is given stays; tasks for paths alone would be joined to one, as paths are short
+    tasks = max(1, min(READ_TASKS, files.count()))
+    return files.repartition(tasks).mapInArrow(apply, schema)
 
 
 def _cut(stream: pa.NativeFile, path: str) -> Iterator[pa.RecordBatch]:

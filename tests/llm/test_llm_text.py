@@ -279,6 +279,24 @@ def test_warc_records_link_to_their_source(spark):
     assert bytes(by_id[first["headers"]["warc-derived-with"]]["block"]).decode() == "x & y\nl"
 
 
+def test_warc_records_of_responses_without_an_id(spark):
+    rows = [(None, u, "d", None, b"same") for u in ("http://a/", "http://b/")] + [("<urn:x>", "http://a/", "d", None, b"same")]
+    derived = warc.derivatives(spark.createDataFrame(rows, warc.RESPONSE)).collect()
+    assert len({r["record_id"] for r in derived}) == 6
+    for row in derived:
+        assert (row["refers_to"] is None) == ("WARC-Refers-To" not in row["head"]) and "None" not in row["head"]
+
+
+def test_warc_files_are_read_by_many_tasks(spark):
+    folder = common.work_folder(spark, "warc")
+    rows = [("<urn:%d>" % i, "u", "d", None, b"<p>text") for i in range(40)]
+    warc.write_warc(warc.derivatives(spark.createDataFrame(rows, warc.RESPONSE).repartition(8)), folder)
+    back = warc.read_warc(spark, folder)
+    parts = back.select(F.spark_partition_id().alias("part"), "file").distinct().collect()
+    assert len({r["file"] for r in parts}) == 8 and len({r["part"] for r in parts}) > 4
+    assert back.count() == 80
+
+
 def test_warc_of_an_empty_table_and_odd_responses(spark):
     folder = common.work_folder(spark, "warc")
     warc.write_warc(warc.derivatives(warc.responses(_pages(spark).limit(0), "d")), folder)
