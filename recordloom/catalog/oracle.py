@@ -706,6 +706,11 @@ BODY = {
     "stale": f"""SELECT id, valid_until FROM (SELECT id, k, strptime(created_at, '%Y-%m-%dT%H:%M:%SZ') + to_days(CAST(k % 900 - 100 AS INTEGER)) AS until,
           {_iso("(strptime(created_at, '%Y-%m-%dT%H:%M:%SZ') + to_days(CAST(k % 900 - 100 AS INTEGER)))")} AS valid_until FROM fact WHERE k % 7 <> 0) WHERE until < TIMESTAMP '2025-01-01 00:00:00'""",
     "superseded_view": "SELECT id, epistemic_status, id IN (SELECT target_id FROM irel WHERE type = 'SUPERSEDES') AS superseded FROM fact",
+    "valid_at_moments": """
+        SELECT strftime(m, '%Y-%m-%d %H:%M') AS moment, id
+        FROM (SELECT DISTINCT TIMESTAMP '2023-06-01 12:00:00' + to_days(CAST(c_custkey % 97 * 9 AS INTEGER)) AS m FROM customer)
+        JOIN fact ON (k % 5 = 0 OR strptime(created_at, '%Y-%m-%dT%H:%M:%SZ') <= m)
+            AND (k % 7 = 0 OR strptime(created_at, '%Y-%m-%dT%H:%M:%SZ') + to_days(CAST(k % 900 - 100 AS INTEGER)) >= m)""",
     "active_successors": """
         SELECT id, nxt AS successor_id, count(*) OVER (PARTITION BY id) > 1 AS forked,
                CASE WHEN nxt NOT IN (SELECT id FROM fact) THEN 'MISSING' END AS problem

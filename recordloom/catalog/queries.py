@@ -1045,6 +1045,14 @@ def superseded_view(spark: SparkSession, sf: str) -> DataFrame:
     return H.supersession_view(B.information(spark, sf), B.information_relations(spark, sf))
 
 
+@query
+def valid_at_moments(spark: SparkSession, sf: str) -> DataFrame:
+    days = F.make_dt_interval((F.col("c_custkey") % 97 * 9).cast("int"))
+    moments = B.read(spark, sf, "customer").select((F.lit("2023-06-01T12:00:00").cast("timestamp") + days).alias("moment"))
+    found = H.valid_at_moments(B.information(spark, sf), moments)
+    return found.select(F.date_format("moment", "yyyy-MM-dd HH:mm").alias("moment"), "id")
+
+
 @query
 def active_successors(spark: SparkSession, sf: str) -> DataFrame:
     return H.successors(B.information(spark, sf), B.supersessions(spark, sf))

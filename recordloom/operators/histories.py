@@ -6,7 +6,7 @@ epistemic transitions and evidence links.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom import constants as K
@@ -26,6 +26,58 @@ def valid_at(information: DataFrame, moment: str) -> DataFrame:
     )
 
 
+#: Seconds of the smallest bin of time.
+BIN_SECONDS = 3_600
+
+
+def valid_at_moments(information: DataFrame, moments: DataFrame) -> DataFrame:
+    """(moment, id) for every moment of a table (moment) and every record applicable then.
+
+    A span of time is cut into bins of different widths, at most two of each width, so that a moment of the span lies
+    in exactly one of them; a moment asks one bin of each width.  Both meet by equality, and the ends are compared
+    exactly afterwards.  Open ends reach to the first or last moment that is asked for.  Bins that very many records
+    share (all that are always valid) are spread over salts, to which the moments of the bin are copied.
+    Null moments match nothing; moments that repeat count once.
+    """
+    asked = moments.select(F.col("moment").cast("timestamp").alias("moment")).filter("moment is not null").distinct()
+    asked = stable(asked.withColumn("second", F.unix_seconds("moment")))
+    least, most = asked.agg(F.min("second"), F.max("second")).first()
+    if least is None:
+        return asked.select("moment").join(information.select("id").limit(0), F.lit(True))
+    last = (most - least) // BIN_SECONDS
+    # each level's bins are twice as wide as those before; one of the last level holds all moments
+    levels = int(last + 1).bit_length() + 1
+
+    def bin_of(second: Column) -> Column:
+        return F.floor((second - F.lit(least)) / BIN_SECONDS).cast("long")
+
+    begins, ends = (F.try_to_timestamp(F.col(f"time.{name}")) for name in ("valid_from", "valid_until"))
+    spans = information.select("id", begins.alias("begins"), ends.alias("ends")).withColumns(
+        {
+            "first": F.greatest(F.lit(0).cast("long"), F.coalesce(bin_of(F.unix_seconds("begins")), F.lit(0).cast("long"))),
+            "end": F.least(F.lit(last), F.coalesce(bin_of(F.unix_seconds("ends")), F.lit(last))) + 1,
+        }
+    )
+
+    def bins(level: Column) -> Column:
+        width = F.pow(F.lit(2), level).cast("long")
+        low, high = F.ceil(F.col("first") / width).cast("long"), F.floor(F.col("end") / width).cast("long")
+        top = level == levels - 1
+        left = F.when((low < high) & (top | (low % 2 == 1)), F.struct(level.alias("level"), low.alias("bin")))
+        right = F.when((low < high) & ~top & (high % 2 == 1), F.struct(level.alias("level"), (high - 1).alias("bin")))
+        return F.array_compact(F.array(left, right))
+
+    every = F.sequence(F.lit(0), F.lit(levels - 1))
+    cut = spans.filter(F.col("first") < F.col("end")).withColumn("at", F.explode(F.flatten(F.transform(every, bins))))
+    cut = stable(cut.select(F.concat_ws(":", "at.level", "at.bin").alias("bin"), "id", "begins", "ends"))
+    bin_now = F.floor(bin_of(F.col("second")) / F.pow(F.lit(2), F.col("level"))).cast("long")
+    probes = asked.withColumn("level", F.explode(every)).select(F.concat_ws(":", "level", bin_now).alias("bin"), "moment")
+    spread = spread_over(cut, "bin")
+    met = spread.salted(cut, "id").join(spread.copied(probes), ["bin", SALT])
+    inside = F.coalesce(F.col("begins") <= F.col("moment"), F.lit(True)) & F.coalesce(F.col("moment") <= F.col("ends"), F.lit(True))
+    return met.filter(inside).select("moment", "id")
+
+
 def stale(information: DataFrame, now: str) -> DataFrame:
     """Records whose validity has ended."""
     return information.filter(
