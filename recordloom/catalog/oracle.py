@@ -508,6 +508,9 @@ BODY = {
     "threads_sorted_revision": _page(_SORTED, "true", "revision DESC", 200, 5),
     "threads_sorted_status": _page(_SORTED, "true", "status DESC", 200, 5),
     "threads_sorted_started_at": _page(_SORTED, "true", "coalesce(started_at, '')", 200, 5),
+    "threads_deep_page": """SELECT rank, thread_id, title, status FROM (
+            SELECT *, row_number() OVER (ORDER BY folded, thread_id || '.md') - 1 AS rank, count(*) OVER () AS n FROM thr)
+        WHERE rank >= n * 4 // 5 AND rank < n * 4 // 5 + 300""",
     "thread_json_rows": "SELECT thread_id, data FROM tjs",
     "thread_action_json_rows": f"""SELECT thread_id, action_id, sha256('{{"action":{{"action_id":"' || action_id || '","description":' || {_json("description")}
         || ',"metadata":' || metadata || ',"status":"' || status || '"}},"thread":' || data || '}}') AS data_sha FROM act JOIN tjs USING (thread_id)""",

@@ -21,6 +21,7 @@ from recordloom.operators import relations as R
 from recordloom.operators import request_batch as RB
 from recordloom.operators import search as S
 from recordloom.operators import threads as T
+from recordloom.operators.pages import RankIndex
 from recordloom.plans import classify as C
 from recordloom.plans import decisions as D
 from recordloom.plans import execution as E
@@ -173,6 +174,13 @@ for _name, _order in (("title", "ASC"), ("revision", "DESC"), ("status", "DESC")
     _sorted(_name, _order)
 
 
+@query
+def threads_deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page four fifths down the list, from the rank index."""
+    index = RankIndex.write(B.threads(spark, sf), f"{_scratch(spark)}/ranks", "title", "ASC")
+    return index.page(300, index.size() * 4 // 5).select("rank", "thread_id", "title", "status")
+
+
 @query
 def thread_json_rows(spark: SparkSession, sf: str) -> DataFrame:
     return T.thread_rows(B.threads(spark, sf))
