@@ -143,16 +143,19 @@ def successors(information: DataFrame, relations: DataFrame) -> DataFrame:
 def open_contradictions(information: DataFrame, relations: DataFrame) -> DataFrame:
     """CONTRADICTS pairs where neither side is resolved.
 
-    A pair is resolved when a side is refuted or superseded.
+    A pair is resolved when a side is refuted or superseded.  Records that very many others contradict
+    are spread over salts in both joins.
     """
     pairs = relations.filter(F.col("type") == "CONTRADICTS").select("source_id", "target_id").distinct()
     state = information.select("id", "epistemic_status")
     source = state.select(F.col("id").alias("source_id"), F.col("epistemic_status").alias("source_status"))
     target = state.select(F.col("id").alias("target_id"), F.col("epistemic_status").alias("target_status"))
     resolved = ("REFUTED", "SUPERSEDED")
+    first, second = spread_over(pairs, "source_id"), spread_over(pairs, "target_id")
+    begun = first.salted(pairs, "target_id").join(first.copied(source), ["source_id", SALT]).drop(SALT)
     return (
-        pairs.join(source, "source_id")
-        .join(target, "target_id")
+        second.salted(begun, "source_id")
+        .join(second.copied(target), ["target_id", SALT])
         .filter(~F.col("source_status").isin(*resolved) & ~F.col("target_status").isin(*resolved))
         .select("source_id", "target_id", "source_status", "target_status")
     )

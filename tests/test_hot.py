@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from recordloom.catalog import tables as B
 from recordloom.functions import hot
+from recordloom.operators import histories as H
 from recordloom.operators import information as I
 from recordloom.operators import lifecycle as L
 from recordloom.operators import memories as M
@@ -81,3 +82,17 @@ def test_empty_operational_state_blocks_a_review(spark, sf):
     outcomes = I.resolve_reviews(B.reviews(spark, sf), information, B.review_decisions(spark, sf), "now")[3]
     found = {r[0] for r in outcomes.select("outcome").distinct().collect()}
     assert "RESOLVED" not in found and "INVALID_OPERATIONAL_STATE" in found
+
+
+def test_contradictions_of_a_hub_are_split_without_a_change(spark, monkeypatch):
+    relations = spark.createDataFrame(
+        [("hub", "CONTRADICTS", f"n{i}") for i in range(40)] + [(f"n{i}", "CONTRADICTS", "hub") for i in range(30)] + [("n1", "SUPPORTS", "hub"), (None, "CONTRADICTS", "hub")],
+        "source_id string, type string, target_id string",
+    )
+    statuses = [("hub", "CONFIRMED")] + [(f"n{i}", ("REFUTED", "DOUBTFUL", "SUPERSEDED")[i % 3]) for i in range(35)]
+    information = spark.createDataFrame(statuses, "id string, epistemic_status string")
+    whole = sorted(map(tuple, H.open_contradictions(information, relations).collect()))
+    assert len(whole) == 12 + 10
+    monkeypatch.setattr(hot, "HOT_ROWS", 2)
+    monkeypatch.setattr(hot, "HOT_SHARE", 10_000)
+    assert sorted(map(tuple, H.open_contradictions(information, relations).collect())) == whole
