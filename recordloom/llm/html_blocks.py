@@ -38,15 +38,25 @@ ENDED = {
     **dict.fromkeys(GROUPS, (GROUPS | ROWS | CELLS, frozenset(["table"]))),
 }
 #: Elements and words of class, id or role that mark what is not the article.
-ASIDES = frozenset("nav footer aside form menu dialog".split())
+ASIDES = frozenset("nav footer aside menu dialog".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent "
     "cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
     "notification pagination pager popup promo promoted related reply replies respond share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription toolbar widget complementary contentinfo search".split()
 )
+#: Words of these never name a wrapper of the whole page, so such a mark stands.
+FIRM_WORDS = frozenset(
+    "breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr menu modal nav navbar navigation "
+    "newsletter notification pagination pager popup reply replies respond".split()
+)
+#: A name that holds one of these tells of an aside elsewhere, or that there is none.
+NEGATIONS = frozenset("no not has have with without free off".split())
+#: A header that is named after one of these belongs to the article.
+ARTICLE_WORDS = frozenset("article content entry post story".split())
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|lang|href|name|content|charset)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 PARTS = re.compile(r"[a-z0-9]+")
+WIDE = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]+")
 #: Common words of some languages, fixed lists.
 STOP_WORDS = frozenset(
     (
@@ -75,6 +85,17 @@ class Block:
     heading: bool
     content: bool
     aside: bool
+    mark: int = -1
+
+
+@dataclass
+class Mark:
+    """An element that is marked as an aside: the marked one around it, whether its mark stands, the nearest such one."""
+
+    around: int
+    firm: bool
+    nearest_firm: int
+    holds_article: bool = False
 
 
 @dataclass
@@ -84,22 +105,39 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
     metas: list[tuple[str, str]] = field(default_factory=list)
+    marks: list[Mark] = field(default_factory=list)
 
 
 def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(source)}
 
 
-def _is_aside(tag: str, given: dict[str, str]) -> bool:
+def _marking(tag: str, given: dict[str, str], content: bool) -> str:
+    """How an element is marked as an aside: ``firm``, ``soft`` (it may turn out to wrap the page) or not at all.
+
+    A class like ``no-sidebar``, ``has-sidebar`` or ``ad-free`` marks nothing, nor does
+    the header of an article.
+    """
     if tag in ASIDES or "hidden" in given or given.get("aria-hidden") == "true":
-        return True
+        return "firm"
     if re.search(r"display\s*:\s*none", given.get("style", "")):
-        return True
+        return "firm"
     if tag in ("body", "html") or tag in HEADINGS:
-        return False
-    names = " ".join(given.get(n, "") for n in ("class", "id", "role")).lower()
-    # an article's class may tell what is beside it (with-sidebar), so only whole names count there
-    return bool(names) and not ASIDE_WORDS.isdisjoint(names.split() if tag in CONTENT else PARTS.findall(names))
+        return ""
+    found, of_article = set(), False
+    for name in " ".join(given.get(n, "") for n in ("class", "id", "role")).lower().split():
+        # an article's class may tell what is beside it (with-sidebar), so only whole names count there
+        parts = {name} if tag in CONTENT else set(PARTS.findall(name))
+        if not NEGATIONS.isdisjoint(parts):
+            continue
+        words = parts & ASIDE_WORDS
+        if words == {"header"} and not ARTICLE_WORDS.isdisjoint(parts):
+            of_article = True
+            continue
+        found |= words
+    if found:
+        return "soft" if FIRM_WORDS.isdisjoint(found) else "firm"
+    return "soft" if tag == "form" or (tag == "header" and not content and not of_article) else ""
 
 
 def parse(source: str | None) -> Page:
@@ -110,13 +148,23 @@ def parse(source: str | None) -> Page:
     around them, however deep they lie in it, or with the page.
     """
     page, source = Page(), source or ""
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, aside, content, hidden
+    stack: list[tuple[str, int, bool, bool]] = []  # name, innermost mark, content, hidden
     places: dict[str, list[int]] = {}  # where in the stack each name is open
     words: list[str] = []
-    linked, in_link, heading, at, size = 0, 0, False, 0, len(source)
+    linked, in_link, heading, at, size = 0, False, False, 0, len(source)
+    link_block = 0  # blocks before the open link
 
-    def top() -> tuple[str, bool, bool, bool]:
-        return stack[-1] if stack else ("", False, False, False)
+    def top() -> tuple[str, int, bool, bool]:
+        return stack[-1] if stack else ("", -1, False, False)
+
+    def end_link() -> None:
+        """End a link that lacks its end: what follows the block it starts in isn't linked."""
+        nonlocal in_link, linked
+        if in_link and len(page.blocks) > link_block:
+            for block in page.blocks[link_block + 1 :]:
+                block.linked = 0
+            linked = 0
+        in_link = False
 
     def cut(low: int) -> None:
         while len(stack) > low:
@@ -130,8 +178,8 @@ def parse(source: str | None) -> Page:
         text = " ".join("".join(words).split())
         words.clear()
         if text:
-            _, aside, content, _ = top()
-            page.blocks.append(Block(text, min(linked, len(text)), heading, content, aside))
+            _, mark, content, _ = top()
+            page.blocks.append(Block(text, min(linked, len(text)), heading, content, mark >= 0, mark))
         linked = 0
 
     def add(low: int, high: int) -> None:
@@ -159,7 +207,7 @@ def parse(source: str | None) -> Page:
             words.append(" ")
         if closing:
             if tag == "a":
-                in_link = max(0, in_link - 1)
+                in_link = False
             if places.get(tag):
                 cut(places[tag][-1])
             continue
@@ -175,7 +223,9 @@ def parse(source: str | None) -> Page:
                 at = size if close < 0 else close + 1
             continue
         if tag == "a":
-            in_link += 1
+            end_link()
+            if "href" in given:
+                in_link, link_block = True, len(page.blocks)
             if given.get("href"):
                 page.links.append(given["href"])
         if tag == "html":
@@ -193,16 +243,67 @@ def parse(source: str | None) -> Page:
                 cut(min((places[n][-1] for n in names if places.get(n) and places[n][-1] > wall), default=len(stack)))
             if stack and stack[-1][0] in ("p", *HEADINGS) and tag in ("p", "li", "td", "th", "dt", "dd", *HEADINGS):
                 cut(len(stack) - 1)
-            _, aside, content, hidden = top()
-            marked = _is_aside(tag, given) or (tag == "header" and not content)
+            _, mark, content, hidden = top()
+            if tag == "main" and mark >= 0:  # it holds the article, whatever a wrapper's class says
+                mark = page.marks[mark].nearest_firm
+            elif tag == "article":
+                around = mark
+                while around >= 0 and not page.marks[around].holds_article:
+                    page.marks[around].holds_article = True
+                    around = page.marks[around].around
+            marking = _marking(tag, given, content)
+            if marking:
+                firm = marking == "firm"
+                own = len(page.marks)
+                page.marks.append(Mark(mark, firm, own if firm else page.marks[mark].nearest_firm if mark >= 0 else -1))
+                mark = own
             places.setdefault(tag, []).append(len(stack))
-            stack.append((tag, aside or marked, content or tag in CONTENT, hidden or tag in HIDDEN))
+            stack.append((tag, mark, content or tag in CONTENT, hidden or tag in HIDDEN))
             if tag in ("body", "article", "main"):
-                in_link = 0
+                end_link()
     flush()
+    end_link()
     return page
 
 
+def unwrap(page: Page) -> None:
+    """Lift the marks of elements that turn out to wrap the page's text.
+
+    Called if no block outside the asides is good.  A soft mark is lifted if its element
+    holds an article or most of the text that is neither linked nor in a firm aside.
+    """
+    held = [0] * len(page.marks)
+    total = 0
+    for b in page.blocks:
+        if b.mark < 0 or page.marks[b.mark].nearest_firm < 0:
+            own = len(b.text) - b.linked
+            total += own
+            if b.mark >= 0:
+                held[b.mark] += own
+    standing = [-1] * len(page.marks)  # the nearest mark that stays, itself included
+    for i in range(len(page.marks) - 1, -1, -1):
+        if page.marks[i].around >= 0:
+            held[page.marks[i].around] += held[i]
+    for i, mark in enumerate(page.marks):
+        lifted = not mark.firm and mark.nearest_firm < 0 and (mark.holds_article or 2 * held[i] > total)
+        standing[i] = i if not lifted else standing[mark.around] if mark.around >= 0 else -1
+    for b in page.blocks:
+        b.aside = b.mark >= 0 and standing[b.mark] >= 0
+
+
+def length(text: str) -> int:
+    """Characters, those of scripts that write a word with one or two of them three times."""
+    return len(text) if text.isascii() else len(text) + 2 * sum(map(len, WIDE.findall(text)))
+
+
+def is_latin(text: str) -> bool:
+    """Whether most letters are Latin, as in the languages of the stop-words."""
+    if text.isascii():
+        return True
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in letters) >= len(letters)
+
+
 def stop_density(text: str) -> float:
     words = text.lower().split()
     hits = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
@@ -214,22 +315,25 @@ def first_pass(block: Block, told: bool = True) -> str:
 
     A place in the article is a prior: such a block is one class better than its words
     make it, and a short one nearly good.  Where stop-words tell nothing (``told`` is
-    false: no block of the article has its share of them), it is good if it isn't short.
+    false: the prose hasn't its share of them, or the block isn't in Latin letters), it is
+    good in the article if it isn't short, elsewhere if it is long.
     """
     if block.aside:
         return OUT
     density = block.linked / len(block.text)
-    if density > MAX_LINK_DENSITY and not (block.content and len(block.text) >= LONG_CHARS):
+    size = length(block.text)
+    if density > MAX_LINK_DENSITY and not (block.content and size >= LONG_CHARS):
         return BAD
-    if len(block.text) < SHORT_CHARS:
+    if size < SHORT_CHARS:
         if block.content:
             return NEAR
         return BAD if block.linked else SHORT
     stops = stop_density(block.text)
+    told = told and is_latin(block.text)
     if block.content:
         return GOOD if stops >= STOP_LOW or not told else NEAR
-    if stops >= STOP_HIGH:
-        return GOOD if len(block.text) > LONG_CHARS else NEAR
+    if stops >= STOP_HIGH or not told:
+        return GOOD if size > LONG_CHARS else NEAR
     return NEAR if stops >= STOP_LOW else BAD
 
 
@@ -280,12 +384,30 @@ def second_pass(classes: list[str], headings: list[bool], content: list[bool] |
     return out
 
 
+def classify(blocks: list[Block]) -> list[str]:
+    """The first pass over all blocks.
+
+    Stop-words are asked for if a block of the article has its share of them; without an
+    article, if blocks with a quarter of the prose do.
+    """
+    prose = [b for b in blocks if not b.aside and length(b.text) >= SHORT_CHARS]
+    inside = [b for b in prose if b.content]
+    if inside:
+        told = any(stop_density(b.text) >= STOP_LOW for b in inside)
+    else:
+        plain = [b for b in prose if b.linked <= MAX_LINK_DENSITY * len(b.text)]
+        share = sum(len(b.text) for b in plain if stop_density(b.text) >= STOP_LOW)
+        told = 4 * share >= sum(len(b.text) for b in plain)
+    return [first_pass(b, told) for b in blocks]
+
+
 def main_text(source: str | None) -> str:
     """The page's good blocks in page order, joined by newlines."""
-    blocks = parse(source).blocks
-    prose = (b.text for b in blocks if b.content and not b.aside and len(b.text) >= SHORT_CHARS)
-    told = any(stop_density(text) >= STOP_LOW for text in prose)
-    classes = [first_pass(b, told) for b in blocks]
+    page = parse(source)
+    blocks, classes = page.blocks, classify(page.blocks)
+    if page.marks and GOOD not in classes:
+        unwrap(page)
+        classes = classify(blocks)
     keep = second_pass(classes, [b.heading for b in blocks], [b.content and not b.aside for b in blocks])
     return "\n".join(b.text for b, good in zip(blocks, keep, strict=True) if good)
 

@@ -232,13 +232,55 @@ def test_an_article_in_a_language_without_listed_words_stays_whole():
     assert html_blocks.main_text(page) == "\n".join([*blocks[:4], "Koniec."])
 
 
+RUSSIAN = "Вчера вечером в городском парке собрались жители соседних домов, чтобы обсудить новую дорогу, которую начнут строить весной, и все долго спорили о том, нужна ли она городу. Никто не хотел уходить домой, пока не станет ясно, чем всё это закончится."
+CHINESE = "昨天晚上附近的居民聚集在城市公园里讨论春天将要开始修建的新道路大家争论了很久到底这座城市需不需要这条路没有人愿意在事情弄清楚之前回家因为所有人都想知道最后的结果会怎么样所以会议一直开到深夜才结束。"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="site has-sidebar"><main><p>{PROSE}</p></main></div>', PROSE),
+        (f'<div class="content no-sidebar"><main><p>{PROSE}</p></main></div>', PROSE),
+        (f'<div class="ad-free"><article><p>{PROSE}</p></article></div>', PROSE),
+        (f'<div class="social-science"><article><p>{PROSE}</p></article></div><p>Imprint</p>', PROSE),
+        (f"<form id=aspnetForm><div class=sidebar>More to read</div><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></form>", f"Title\n{PROSE}\n{PROSE}"),
+        (f"<form id=aspnetForm><nav><a href=1>menu</a></nav><article><p>{PROSE}</p></article></form>", PROSE),
+        (f"<a name=top><p>{PROSE}</p><p>{PROSE}</p>", f"{PROSE}\n{PROSE}"),
+        (f"<p><a href=#top>Top<p>{PROSE}</p><p>{PROSE}</p>", f"{PROSE}\n{PROSE}"),
+        (f"<h1>Новости</h1><p>{RUSSIAN}</p><p>{RUSSIAN}</p><footer>{PROSE}</footer>", f"Новости\n{RUSSIAN}\n{RUSSIAN}"),
+        (f"<h1>新闻</h1><p>{CHINESE}</p><p>{CHINESE}</p>", f"新闻\n{CHINESE}\n{CHINESE}"),
+        (f'<div class="article-header"><h1>Title</h1></div><article><p>{PROSE}</p></article>', f"Title\n{PROSE}"),
+        (f'<div class="article-header"><h1>Title</h1></div><p>{PROSE}</p>', f"Title\n{PROSE}"),
+    ],
+)
+def test_a_wrapper_does_not_hide_the_article(page, text):
+    assert html_blocks.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "aside",
+    [
+        f"<div class=sidebar><p>{PROSE}</p><p>{PROSE}</p></div>",
+        f"<div class=related><article><p>{PROSE}</p></article></div>",
+        f"<div id=comments><article><p>{PROSE}</p></article></div>",
+        f"<form><p>{PROSE}</p></form>",
+        f"<form><a href=1><div>{PROSE}</div><p>{PROSE}</p></a></form>",
+    ],
+)
+def test_asides_beside_an_article_stay_out(aside):
+    text = PROSE.replace("house", "school")
+    for page in (f"<article><p>{text}</p></article>{aside}", f"{aside}<p>{text}</p>", f"<div class=ad-free>{aside}<main><p>{text}</p></main></div>"):
+        assert html_blocks.main_text(page) == text
+    assert html_blocks.main_text(f"<div class=comments><p>{PROSE}</p><article><p>{PROSE}</p></article></div>") == ""
+
+
 def test_short_blocks_take_the_nearest_label():
     classes = ["good", "short", "short", "short", "bad", "near", "out", "short"]
     assert html_blocks.second_pass(classes, [False] * 8, False) == [True, True, False, False, False, False, False, False]
 
 
 def test_markup_takes_linear_time():
-    for page in ("<" * 200_000, '<a "' * 50_000, "<div>" * 50_000, "</p>" * 50_000, "<p " * 100_000, "<!" * 100_000):
+    for page in ("<" * 200_000, '<a "' * 50_000, "<div>" * 50_000, "</p>" * 50_000, "<p " * 100_000, "<!" * 100_000, "<div class=ad><article>" * 25_000, "<p><a href=x>y" * 50_000):
         html_blocks.main_text(page)
 
 
