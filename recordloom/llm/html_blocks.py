@@ -56,6 +56,7 @@ NEGATIONS = frozenset("no not has have with without free off".split())
 ARTICLE_WORDS = frozenset("article content entry post story".split())
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|lang|href|name|content|charset)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 PARTS = re.compile(r"[a-z0-9]+")
+OTHER = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2c00-\ud7af\uf900-\ufdff\ufe70-\ufeff\uff66-\uffdc]+")
 WIDE = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]+")
 #: Common words of some languages, fixed lists.
 STOP_WORDS = frozenset(
@@ -297,11 +298,8 @@ def length(text: str) -> int:
 
 
 def is_latin(text: str) -> bool:
-    """Whether most letters are Latin, as in the languages of the stop-words."""
-    if text.isascii():
-        return True
-    letters = [c for c in text if c.isalpha()]
-    return 2 * sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in letters) >= len(letters)
+    """Whether most of a text isn't in other letters than those of the stop-words' languages."""
+    return text.isascii() or 2 * sum(map(len, OTHER.findall(text))) <= len(text)
 
 
 def stop_density(text: str) -> float:
@@ -329,7 +327,7 @@ def first_pass(block: Block, told: bool = True) -> str:
             return NEAR
         return BAD if block.linked else SHORT
     stops = stop_density(block.text)
-    told = told and is_latin(block.text)
+    told = told and (stops >= STOP_LOW or is_latin(block.text))
     if block.content:
         return GOOD if stops >= STOP_LOW or not told else NEAR
     if stops >= STOP_HIGH or not told:
