@@ -743,6 +743,11 @@ BODY = {
 BODY["stream_command_outcomes"] = BODY["command_outcomes"]
 BODY["stream_shuffled_commands"] = BODY["command_outcomes"]
 
+# Stored snapshots hold what the batch operators return.
+BODY["memory_store_by_parts"] = BODY["memory_store_snapshot"]
+BODY["memory_update_by_parts"] = BODY["memory_update_snapshot"]
+BODY["memory_deletes_by_parts"] = BODY["memories_after_deletes"]
+
 
 @cache
 def _needs(text: str) -> set[str]:

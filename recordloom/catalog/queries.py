@@ -20,6 +20,7 @@ from recordloom.operators import quality as Q
 from recordloom.operators import relations as R
 from recordloom.operators import request_batch as RB
 from recordloom.operators import search as S
+from recordloom.operators import stored as SN
 from recordloom.operators import threads as T
 from recordloom.operators.pages import RankIndex
 from recordloom.plans import classify as C
@@ -326,6 +327,32 @@ def memories_after_deletes(spark: SparkSession, sf: str) -> DataFrame:
     return _decided(spark, sf)[0].select("information_id", "revision")
 
 
+def _stored_memories(spark: SparkSession, sf: str) -> SN.StoredSnapshot:
+    return SN.StoredSnapshot.create(B.memories(spark, sf), f"{_scratch(spark)}/memories", M.ID)
+
+
+@query
+def memory_store_by_parts(spark: SparkSession, sf: str) -> DataFrame:
+    stored = _stored_memories(spark, sf)
+    SN.store_memories(stored, B.memory_arrivals(spark, sf))
+    return stored.read().select("information_id", "revision", X.sha256(F.col("content")).alias("content_sha"))
+
+
+@query
+def memory_update_by_parts(spark: SparkSession, sf: str) -> DataFrame:
+    stored = _stored_memories(spark, sf)
+    SN.update_memories(stored, B.memory_updates(spark, sf))
+    return stored.read().select("information_id", "revision", X.sha256(F.col("content")).alias("content_sha"))
+
+
+@query
+def memory_deletes_by_parts(spark: SparkSession, sf: str) -> DataFrame:
+    stored = _stored_memories(spark, sf)
+    pending, _ = M.request_deletes(stored.read(), B.delete_commands(spark, sf))
+    SN.delete_memories(stored, stable(pending), B.delete_decisions(spark, sf))
+    return stored.read().select("information_id", "revision")
+
+
 # --- thread lifecycle --------------------------------------------------------
 
 
