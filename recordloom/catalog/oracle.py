@@ -727,6 +727,15 @@ BODY = {
     "history_gaps": f"""SELECT event_id, revision, before, after, previous, problem FROM (SELECT *, CASE WHEN (information_id IS NULL) = (thread_id IS NULL) THEN 'ENTITY'
           WHEN previous <> before THEN 'BROKEN_CHAIN' WHEN thread_id IS NOT NULL AND NOT ({TRANSITION.format("before", "after")}) THEN 'ILLEGAL_TRANSITION' END AS problem
         FROM (SELECT *, CASE WHEN entity IS NOT NULL THEN lag(after) OVER (PARTITION BY entity ORDER BY revision) END AS previous FROM hst)) WHERE problem IS NOT NULL""",
+    "states_at_moments": """
+        SELECT * FROM (WITH told AS (SELECT coalesce(information_id, thread_id) AS entity_id, h.revision, h.before, h.after, h.event_id, e.ts
+              FROM hst h JOIN events e ON 'event-' || e.event_id = h.event_id WHERE (information_id IS NULL) <> (thread_id IS NULL)),
+            latest AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY entity_id, ts ORDER BY revision DESC) = 1),
+            earliest AS (SELECT entity_id, before FROM told QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts, revision) = 1),
+            asked AS (SELECT DISTINCT CASE WHEN event_id % 101 = 0 THEN 'info-none-' || (event_id % 5) WHEN user_id % 2 = 0 THEN 'info-' || user_id ELSE 'thread-' || user_id END AS entity_id,
+              ts + to_hours(CAST(event_id % 97 * 8 - 600 AS INTEGER)) AS m FROM events)
+        SELECT a.entity_id, strftime(m, '%Y-%m-%d %H:%M:%S.%f') AS moment, CASE WHEN l.event_id IS NULL THEN f.before ELSE l.after END AS status, l.revision, l.event_id
+        FROM asked a ASOF LEFT JOIN latest l ON a.entity_id = l.entity_id AND a.m >= l.ts LEFT JOIN earliest f ON f.entity_id = a.entity_id)""",
     "revision_gaps": """SELECT m.information_id AS entity_id, m.revision, h.event_revision FROM mem m JOIN (SELECT entity, max(revision) AS event_revision FROM hst WHERE entity IS NOT NULL GROUP BY entity) h
           ON h.entity = m.information_id WHERE m.revision <> h.event_revision""",
     "epistemic_gaps": """SELECT event_id, information_id, before, after FROM hst WHERE information_id IS NOT NULL AND thread_id IS NULL AND before <> after

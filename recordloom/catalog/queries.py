@@ -1103,6 +1103,12 @@ def history_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return H.history_gaps(B.history_events(spark, sf))
 
 
+@query
+def states_at_moments(spark: SparkSession, sf: str) -> DataFrame:
+    found = H.states_at(B.history_events(spark, sf), B.state_moments(spark, sf))
+    return found.withColumn("moment", F.date_format("moment", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query
 def revision_gaps(spark: SparkSession, sf: str) -> DataFrame:
     entities = B.memories(spark, sf).select(

@@ -631,4 +631,14 @@ def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(u % 2 == 0, pick(K.EPISTEMIC_STATUSES, n % 6)).otherwise(pick(K.THREAD_STATUSES, n % 8)).alias("before"),
         F.when(u % 2 == 0, pick(K.EPISTEMIC_STATUSES, F.floor(n / 7) % 6)).otherwise(pick(K.THREAD_STATUSES, F.floor(n / 3) % 8)).alias("after"),
         "event_type",
+        F.col("ts").alias("happened_at"),
     )
+
+
+def state_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A moment near each event of an entity, some of them ahead of all its events; a few entities have none."""
+    e = read(spark, sf_dir, "events")
+    n, u = F.col("event_id"), F.col("user_id")
+    near = F.col("ts") + F.make_dt_interval(hours=(n % 97 * 8 - 600).cast("int"))
+    entity = F.when(n % 101 == 0, F.concat(F.lit("info-none-"), n % 5)).when(u % 2 == 0, F.concat(F.lit("info-"), u)).otherwise(F.concat(F.lit("thread-"), u))
+    return e.select(entity.alias("entity_id"), near.alias("moment"))

@@ -193,6 +193,50 @@ def history_gaps(events: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame
     )
 
 
+def states_at(events: DataFrame, moments: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """The state of entities at past moments, from their events: (entity_id, moment, status, revision, event_id).
+
+    ``events``: event_id, information_id or thread_id, revision, before, after, happened_at; ``moments``: entity_id, moment.
+    The state is that after the last event up to the moment, of events at one time that with the highest revision (then
+    event_id).  Ahead of the first event it is what that event found, without a revision; an entity without events has a
+    row without status.  Events of no entity or of two, or without a time, tell of no state; null moments and entities
+    match nothing, and moments that repeat count once.
+
+    Events and moments of an entity are put in one order and the last event is carried along it, over the chunks of an
+    entity that has very many of them.
+    """
+    one = F.col("information_id").isNull() != F.col("thread_id").isNull()
+    told = events.filter(one & F.col("happened_at").isNotNull()).select(
+        F.coalesce("information_id", "thread_id").alias("entity_id"),
+        F.unix_micros(F.col("happened_at").cast("timestamp")).alias("at"),
+        F.struct("revision", "event_id", F.col("after").alias("status")).alias("state"),
+        F.struct("revision", "event_id", "before").alias("found"),
+    )
+    instants = told.groupBy("entity_id", "at").agg(F.max("state").alias("state"))
+    asked = moments.select("entity_id", F.col("moment").cast("timestamp").alias("moment"))
+    asked = asked.filter(F.col("entity_id").isNotNull() & F.col("moment").isNotNull()).distinct()
+    # a moment comes after the events of its own microsecond
+    steps = instants.select("entity_id", (F.col("at") * 2).alias("place"), F.lit(None).cast("timestamp").alias("moment"), "state")
+    nothing = F.lit(None).cast(instants.schema["state"].dataType)
+    probes = asked.select("entity_id", (F.unix_micros("moment") * 2 + 1).alias("place"), "moment", nothing.alias("state"))
+    line = running(chunk(steps.unionByName(probes), "entity_id", "place", max_rows), lasts={"now": F.col("state")}).rows
+    met = stable(line.filter(F.col("moment").isNotNull()).select("entity_id", "moment", "now"))
+    early = met.filter(F.col("now").isNull()).select("entity_id", "moment")
+    first = told.groupBy("entity_id").agg(F.min(F.struct("at", "found")).alias("first"))
+    spread = spread_over(early, "entity_id")
+    begun = spread.salted(early, "moment").join(spread.copied(first), ["entity_id", SALT], "left")
+    unknown = F.lit(None)
+    ahead = begun.select(
+        "entity_id",
+        "moment",
+        F.col("first.found.before").alias("status"),
+        unknown.cast(events.schema["revision"].dataType).alias("revision"),
+        unknown.cast(events.schema["event_id"].dataType).alias("event_id"),
+    )
+    later = met.filter(F.col("now").isNotNull()).select("entity_id", "moment", "now.status", "now.revision", "now.event_id")
+    return later.unionByName(ahead)
+
+
 def revision_gaps(events: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities whose last event is not at their stored revision.
 
