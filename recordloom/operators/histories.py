@@ -109,25 +109,32 @@ def successors(information: DataFrame, relations: DataFrame) -> DataFrame:
     has problem ``MISSING``.
 
     Pointers are doubled: each round replaces the end of a pointer by that end's own pointers, so a
-    chain of any length takes about log2 of it rounds.  A pointer that hasn't come to an end
-    after more steps than there are superseded records has gone round.  Ends that very many pointers share are spread over salts.
+    chain of any length takes about log2 of it rounds.  When a round finds no end that wasn't known and no record
+    whose pointers all came to an end, no later one does: the first end or last record to be found after it
+    would have one nearer to it that this round had found.  What still moves then goes round, however long
+    the rings are.  Ends that very many pointers share are spread over salts.
     """
     links = relations.filter(F.col("type") == "SUPERSEDES").select(F.col("target_id").alias("id"), F.col("source_id").alias("to"))
     links = stable(links.filter(F.col("id").isNotNull() & F.col("to").isNotNull()).distinct())
-    replaced = stable(links.select(F.col("id").alias("to")).distinct())
-    moving, ended = links, links.limit(0)
-    pointers, steps, bound = links, 1, replaced.count()
+    replaced = links.select(F.col("id").alias("to"), F.lit(False).alias("done")).distinct()
+    spread = spread_over(links, "to")
+    begun = spread.salted(links, "id").join(spread.copied(replaced), ["to", SALT], "left")
+    # those that aren't done are as many steps long as were doubled, the others at most that
+    pointers = stable(begun.select("id", "to", F.coalesce("done", F.lit(True)).alias("done")))
+    before = None
     while True:
-        settled = moving.join(replaced, "to", "left_anti").select("id", "to")
-        moving = stable(moving.join(replaced, "to", "left_semi").select("id", "to"))
-        ended = stable(ended.unionByName(settled).distinct())
-        if steps > bound or moving.isEmpty():
+        each = pointers.groupBy("id").agg(F.count_if("done").alias("ends"), F.bool_or(~F.col("done")).alias("moves"))
+        now = tuple(each.agg(F.sum("ends"), F.count_if("moves")).first())
+        if not now[1] or now == before:
             break
+        before = now
+        moving, ended = pointers.filter(~F.col("done")), pointers.filter("done")
         spread = spread_over(moving, "to")
-        onward = pointers.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        moved = spread.salted(moving, "id").join(spread.copied(onward), ["to", SALT]).select("id", F.col("next").alias("to"))
-        moving = stable(moved.distinct())
-        pointers, steps = moving.unionByName(ended), 2 * steps
+        onward = pointers.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("done").alias("last"))
+        moved = spread.salted(moving, "id").join(spread.copied(onward), ["to", SALT])
+        moved = moved.select("id", F.col("next").alias("to"), F.col("last").alias("done"))
+        pointers = stable(moved.unionByName(ended).distinct())
+    moving, ended = pointers.filter(~F.col("done")).drop("done"), pointers.filter("done").drop("done")
     known = information.select(F.col("id").alias("to"), F.lit(True).alias("known")).distinct()
     several = ended.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("forked"))
     found = ended.join(known, "to", "left").join(several, "id").select(

@@ -29,3 +29,21 @@ def test_chains_forks_rings_and_missing_records(spark, monkeypatch, spread):
 
 def test_nothing_superseded(spark):
     assert _found(spark, [], ["a"]) == set()
+
+
+def test_rounds_follow_the_longest_chain_not_the_number_of_records(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(H, "stable", lambda df, keep=H.stable: rounds.append(1) or keep(df))
+    pairs = [(f"p{i}", f"q{i}") for i in range(3000)] + [(f"q{i}", f"top{i}") for i in range(3000)]
+    ring = [(f"r{i}", f"r{(i + 1) % 701}") for i in range(701)]
+    found = _found(spark, pairs + ring, [f"top{i}" for i in range(3000)])
+    assert found == {(f"{n}{i}", f"top{i}", False, None) for i in range(3000) for n in "pq"} | {(f"r{i}", None, False, "CYCLE") for i in range(701)}
+    assert len(rounds) <= 6
+
+
+def test_a_long_way_beside_short_ones_and_a_ring_with_one_exit(spark):
+    ladder = [(f"s{i:02}", f"s{i + 1:02}") for i in range(40)] + [(f"s{i:02}", "end") for i in range(41)]
+    ring = [(f"r{i}", f"r{(i + 1) % 37}") for i in range(37)] + [("r5", "out")]
+    want = {(f"s{i:02}", "end", False, None) for i in range(41)}
+    want |= {(f"r{i}", "out", False, None) for i in range(37)} | {(f"r{i}", None, False, "CYCLE") for i in range(37)}
+    assert _found(spark, ladder + ring, ["end", "out"]) == want
