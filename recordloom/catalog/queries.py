@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -35,6 +36,8 @@ from recordloom.streaming.ingest import ingest_stream
 
 NOW = "2025-01-01T00:00:00Z"
 RECORD_SEPARATOR = "\x1e"
+#: Commands that a task writes to one file of a stream's input.
+FILE_COMMANDS = 500_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1014,9 +1017,10 @@ def stream_shuffled_commands(spark: SparkSession, sf: str) -> DataFrame:
     root = _scratch(spark)
     commands = B.commands_of(B.read(spark, sf, "events"))
     size, last = commands.agg(F.count(F.lit(1)), F.max("seq")).first()
-    commands.repartition(2, F.xxhash64("seq")).write.parquet(f"{root}/in")
+    files = 2 * max(1, math.ceil(size / 2 / FILE_COMMANDS))
+    commands.repartition(files, F.xxhash64("seq")).write.parquet(f"{root}/in")
     closing_command(spark, last or 0, size).write.mode("append").parquet(f"{root}/in")
-    arriving = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    arriving = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", files // 2).parquet(f"{root}/in")
     fold = CommandFold(spark, root)
     fold.start(arriving, B.threads(spark, sf), B.thread_actions(spark, sf), delay=size).awaitTermination()
     return fold.outcomes().select("seq", "thread_id", "kind", "before_status", "outcome", "revision")

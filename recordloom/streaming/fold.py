@@ -10,10 +10,16 @@ its checkpoint, and the file sink writes each outcome once.
 By default the source delivers the log in order, and the commands of a micro-batch are applied in
 order of ``seq``.  With ``delay`` commands may come up to that many numbers late: ``seq`` is the
 event time, commands wait until the watermark has passed them and are then applied in order.
+
+Every cell of a row and every element of a state costs a conversion or a call on its way to Python, so
+a command travels and waits as one JSON array, those of a thread wait in bundles, and outcomes
+leave in rows of many, which Spark takes apart.
 """
 
 from __future__ import annotations
 
+import json
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -69,25 +75,56 @@ def status_outcome(current: str, target: str | None) -> str:
     return "OK" if target in K.THREAD_TRANSITIONS[current] else "INVALID_TRANSITION"
 
 
-def action_outcome(command: Row, closed: bool, there: bool) -> str:
-    if command["kind"] not in ("ADD_ACTION", "SET_ACTION_STATUS"):
+NAMES = tuple(field.strip().split(" ")[0] for field in f"{COMMAND}, {STORED}".split(","))
+GIVEN = NAMES[:7]
+#: A command beside its thread, all fields as text.
+Command = namedtuple("Command", NAMES[1:])  # noqa: PYI024
+SHOWN = tuple(field.strip().split(" ")[0] for field in OUTCOME.split(","))[1:]
+#: Outcomes of one thread, side by side.
+OUTCOMES = "thread_id string, " + ", ".join(
+    "{} array<{}>".format(*field.strip().split(" ")) for field in OUTCOME.split(",")[1:]
+)
+#: Commands of a bundle, and outcomes of a row.
+BUNDLE = 1000
+
+
+def bundles(commands: list[str]) -> list[tuple[str]]:
+    """JSON arrays of commands that are JSON themselves."""
+    return [(f"[{','.join(commands[low : low + BUNDLE])}]",) for low in range(0, len(commands), BUNDLE)]
+
+
+def in_order(bundled: list[tuple[str]]) -> list[tuple[int | None, Command]]:
+    """(seq, command) of bundles, by seq."""
+    read = [Command._make(c) for (bundle,) in bundled for c in json.loads(bundle)]
+    numbered = [(None if c.seq is None else int(c.seq), c) for c in read]
+    return sorted(numbered, key=lambda n: n[0])
+
+
+def outcome_rows(thread_id: str | None, outcomes: list[tuple]) -> Iterator[Row]:
+    for low in range(0, len(outcomes), BUNDLE):
+        columns = zip(*outcomes[low : low + BUNDLE], strict=True)
+        yield Row(thread_id=thread_id, **dict(zip(SHOWN, map(list, columns), strict=True)))
+
+
+def outcome_of(seq: int | None, command: Command, before: str | None, outcome: str, revision: int | None) -> tuple:
+    return (seq, *command[1 : len(GIVEN) - 1], before, outcome, revision)
+
+
+def action_outcome(command: Command, closed: bool, there: bool) -> str:
+    if command.kind not in ("ADD_ACTION", "SET_ACTION_STATUS"):
         return "UNKNOWN_COMMAND"
-    if command["status"] not in K.ACTION_STATUSES:
+    if command.status not in K.ACTION_STATUSES:
         return "INVALID_STATUS"
     if closed:
         return "CLOSED_THREAD"
-    if command["kind"] == "SET_ACTION_STATUS":
+    if command.kind == "SET_ACTION_STATUS":
         return "OK" if there else "ACTION_NOT_FOUND"
     if there:
         return "DUPLICATE_ACTION"
-    sound = command["action_id"] and (command["description"] or "").strip()
+    sound = command.action_id and (command.description or "").strip()
     return "OK" if sound else "INVALID_ACTION"
 
 
-NAMES = tuple(field.strip().split(" ")[0] for field in f"{COMMAND}, {STORED}".split(","))
-GIVEN = NAMES[:7]
-
-
 class ThreadProcessor(StatefulProcessor):
     """Applies the commands of one thread; see the module."""
 
@@ -99,7 +136,7 @@ class ThreadProcessor(StatefulProcessor):
         self.thread = handle.getValueState("thread", THREAD)
         self.stored = handle.getValueState("stored_actions", "action_ids array<string>")
         self.added = handle.getMapState("added_actions", "action_id string", "status string")
-        self.held = handle.getListState("held", f"{COMMAND}, {STORED}")
+        self.held = handle.getListState("held", "commands string")
 
     def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:  # noqa: N803
         row = initialState
@@ -109,79 +146,82 @@ class ThreadProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N803
         if self.delay is None:
-            yield from self._apply(sorted(rows, key=lambda r: r["seq"]))
+            yield from outcome_rows(key[0], self._apply(in_order(bundles([r[2] for r in rows]))))
             return
         state = self.thread.get()
         last = state[6] if state else None
-        waiting = []
-        for row in rows:
-            if last is not None and row["seq"] < last:
-                yield self._outcome(row, None, LATE, state[1])
+        late, waiting, first = [], [], None
+        for _, seq, command, *_ in rows:
+            if last is not None and seq < last:
+                late.append(command)
             else:
-                waiting.append(tuple(row[c] for c in NAMES))
+                waiting.append(command)
+                first = seq if first is None else min(first, seq)
+        refused = in_order(bundles(late))
+        yield from outcome_rows(key[0], [outcome_of(seq, c, None, LATE, state[1]) for seq, c in refused])
         if waiting:
-            self.held.appendList(waiting)
-            self.handle.registerTimer(min(w[1] for w in waiting) + self.delay + 1)
+            self.held.appendList(bundles(waiting))
+            self.handle.registerTimer(first + self.delay + 1)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N803
         """Apply what the watermark has passed; the rest waits for a timer of its first command."""
         passed = timerValues.getCurrentWatermarkInMs() - self.delay - 1
-        held = [Row(**dict(zip(NAMES, h, strict=True))) for h in self.held.get()] if self.held.exists() else []
-        held.sort(key=lambda r: r["seq"])
-        ready = [r for r in held if r["seq"] <= passed]
-        later = [r for r in held if r["seq"] > passed]
+        held = in_order(self.held.get()) if self.held.exists() else []
+        ready = [(seq, c) for seq, c in held if seq <= passed]
+        later = held[len(ready) :]
         if not ready:
             return
-        yield from self._apply(ready)
+        yield from outcome_rows(key[0], self._apply(ready))
         if later:
-            self.held.put([tuple(r) for r in later])
-            self.handle.registerTimer(later[0]["seq"] + self.delay + 1)
+            self.held.put(bundles([json.dumps(c, ensure_ascii=False) for _, c in later]))
+            self.handle.registerTimer(later[0][0] + self.delay + 1)
         else:
             self.held.clear()
 
-    def _outcome(self, command: Row, before: str | None, outcome: str, revision: int | None) -> Row:
-        given = {name: command[name] for name in GIVEN}
-        return Row(**given, before_status=before, outcome=outcome, revision=revision)
-
-    def _apply(self, commands: list[Row]) -> Iterator[Row]:
+    def _apply(self, commands: list[tuple[int | None, Command]]) -> list[tuple]:
         if not commands:
-            return
+            return []
         state = self.thread.get()
-        if state is None and commands[0]["stored_valid"] is not None:
-            status, revision, *others = (commands[0][c] for c in NAMES[7:-1])
-            state = (status, revision and int(revision), *others, None)
+        begin = commands[0][1]
+        if state is None and begin.stored_valid is not None:
+            revision = begin.stored_revision and int(begin.stored_revision)
+            times = (begin.stored_started, begin.stored_updated, begin.stored_completed)
+            state = (begin.stored_status, revision, begin.stored_valid == "true", *times, None)
         if state is None:
             # without a thread there is nothing that order could change
-            yield from (self._outcome(c, None, "THREAD_NOT_FOUND", None) for c in commands)
-            return
+            return [outcome_of(seq, c, None, "THREAD_NOT_FOUND", None) for seq, c in commands]
         status, revision, valid, started, updated, completed, _ = state
         there: dict[str, bool] | None = None
-        for command in commands:
+        added_before = False
+        out = []
+        for seq, command in commands:
             if not valid:
-                yield self._outcome(command, None, "INVALID_THREAD", revision)
+                out.append(outcome_of(seq, command, None, "INVALID_THREAD", revision))
                 continue
             before = None
-            if command["kind"] == "SET_STATUS":
-                before, outcome = status, status_outcome(status, command["status"])
+            if command.kind == "SET_STATUS":
+                before, outcome = status, status_outcome(status, command.status)
             else:
-                action = command["action_id"] or ""
+                action = command.action_id or ""
                 if there is None:
                     known = self.stored.get()
                     there = dict.fromkeys(known[0], True) if known else {}
+                    added_before = self.added.exists()
                 if action not in there:
-                    there[action] = bool(command["stored_action"]) or self.added.containsKey((action,))
+                    there[action] = command.stored_action == "true" or (added_before and self.added.containsKey((action,)))
                 outcome = action_outcome(command, status in K.CLOSED_STATUSES, there[action])
             if outcome == "OK":
-                revision, updated = revision + 1, command["at"] or updated
-                if command["kind"] == "SET_STATUS":
-                    status = command["status"]
-                    started = started or (command["at"] if status == "IMPLEMENTATION" else None)
-                    completed = command["at"] if status == "COMPLETED" else completed
+                revision, updated = revision + 1, command.at or updated
+                if command.kind == "SET_STATUS":
+                    status = command.status
+                    started = started or (command.at if status == "IMPLEMENTATION" else None)
+                    completed = command.at if status == "COMPLETED" else completed
                 elif not there[action]:
                     there[action] = True
-                    self.added.updateValue((action,), (command["status"],))
-            yield self._outcome(command, before, outcome, revision)
-        self.thread.update((status, revision, valid, started, updated, completed, commands[-1]["seq"]))
+                    self.added.updateValue((action,), (command.status,))
+            out.append(outcome_of(seq, command, before, outcome, revision))
+        self.thread.update((status, revision, valid, started, updated, completed, commands[-1][0]))
+        return out
 
     def close(self) -> None:
         pass
@@ -241,15 +281,19 @@ class CommandFold:
             # the watermark is delay + report behind the event time, and that is ahead of seq by as much and one
             ahead = F.timestamp_millis(F.col("seq") + F.lit(delay + report + 1))
             given = given.withColumn("event_time", ahead).withWatermark("event_time", f"{delay + report} milliseconds")
-        outcomes = given.groupBy("thread_id").transformWithState(
+        texts = F.array(*[F.col(name).cast("string") for name in NAMES[1:]])
+        waits = [] if delay is None else ["event_time"]
+        packed = given.select("thread_id", "seq", F.to_json(texts).alias("command"), *waits)
+        outcomes = packed.groupBy("thread_id").transformWithState(
             statefulProcessor=ThreadProcessor(delay),
-            outputStructType=OUTCOME,
+            outputStructType=OUTCOMES,
             outputMode="Append",
             timeMode="None" if delay is None else "EventTime",
             initialState=begin.groupBy("thread_id") if begin is not None else None,
         )
+        each = outcomes.select("thread_id", F.explode(F.arrays_zip(*SHOWN)).alias("outcome"))
         writer = (
-            outcomes.writeStream.format("parquet")
+            each.select("thread_id", "outcome.*").writeStream.format("parquet")
             .option("path", f"{self.root}/outcomes")
             .option("checkpointLocation", f"{self.root}/checkpoint")
             .outputMode("append")
