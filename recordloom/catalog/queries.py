@@ -36,8 +36,8 @@ from recordloom.streaming.ingest import ingest_stream
 
 NOW = "2025-01-01T00:00:00Z"
 RECORD_SEPARATOR = "\x1e"
-#: Commands that a task writes to one file of a stream's input.
-FILE_COMMANDS = 500_000
+#: Bytes of text, and commands, that a task writes to one file of a stream's input.
+FILE_BYTES, FILE_COMMANDS = 64_000_000, 500_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1028,12 +1028,14 @@ def stream_shuffled_commands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Memories ingested from text files, two files to each micro-batch."""
+    """Memories ingested from text files of a bounded size, in two micro-batches."""
     root = _scratch(spark)
-    texts = B.memory_texts(spark, sf).select("text").repartition(4)
-    texts.write.option("lineSep", RECORD_SEPARATOR).text(f"{root}/in")
+    texts = B.memory_texts(spark, sf).select("text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(4, math.ceil(size / FILE_BYTES))
+    texts.repartition(files).write.option("lineSep", RECORD_SEPARATOR).text(f"{root}/in")
     ingest_stream(
-        spark, "memories", f"{root}/in", f"{root}/rows", f"{root}/checkpoint", 2, RECORD_SEPARATOR
+        spark, "memories", f"{root}/in", f"{root}/rows", f"{root}/checkpoint", math.ceil(files / 2), RECORD_SEPARATOR
     ).awaitTermination()
     good = spark.read.parquet(f"{root}/rows").select(
         "information_id", "revision", X.sha256(F.col("content")).alias("content_sha")

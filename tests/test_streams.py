@@ -184,7 +184,7 @@ def test_more_outcomes_than_a_row_holds(spark, threads, actions, tmp_path, monke
     assert _rows(kept) == _batch(spark, threads, actions, LOG)
 
 
-@pytest.mark.parametrize(("name", "batch", "limit"), [("stream_shuffled_commands", "stream_command_outcomes", ("FILE_COMMANDS", 100))])
+@pytest.mark.parametrize(("name", "batch", "limit"), [("stream_shuffled_commands", "stream_command_outcomes", ("FILE_COMMANDS", 100)), ("stream_ingest", "stream_ingest", ("FILE_BYTES", 50_000))])
 def test_input_files_of_a_stream_have_a_bounded_size(spark, sf, tmp_path, monkeypatch, rowset, name, batch, limit):
     want = rowset(Q.QUERIES[batch](spark, sf))
     monkeypatch.setattr(Q, "_scratch", lambda spark: f"{tmp_path}")
