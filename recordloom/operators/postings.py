@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,10 @@ FIRST_BLOCKS = 2
 #: Queries that meet a block in one task.
 QUERY_GROUP = 4096
 GRAM = 3
+#: Lists of postings in a batch.
+OUT_ROWS = 10_000
+#: Places that are opened at a time, or those of one word more.
+OPEN_PLACES = 1 << 20
 
 
 def bucket_of(run: str) -> Column:
@@ -78,22 +83,100 @@ class TermIndex:
         return self.postings.filter(F.col("bucket").isin(buckets))
 
 
+def _by_block(
+    grouped: Callable[[int, list[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Apply ``grouped`` to the rows of each block, from rows sorted by block, their first column."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for whole in grouped(block, parts) if parts else ():
+                for low in range(0, whole.num_rows, rows):
+                    yield whole.slice(low, rows)
+
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            lows = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist()] if len(blocks) else []
+            for low, high in zip(lows, [*lows[1:], len(blocks)], strict=False):
+                if blocks[low] != block:
+                    yield from done()
+                    block, parts = int(blocks[low]), []
+                parts.append(batch.slice(low, high - low))
+        yield from done()
+
+    return apply
+
+
+def _posting(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(run, block, places) from rows (block, place, runs) sorted by block, in batches of ``rows``."""
+
+    def posted(block: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = pa.concat_arrays([p.column(2).cast(pa.list_(pa.string())) for p in parts])
+        places = pa.concat_arrays([p.column(1) for p in parts]).to_numpy()
+        coded = runs.flatten().dictionary_encode()
+        bits = places.max().item().bit_length()
+        # the word, then the place; a record of several rows may hold a word in each
+        pairs = coded.indices.to_numpy().astype(np.int64) << bits | places[pc.list_parent_indices(runs).to_numpy()]
+        pairs = np.unique(pairs)
+        ends = np.searchsorted(pairs, np.arange(1, len(coded.dictionary) + 1, dtype=np.int64) << bits)
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array((pairs & ((1 << bits) - 1)).astype(np.int32)))
+        blocks = pa.array(np.full(len(lists), block, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([coded.dictionary, blocks, lists], ["run", "block", "places"])
+
+    return _by_block(posted, rows)
+
+
+def _listing(rows: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(term_id, block, places) from rows (block, term_ids, places) sorted by block, in batches of ``rows``."""
+
+    def listed(block: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = pa.concat_arrays([p.column(1) for p in parts])
+        places = pa.concat_arrays([p.column(2) for p in parts])
+        flat, sizes = places.flatten().to_numpy(), pc.list_value_length(places).to_numpy()
+        lows = np.cumsum(sizes) - sizes
+        ids, holder = terms.flatten().to_numpy(), pc.list_parent_indices(terms).to_numpy()
+        order = np.argsort(ids, kind="stable")
+        names, number = np.unique(ids[order], return_inverse=True)
+        holder = holder[order]
+        # as many terms at a time as there are lists in a batch
+        for first in range(0, len(names), rows):
+            a, b = np.searchsorted(number, [first, first + rows])
+            held = np.zeros((min(rows, len(names) - first), 1 << bits), dtype=bool)
+            spans, row = sizes[holder[a:b]], number[a:b] - first
+            slabs = np.flatnonzero(np.diff(np.cumsum(spans) // OPEN_PLACES, prepend=-1)).tolist()
+            for low, high in zip(slabs, [*slabs[1:], b - a], strict=True):
+                some = spans[low:high]
+                starts = np.repeat(lows[holder[a + low : a + high]] - np.cumsum(some) + some, some)
+                held[np.repeat(row[low:high], some), flat[starts + np.arange(len(starts))]] = True
+            offsets = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(held)[1].astype(np.int32)))
+            blocks = pa.array(np.full(len(held), block, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names[first : first + rows]), blocks, lists], ["term_id", "block", "places"])
+
+    return _by_block(listed, rows)
+
+
 def build_index(memories: DataFrame, haystack: Column, word: str) -> TermIndex:
     """Index memories by the distinct runs of ``word`` in ``haystack``.
 
     Numbers grow with the file name.  A list of postings is no longer than a block, so a word
     of all records is many rows.  Rows that share an id are one record; those without one are left out.
+    What is shuffled is a record's words together; they are taken apart where their block is whole.
     """
     named = memories.select(ID).filter(F.col(ID).isNotNull()).distinct().orderBy(X.file_order(F.col(ID)))
     records = stable(named.select(F.monotonically_increasing_id().alias("doc"), ID))
     runs = F.regexp_extract_all(haystack, F.lit(f"({word})"), F.lit(1))
     words = spread(memories).select(ID, F.array_distinct(runs).alias("runs"))
     held = words.join(records, ID).select(
-        F.explode("runs").alias("run"),
         F.shiftright("doc", BLOCK_BITS).alias("block"),
         F.col("doc").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("place"),
+        "runs",
     )
-    postings = held.groupBy("run", "block").agg(F.collect_set("place").alias("places"))
+    met = held.repartition("block").sortWithinPartitions("block")
+    postings = met.mapInArrow(_posting(OUT_ROWS), "run string, block long, places array<int>")
     postings = stable(postings.select(bucket_of("run").alias("bucket"), "run", "block", "places"))
     return TermIndex(records, stable(postings.select("run").distinct()), postings)
 
@@ -200,10 +283,11 @@ def search_index(index: TermIndex, weights: DataFrame, limit: int) -> DataFrame:
     """
     terms = stable(weights.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
     matched = stable(runs_with_terms(index.vocabulary, terms))
-    small = fits(matched)
-    postings = index.opened(matched).join(F.broadcast(matched) if small else matched, "run")
-    lists = postings.groupBy("term_id", "block").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    lists = stable(lists)
+    # the terms of a run stay together until its block is whole
+    wanted = matched.groupBy("run").agg(F.collect_set("term_id").alias("term_ids"))
+    met = index.opened(matched).join(F.broadcast(wanted) if fits(wanted) else wanted, "run")
+    met = met.select("block", "term_ids", "places").repartition("block").sortWithinPartitions("block")
+    lists = stable(met.mapInArrow(_listing(OUT_ROWS, BLOCK_BITS), "term_id long, block long, places array<int>"))
     numbered = stable(weights.join(terms, "term").select("query", "term_id", "weight"))
     listed = F.array_sort(F.collect_list(F.struct("term_id", "weight")))
     asked = numbered.groupBy("query").agg(listed.alias("t")).select(

@@ -123,3 +123,26 @@ def test_no_memories_and_no_queries(spark, some):
 def test_haystack_holds_the_whole_record(spark):
     row = _memories(spark, [("x", 'a "b" \n ü')]).select(S.haystack()).first()[0]
     assert json.loads(row)["content"] == 'a "b" \n ü'
+
+
+def test_words_and_lists_are_shuffled_together_and_taken_apart_in_their_block(spark, some, monkeypatch):
+    plans = []
+
+    def keep(df, stable=postings.stable):
+        if "places" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stable(df)
+
+    monkeypatch.setattr(postings, "stable", keep)
+    for name, value in (("BLOCK_BITS", 4), ("OUT_ROWS", 3), ("OPEN_PLACES", 5)):
+        monkeypatch.setattr(postings, name, value)
+    # records whose rows share an id, and one without text or id
+    more = _memories(spark, [("m3", "alpha unseen"), ("m3", None), (None, "alpha"), ("z", "")])
+    memories, asked = some.unionByName(more), [*QUERIES[:5], ("own", "unseen alpha")]
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    found = _found(S.term_search_batch(memories, queries, 50))
+    assert len(plans) == 2 and not any("Generate" in p or "collect_" in p.replace("collect_set(term_id", "") for p in plans)
+    lone = _found(S.term_search_batch(memories, queries.filter("query_id = 'own'"), 50))
+    assert [r for r in found if r[0] == "own"] == lone
+    assert ("own", 1, "m3", 1.0) in lone
+    assert [r for r in found if r[0] == "one"] == [r for r in _plain(some, asked, 50) if r[0] == "one"]
