@@ -10,15 +10,18 @@ it, where both encodings agree.
 
 from __future__ import annotations
 
+import codecs
 import contextlib
 import hashlib
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +67,41 @@ def byte_marks() -> dict[int, str]:
 
 MARKS = byte_marks()
 PIECE_MARKS = {**MARKS, 0: " "}
+#: Marks of two bytes that UTF-8 doesn't have: between pieces, and between words.
+PIECE_END, WORD_END = MARKS[0xFF], MARKS[0xFE]
+#: Marks by byte; texts of PLAIN have no bytes 0 and 1, which stand for the two ends.
+BYTE_MARKS = PIECE_END + WORD_END + "".join(MARKS[b] for b in range(2, 256))
+#: Words that the library encodes as one, and words in one call of it.
+LEARNED_TOGETHER, LEARNED_PER_CALL = 32, 8_192
+#: Kinds of bytes where a column is cut into words.
+OTHER, GAP, LETTER, POINT = range(4)
+
+
+def _byte_kinds() -> np.ndarray:
+    kinds = np.full(256, OTHER, dtype=np.uint8)
+    for b in range(0x21, 0x7F):
+        char = chr(b)
+        if char.isalpha():
+            kinds[b] = LETTER
+        elif not char.isdigit() and char != "'":
+            kinds[b] = POINT
+    kinds[[ord(b) for b in BLANK]] = GAP
+    return kinds
+
+
+BYTE_KINDS = _byte_kinds()
+
+
+def _plain_pieces() -> re.Pattern:
+    """PIECES for texts of PLAIN, with their letters and numbers written out."""
+    plain = [c for c in map(chr, range(0x2100)) if PLAIN.fullmatch(c)]
+    letters, numbers = (re.escape("".join(c for c in plain if unicodedata.category(c)[0] == k)) for k in "LN")
+    return re.compile(
+        rf"'(?:s|t|re|ve|m|ll|d)| ?(?:[{letters}]+|[{numbers}]+|[^\s{letters}{numbers}]+)|\s+(?!\S)|\s+"
+    )
+
+
+PLAIN_PIECES = _plain_pieces()
 
 
 class Codec:
@@ -170,14 +208,128 @@ class Codec:
             return self.tokenizer.decode(numbers, skip_special_tokens=False)
 
 
-_CODECS: dict[tuple[str, int], Codec] = {}
+class ColumnCodec(Codec):
+    """A codec for Arrow columns of whole texts; its words are bytes, with what precedes them.
 
+    A text is cut before every blank that stands alone between two other characters, and
+    between a letter and a mark after it (apostrophes aside): in any context a piece of
+    the pre-tokenizer starts there.  So a word's ids are those of the word as a text of
+    its own.  Arrow numbers the different words of a column; words not seen before go to
+    the library, many to a call, with marks between them that no merge crosses.
+    """
 
-def codec_for(vocabulary: str, words_kept: int = WORDS_KEPT) -> Codec:
+    def __init__(self, vocabulary: str, words_kept: int = WORDS_KEPT) -> None:
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        super().__init__(vocabulary, words_kept)
+        self.known: dict[bytes, bytes] = {}  # no ids: a word that isn't plain
+        self.before: dict[bytes, bytes] = {}
+        self.joined = Tokenizer(self.tokenizer.model)
+        model, split, vocab = self.tokenizer.model, self.tokenizer.pre_tokenizer, self.tokenizer.get_vocab()
+        #: Whether texts may be cut; with another kind of vocabulary the library gets them whole.
+        self.cutting = (
+            isinstance(model, models.BPE)
+            and not (model.dropout or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix)
+            and isinstance(split, pre_tokenizers.ByteLevel)
+            and split.use_regex
+            and not split.add_prefix_space
+            and self.tokenizer.normalizer is None
+            and vocab.keys() >= set(MARKS.values())
+            and not any(len(token) > 1 and (PIECE_END in token or WORD_END in token) for token in vocab if token not in self.special)
+        )
+        self.piece_end, self.word_end = vocab.get(PIECE_END), vocab.get(WORD_END)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        plain = [t for t in texts if PLAIN.fullmatch(t)]
+        if len(plain) < len(texts):
+            self.known.update((w, b"") for w, t in zip(words, texts, strict=True) if not PLAIN.fullmatch(t))
+            words = [t.encode() for t in plain]
+        if not words:
+            return
+        cut = ["\0".join(PLAIN_PIECES.findall(t)) for t in plain]
+        groups = ["\1".join(cut[i : i + LEARNED_TOGETHER]) + "\1" for i in range(0, len(cut), LEARNED_TOGETHER)]
+        marks = [codecs.charmap_decode(g.encode(), "strict", BYTE_MARKS)[0] for g in groups]
+        got = self.joined.encode_batch_fast(marks, add_special_tokens=False)
+        numbers = np.array(list(chain.from_iterable(g.ids for g in got)), dtype="<u4")
+        numbers = numbers[numbers != self.piece_end]
+        ends = np.flatnonzero(numbers == self.word_end) * 4
+        ids = numbers.tobytes()
+        for word, low, high in zip(words, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True):
+            self.known[word] = ids[low:high]
+
+    def _codes(self, words: list[bytes]) -> list[bytes]:
+        if len(self.known) > self.words_kept:  # words that come again are carried over
+            self.before, self.known = self.known, {}
+        known, before, unseen = self.known, self.before, []
+        for word, code in zip(words, map(known.get, words), strict=True):
+            if code is None:
+                code = before.get(word)
+                if code is None:
+                    unseen.append(word)
+                else:
+                    known[word] = code
+        for low in range(0, len(unseen), LEARNED_PER_CALL):
+            self._learn_words(unseen[low : low + LEARNED_PER_CALL])
+        return list(map(known.__getitem__, words))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the library's ids of the texts (no nulls), one text after the other."""
+        n = len(texts)
+        if not self.cutting:
+            return self._spliced([self._whole(t) for t in texts.to_pylist()])
+        special = np.zeros(n, dtype=bool)
+        for token in self.special:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        binary = texts.cast(pa.large_binary())
+        _, places, data = binary.buffers()
+        offsets = np.frombuffer(places, dtype="<i8", count=binary.offset + n + 1)[binary.offset :] if n else np.zeros(1, dtype="<i8")
+        low, high = int(offsets[0]), int(offsets[-1])
+        if low == high:
+            return np.zeros(n + 1, dtype="<i8"), np.zeros(0, dtype="<u4")
+        kinds = BYTE_KINDS[np.frombuffer(data, dtype=np.uint8)[low:high]]
+        gaps = kinds == GAP
+        cut = np.zeros(high - low, dtype=bool)
+        cut[1:-1] = gaps[1:-1] & ~gaps[:-2] & ~gaps[2:]
+        cut[1:] |= (kinds[1:] == POINT) & (kinds[:-1] == LETTER)
+        cut[offsets[:-1][offsets[:-1] < offsets[1:]] - low] = True
+        starts = np.flatnonzero(cut) + low
+        bounds = pa.py_buffer(np.append(starts, high).astype("<i8"))
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, data]).dictionary_encode()
+        codes = self._codes(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
+        numbers = words.indices.to_numpy()
+        lengths = sizes[numbers]
+        ends = np.cumsum(lengths)
+        at = np.repeat((np.cumsum(sizes) - sizes)[numbers] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(codes), dtype="<u4")[at]
+        first = np.searchsorted(starts, offsets)  # each text's first word
+        bad = np.concatenate([[0], np.cumsum(lengths == 0)])[first]
+        bounds = np.concatenate([[0], ends])[first]
+        whole = special | (np.diff(bad) > 0)
+        if not whole.any():
+            return bounds, ids
+        parts = zip(whole.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+        return self._spliced([self._whole(texts[i].as_py()) if w else ids[a:b] for i, (w, a, b) in enumerate(parts)])
+
+    @staticmethod
+    def _spliced(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("<i8")
+        return offsets, np.concatenate([np.zeros(0, dtype="<u4"), *parts])
+
+
+_CODECS: dict[tuple[str, int, type], Codec] = {}
+
+
+def codec_for(vocabulary: str, words_kept: int = WORDS_KEPT, kind: type[Codec] = Codec) -> Codec:
     """The worker's codec; its words stay for the next task."""
-    key = (vocabulary, words_kept)
+    key = (vocabulary, words_kept, kind)
     if key not in _CODECS:
-        _CODECS[key] = Codec(vocabulary, words_kept)
+        _CODECS[key] = kind(vocabulary, words_kept)
     return _CODECS[key]
 
 

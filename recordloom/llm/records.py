@@ -15,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recordloom.llm.bpe import GROUP, codec_for, default_vocabulary
+from recordloom.llm.bpe import ColumnCodec, codec_for, default_vocabulary
 from recordloom.llm.common import file_system, stable, text_batches
 
 HEAD = struct.Struct("<BQ")
@@ -30,6 +31,8 @@ POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
 BLOCK = 512
 #: Words whose ids a writing task keeps: it holds little else.
 RECORD_WORDS = 150_000
+#: Bytes of text encoded together.
+ENCODED_TOGETHER = 1_000_000
 #: Payload bytes framed at a time, and documents in a batch of the index.
 FRAME_BYTES, INDEX_ROWS = 4_000_000, 4096
 INDEX = "file string, file_number int, record long, doc_id long, offset long, length long, start_in_file long, n_tokens long"
@@ -134,6 +137,17 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & NO_ID else number - (number >> 63 << 64), ids.astype("<u4")
 
 
+def sized(part: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, each with ``most`` bytes in a column of text or with one row."""
+    ends = np.cumsum(pc.binary_length(part.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < part.num_rows:
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield part.slice(low, high - low)
+        low = high
+
+
 def write_records(
     docs: DataFrame,
     folder: str,
@@ -162,7 +176,7 @@ def write_records(
         system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         path = f"{base}/records-{number:06d}-{uuid.uuid4().hex}.tfrecord"
-        codec, end = codec_for(vocabulary, RECORD_WORDS), np.array([end_id], dtype="<u4")
+        codec, end = codec_for(vocabulary, RECORD_WORDS, ColumnCodec), np.array([end_id], dtype="<u4")
         offset = start = count = 0
         payloads: list[bytes] = []
         entries: list[tuple] = []
@@ -182,12 +196,12 @@ def write_records(
 
         held = 0
         for part in parts:
-            for low in range(0, part.num_rows, GROUP):
-                some = part.slice(low, GROUP)
+            for some in sized(part, 1, ENCODED_TOGETHER):
                 out = out or system.open_output_stream(path + ".part")
-                encoded = codec.encode_many(some.column(1).to_pylist())
-                for doc_id, code in zip(some.column(0).to_pylist(), encoded, strict=True):
-                    ids = np.append(np.frombuffer(code, dtype="<u4"), end)
+                bounds, numbers = codec.encode_column(some.column(1))
+                bounds = bounds.tolist()
+                for doc_id, low, high in zip(some.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                    ids = np.append(numbers[low:high], end)
                     payload = pack(doc_id, ids)
                     size = len(payload) + 16
                     entries.append((path.rpartition("/")[2], number, count, doc_id, offset, size, start, len(ids)))

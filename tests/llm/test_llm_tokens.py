@@ -3,6 +3,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,44 @@ def test_query_digests(spark, sf, tokenizer):
         assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         decoded = tokenizer.decode(ids, skip_special_tokens=False)
         assert row["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def _column(codec, texts):
+    bounds, ids = codec.encode_column(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_columns_are_encoded_as_the_library_does(tokenizer):
+    rng = np.random.default_rng(5)
+    signs = ["a", "the", " ", "  ", "\n", "\t", "\r\n", "é", "'s", "'", ",", ".", "(", "12", "!", "word ", "½", "²", "_", "ÿ", "þ", "日", "\u00a0", "\0", "\1", "<|endoftext|>"]
+    plain = signs[:-6]
+    texts = ["", " ", "\n", "it's, we'LL 'tis", "end ", " \n start", "a<|endoftext|> b", "x" * 3000, ""]
+    texts += ["".join(rng.choice(plain if n % 4 else signs, size=rng.integers(0, 40))) for n in range(4_000)]
+    want = [_ids(tokenizer, t) for t in texts]
+    for kept in (10, 100_000):  # words are forgotten and learned again
+        codec, found = bpe.ColumnCodec(bpe.default_vocabulary(), kept), []
+        assert codec.cutting
+        for low in range(0, len(texts), 500):
+            found += _column(codec, texts[low : low + 500])
+        assert found == want
+    codec.cutting = False
+    assert _column(codec, texts[:50]) == want[:50]
+    assert _column(codec, []) == [] and _column(codec, ["", ""]) == [[], []]
+    whole = pa.array(texts, pa.string())
+    bounds, ids = codec.encode_column(whole[20:60])
+    assert ids.tolist() == [i for w in want[20:60] for i in w] and len(bounds) == 41
+
+
+def test_marks_and_line_breaks_make_no_new_words(tokenizer):
+    codec = bpe.ColumnCodec(bpe.default_vocabulary())
+    words = [f"w{chr(97 + i)}rd" for i in range(26)]
+    texts = [f"It {word}{mark} {word}." for word in words for mark in (",", ";", "?", ".\nSo", ")")]
+    assert _column(codec, texts) == [_ids(tokenizer, t) for t in texts]
+    # one for each word, "It", "\nSo" and the marks, however they meet
+    assert len(codec.known) <= len(words) + 10
+
+
+def test_slices_hold_bounded_text():
+    part = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 4, "", "b" * 5, "c" * 30, "é" * 3, "", "d"])], ["n", "text"])
+    slices = [s.column(0).to_pylist() for s in records.sized(part, 1, 10)]
+    assert slices == [[0, 1, 2], [3], [4, 5, 6]]
